@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, leakage
+from tidemark.llm import bpe, distinctive, leakage, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,27 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = distinctive.score_terms(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    scored = distinctive.score_terms(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"))
+    return distinctive.shared_rare_terms(scored).select("struct_id", "term")
+
+
+def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = neardup.similar_texts(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"))
+    return pairs.select(
+        F.col("id_a").alias("struct_id_a"), F.col("id_b").alias("struct_id_b"), F.round("similarity", 6).alias("similarity")
+    )
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_pairs(spark, sf).select("struct_id_a", "struct_id_b")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(_t(spark, sf, "documents"))
 
@@ -34,7 +55,7 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_leaks, p7_clean)}
+    return {f.__name__: f for f in (p2_found, p2_scores, p4_found, p4_pairs, p6_ids, p7_found, p7_leaks, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
