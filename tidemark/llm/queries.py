@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, distinctive, leakage, neardup
+from tidemark.llm import bpe, distinctive, leakage, markup, neardup, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,14 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_units(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(_t(spark, sf, "text_files"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_units(spark, sf).select("file_id", "sent_end")
+
+
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     scored = distinctive.score_terms(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"))
     return scored.withColumn("score", F.round("score", 6))
@@ -37,6 +45,20 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pairs(spark, sf).select("struct_id_a", "struct_id_b")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    seen = markup.read_elements(_t(spark, sf, "latex_files")).where(F.col("kind").isin(*markup.KINDS))
+    left = markup.residue_files(_t(spark, sf, "text_files"))
+    return (
+        seen.select("file_id", "kind", "item")
+        .distinct()
+        .unionByName(left.select("file_id", F.lit("residue").alias("kind"), F.lit("").alias("item")))
+    )
+
+
+def p5_text(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean_text(markup.read_elements(_t(spark, sf, "latex_files")))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(_t(spark, sf, "documents"))
 
@@ -55,7 +77,7 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scores, p4_found, p4_pairs, p6_ids, p7_found, p7_leaks, p7_clean)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_scores, p4_found, p4_pairs, p5_found, p5_text, p6_ids, p7_found, p7_leaks, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
