@@ -166,7 +166,7 @@ def _stops(text: str, s: int, e: int, m: re.Match) -> bool:
         k = at - 1
         while k > s and text[k - 1].isalpha():
             k -= 1
-        return (at - k >= 2 or not before.isalpha()) and not (text[k - 1 : k] in (".", "/", "@") and k > s) and not _abbreviation(text, s, at)
+        return (at - k >= 2 or not before.isalpha()) and not (text[k - 1 : k] in (".", "/", "@") and k > s) and _abbreviation(text, s, at) in (0, _KIND_MAY_END)
     if "\u0900" <= before <= "\u097f" or "\u0e00" <= before <= "\u0e7f":
         return False
     if before.isspace() or not (before.isalnum() or before in _CLOSERS or before in "%°*_`$}>…") and not _word_mark(before):
