@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, distinctive, leakage, markup, neardup, sentences
+from tidemark.llm import bpe, distinctive, leakage, markup, names, neardup, reading, sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,17 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive.shared_rare_terms(scored).select("struct_id", "term")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = names.same_name_pairs(_t(spark, sf, "authors"))
+    return pairs.select(F.col("id_a").alias("author_row_a"), F.col("id_b").alias("author_row_b"))
+
+
+def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = names.variant_rows(_t(spark, sf, "authors"))
+    links = rows.groupBy("entity").agg(F.countDistinct("spelling").alias("spellings"), F.count("*").alias("n_rows"))
+    return rows.join(links, "entity").select(F.col("id").alias("author_row"), "entity", "spellings", "n_rows")
+
+
 def p4_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neardup.similar_texts(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"))
     return pairs.select(
@@ -76,8 +87,17 @@ def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.drop_leaking(docs, p7_leaks(spark, sf))
 
 
+def p8_levels(spark: SparkSession, sf: str) -> DataFrame:
+    bands = reading.reading_bands(_t(spark, sf, "documents"), _t(spark, sf, "labels"))
+    return bands.withColumn("level", F.round("level", 4))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.reading_bands(_t(spark, sf, "documents"), _t(spark, sf, "labels")).select("doc_id", "band")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_scores, p4_found, p4_pairs, p5_found, p5_text, p6_ids, p7_found, p7_leaks, p7_clean)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_scores, p3_found, p3_entities, p4_found, p4_pairs, p5_found, p5_text, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
