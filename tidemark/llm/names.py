@@ -232,13 +232,14 @@ def parse_spellings(spelled: DataFrame) -> DataFrame:
         led.select(F.col("tail_last").alias("w"), F.lit(0).cast("bigint").alias("g"), F.col("n").alias("s"))
     )
     given = (
-        uses.where(F.length("w") > 2).groupBy("w").agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
+        uses.where((F.length("w") > 2) & ~F.col("w").isin(sorted(PARTICLES))).groupBy("w").agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
         .where((F.col("g") >= 3) & (F.col("g") > 4 * F.col("s"))).select("w")
     )
-    marked = led.join(given.select(F.col("w").alias("lead_last"), F.lit(True).alias("last_is_given")), "lead_last", "left").join(
-        given.select(F.col("w").alias("tail_first"), F.lit(True).alias("first_is_given")), "tail_first", "left"
-    )
-    swapped = F.col("last_is_given").isNotNull() & F.col("first_is_given").isNull() & (F.length("tail_first") > 2) & ~F.col("tail_first").contains(".")
+    marked = led
+    for c in ("lead_last", "lead_first", "tail_first"):
+        marked = marked.join(given.select(F.col("w").alias(c), F.lit(True).alias(f"{c}_given")), c, "left")
+    is_given = {c: F.coalesce(f"{c}_given", F.lit(False)) for c in ("lead_last", "lead_first", "tail_first")}
+    swapped = is_given["lead_last"] & ~is_given["lead_first"] & ~is_given["tail_first"] & (F.length("tail_first") > 2) & ~F.col("tail_first").contains(".")
     marked = marked.select("first_name", "last_name", "n", F.coalesce(swapped, F.lit(False)).alias("swapped"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +268,19 @@ def _canonical(full: DataFrame) -> DataFrame:
     known = firsts.where("uses >= 8 and spread >= 4").select("first")
     slips = segment_join(names)
     both = slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    side = lambda p: names.select(F.col("k").alias(p), F.col("first").alias(f"first_{p}"), F.col("n").alias(f"n_{p}"))
+    side = lambda p: names.select(F.col("k").alias(p), F.col("first").alias(f"first_{p}"), F.col("n").alias(f"n_{p}"), F.col("score").alias(f"score_{p}"))
+    # How often a form is written, and how many forms are a slip away: a name stands amid its slips.
+    degree = both.groupBy(F.col("a").alias("k")).agg(F.count("*").alias("degree"))
+    names = cut(names.join(degree, "k", "left").withColumn("score", 2 * F.col("n") + F.coalesce("degree", F.lit(0))))
     both = both.join(side("a"), "a").join(side("b"), "b")
     for p in "ab":
         both = both.join(known.select(F.col("first").alias(f"first_{p}"), F.lit(True).alias(f"known_{p}")), f"first_{p}", "left")
     two_names = F.col("known_a") & F.col("known_b") & (F.col("first_a") != F.col("first_b"))
-    frequent = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.coalesce("known_b", F.lit(False)) > F.coalesce("known_a", F.lit(False)))) | (
-        (F.col("n_b") == F.col("n_a")) & (F.coalesce("known_b", F.lit(False)) == F.coalesce("known_a", F.lit(False))) & (F.col("b") < F.col("a"))
-    )
+    stands = lambda p: F.struct(F.col(f"score_{p}"), F.coalesce(f"known_{p}", F.lit(False)), F.col(p))
+    frequent = stands("b") > stands("a")
     few = (F.col("n_a") <= 2) | (3 * F.col("n_a") <= F.col("n_b"))
     to = both.where(~F.coalesce(two_names, F.lit(False)) & frequent & few).groupBy("a").agg(
-        F.max_by("b", F.struct(F.col("n_b"), F.col("b"))).alias("to")
+        F.max_by("b", F.struct(F.col("score_b"), F.col("b"))).alias("to")
     )
     step = cut(names.select("k").join(to.withColumnRenamed("a", "k"), "k", "left").select("k", F.coalesce("to", "k").alias("to")))
     twice = step.join(step.select(F.col("k").alias("to"), F.col("to").alias("to2")), "to").select("k", F.col("to2").alias("c"))
@@ -285,11 +288,23 @@ def _canonical(full: DataFrame) -> DataFrame:
     return names.select("k", "first", "surname").join(twice, "k").join(ends, "c").select("first", "surname", "c_first", "c_surname")
 
 
+def _unglued(full: DataFrame) -> DataFrame:
+    """Particles written in one with the surname are parted where the collection has the two apart."""
+    apart = full.where("particle != ''").groupBy("first", F.concat(F.regexp_replace("particle", " ", ""), "surname").alias("surname"))
+    apart = apart.agg(F.max(F.struct(F.col("surname").alias("s"), F.col("particle").alias("p"))).alias("was"))
+    full = full.join(apart, ["first", "surname"], "left")
+    parted = (F.col("particle") == "") & F.col("was").isNotNull()
+    return full.withColumns(
+        {"surname": F.when(parted, F.col("was.s")).otherwise(F.col("surname")), "particle": F.when(parted, F.col("was.p")).otherwise(F.col("particle"))}
+    ).drop("was")
+
+
 def resolve(parsed: DataFrame) -> DataFrame:
     """``(first_name, last_name, entity)`` of every spelling that names a person or collaboration."""
     spelling = ["first_name", "last_name"]
     org = parsed.where("kind = 'org'").select(*spelling, F.concat(F.lit("o|"), "surname").alias("entity"))
-    full = parsed.where("kind = 'full'").join(_canonical(parsed.where("kind = 'full'")), ["first", "surname"])
+    full = cut(_unglued(parsed.where("kind = 'full'")))
+    full = full.join(_canonical(full), ["first", "surname"])
     who = ["c_first", "c_surname"]
     # A dropped particle, then a dropped middle initial, where just one fits.
     particles = full.groupBy(*who).agg(_only("particle").alias("p"))
@@ -302,7 +317,8 @@ def resolve(parsed: DataFrame) -> DataFrame:
     short = parsed.where("kind = 'initial'").withColumn("letter", F.substring("parts", 1, 1))
     forms = short.select("surname", "particle", "letter", "parts", "mid").distinct()
     fits = (F.length("parts") == 1) | (F.col("parts") == F.col("full_parts"))
-    rank = F.when((F.col("mid") != "") & (F.col("mid") == F.col("m")), 2).when((F.col("mid") == "") | (F.col("m") == ""), 1)
+    both_initials = F.concat("parts", "mid") == F.col("full_parts")  # "J. P." for a compound name
+    rank = F.when(((F.col("mid") != "") & (F.col("mid") == F.col("m"))) | ((F.col("mid") != "") & both_initials), 2).when((F.col("mid") == "") | (F.col("m") == ""), 1)
     met = forms.join(persons, ["surname", "particle", "letter"]).where(fits).withColumn("rank", rank).where("rank is not null")
     form = ["surname", "particle", "parts", "mid"]
     met = met.groupBy(*form, "rank").agg(F.min("entity").alias("e"), F.max("entity").alias("e2"))
