@@ -5,11 +5,794 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions import detex as D
+from tidemark.functions import text as X
+from tidemark.functions import udfs
+from tidemark.operators import align as A
+from tidemark.operators import blocks as B
+from tidemark.operators import edits as E
+from tidemark.operators import metadata as M
+from tidemark.operators import sequences as Q
+from tidemark.operators import similarity as S
+from tidemark.plans import sqltext as L
+from tidemark.plans.runtime import cut
+from tidemark.sources import tables as T
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+PAIR = A.PAIR
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def big(*cols: str) -> list[F.Column]:
+    return [F.col(c).cast("bigint").alias(c) for c in cols]
+
+
+def _diff(spark: SparkSession, sf: str) -> DataFrame:
+    return T.diff_rows(T.table(spark, sf, "sentence_structs"))
+
+
+def _stored_edges(rows: DataFrame) -> DataFrame:
+    """Edges that the table itself holds: kept rows, and the places in ``aligned``."""
+    old = rows.where("code = -1").select(*PAIR, "id1", F.explode("aligned").alias("idx"))
+    new = rows.where("code = 1").select(*PAIR, "idx", "id2")
+    return A.identical(rows).unionByName(old.join(new, [*PAIR, "idx"]).select(*PAIR, "id1", "id2", F.lit("stored").alias("method")))
+
+
+_EDGES = """e AS (SELECT arxivid, v1, v2, id1, id2, 'identical' AS method FROM d WHERE code = 0
+  UNION ALL SELECT o.arxivid, o.v1, o.v2, o.id1, n.id2, 'stored' FROM (SELECT arxivid, v1, v2, id1, unnest(aligned) AS at FROM d WHERE code = -1) o
+  JOIN d n ON n.arxivid = o.arxivid AND n.v1 = o.v1 AND n.v2 = o.v2 AND n.idx = o.at AND n.code = 1)"""
+
+# --- sentences and filters -------------------------------------------------------------------
+
+_LINES = """l AS (SELECT file_id, arxivid, trim(t, ' ' || chr(9) || chr(13)) AS line FROM
+  (SELECT file_id, arxivid, unnest(string_split(body, chr(10))) AS t FROM text_files WHERE body IS NOT NULL))"""
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    files = T.table(spark, sf, "text_files").where("body is not null")
+    return files.select("file_id", "arxivid", F.explode(T.lines_of("body")).alias("line"))
+
+
+@query(
+    f"""WITH {_LINES} SELECT file_id, count(*) AS n_lines, count(*) FILTER ({L.sent_filter('line')}) AS n_kept,
+  count(*) FILTER ({L.is_title('line')}) AS n_titles, count(*) FILTER ({L.is_boring('line')}) AS n_boring,
+  CAST(sum(len({L.words('line')})) AS BIGINT) AS n_words, CAST(sum({L.tag_count('line')}) AS BIGINT) AS n_tags,
+  round(count(*) FILTER ({L.sent_filter('line')}) / count(*), 6) AS keep_rate FROM l WHERE line <> '' GROUP BY file_id"""
+)
+def sent_filter_counts(spark: SparkSession, sf: str) -> DataFrame:
+    df = _lines(spark, sf).withColumns({"kept": X.sent_filter("line"), "title": X.is_title("line")})
+    return df.groupBy("file_id").agg(
+        F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.count_if("title").alias("n_titles"),
+        F.count_if(F.col("title") | ~F.col("kept")).alias("n_boring"), F.sum(F.size(X.words("line"))).alias("n_words"),
+        F.sum(X.tag_count("line")).alias("n_tags"), F.round(F.count_if("kept") / F.count("*"), 6).alias("keep_rate"),
+    )
+
+
+@query(f"WITH {L.DIFF} SELECT struct_id, {L.is_boring('text')} AS boring, {L.sent_filter('text')} AS kept FROM d")
+def boring_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _diff(spark, sf).select("struct_id", X.is_boring("text").alias("boring"), X.sent_filter("text").alias("kept"))
+
+
+@query(f"WITH {_LINES} SELECT file_id, line, count(*) AS n FROM l WHERE {L.is_title('line')} GROUP BY ALL")
+def title_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _lines(spark, sf).where(X.is_title("line")).groupBy("file_id", "line").agg(F.count("*").alias("n"))
+
+
+_PARAGRAPHS = """ps AS (SELECT file_id, unnest(list_filter(list_transform(string_split(regexp_replace(replace(body, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), chr(10) || chr(10)),
+    lambda q: list_filter(list_transform(string_split(q, chr(10)), lambda z: trim(z, ' ' || chr(9) || chr(13))), lambda z: z <> '')), lambda q: len(q) > 0)) AS ss,
+    unnest(range(0, 100000)) AS p FROM text_files WHERE body IS NOT NULL),
+  u AS (SELECT file_id, CAST(p AS INTEGER) AS p, unnest(ss) AS text, unnest(range(0, len(ss))) AS s FROM ps WHERE ss IS NOT NULL)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT file_id, p, CAST(s AS INTEGER) AS s, text FROM u")
+def paragraph_lines(spark: SparkSession, sf: str) -> DataFrame:
+    files = T.table(spark, sf, "text_files").where("body is not null")
+    return T.paragraph_sentences(files, ["file_id"])
+
+
+@query(
+    f"""WITH {_PARAGRAPHS} SELECT file_id, count(DISTINCT p) AS n_paragraphs, count(*) AS n_sentences FROM u WHERE {L.sent_filter('text')} GROUP BY file_id"""
+)
+def doc_filter_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    kept = paragraph_lines(spark, sf).where(X.sent_filter("text"))
+    return kept.groupBy("file_id").agg(F.countDistinct("p").alias("n_paragraphs"), F.count("*").alias("n_sentences"))
+
+
+@query("SELECT file_id, NOT regexp_matches(body, '(?m)^[^%\\n]*\\\\input harvmac') AS kept FROM latex_files WHERE body IS NOT NULL")
+def harvmac_filter(spark: SparkSession, sf: str) -> DataFrame:
+    files = T.table(spark, sf, "latex_files").where("body is not null")
+    return files.select("file_id", (~F.col("body").rlike(r"(?m)^[^%\n]*\\input harvmac")).alias("kept"))
+
+
+@query(
+    f"""WITH {L.DIFF}, c AS (SELECT *, len(list_filter({L.words('text')}, lambda w: w = '[MATH]')) >= 3 AS heavy FROM d)
+  SELECT arxivid, v1, v2, count(*) FILTER (heavy AND code <= 0) * count(*) FILTER (heavy AND code >= 0) AS product,
+  count(*) FILTER (heavy AND code <= 0) * count(*) FILTER (heavy AND code >= 0) <= 5000 AS kept FROM c GROUP BY arxivid, v1, v2"""
+)
+def doc_pair_filter(spark: SparkSession, sf: str) -> DataFrame:
+    heavy = F.size(F.filter("words", lambda w: w == "[MATH]")) >= 3
+    c = _diff(spark, sf).groupBy(*PAIR).agg(F.count_if(heavy & (F.col("code") <= 0)).alias("a"), F.count_if(heavy & (F.col("code") >= 0)).alias("b"))
+    return c.select(*PAIR, (F.col("a") * F.col("b")).alias("product"), (F.col("a") * F.col("b") <= 5000).alias("kept"))
+
+
+@query(f"WITH {L.DIFF} SELECT struct_id, len({L.words('text')}) AS n_words, array_to_string({L.words('text')}, ' ') AS words FROM d")
+def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _diff(spark, sf).select("struct_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
+
+
+@query(f"WITH {L.DIFF}, w AS (SELECT {L.words('text')} AS ws FROM d), g AS (SELECT unnest({L.bigrams('ws')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM g GROUP BY bigram")
+def word_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    return _diff(spark, sf).select(F.explode(X.n_grams("words", 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {L.DIFF}, w AS (SELECT list_transform({L.words('text')}, lambda z: lower(z)) AS ws FROM d),
+  g AS (SELECT 1 AS k, unnest(ws) AS gram FROM w UNION ALL SELECT 2, unnest({L.bigrams('ws')}) FROM w
+    UNION ALL SELECT 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w)
+  SELECT gram, k, count(*) AS n FROM g GROUP BY gram, k HAVING count(*) > 1"""
+)
+def ngrams_1_to_n(spark: SparkSession, sf: str) -> DataFrame:
+    low = _diff(spark, sf).select(F.transform("words", F.lower).alias("ws"))
+    grams = None
+    for k in (1, 2, 3):
+        g = low.select(F.explode(X.n_grams("ws", k)).alias("gram"), F.lit(k).alias("k"))
+        grams = g if grams is None else grams.unionByName(g)
+    return grams.groupBy("gram", "k").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(
+    """SELECT file_id, CAST(len(parts) AS BIGINT) AS n_parts, array_to_string(parts, chr(1)) AS parts FROM (SELECT file_id,
+  string_split(regexp_replace(body, '(\\[EQUATION\\])\\s*([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS parts FROM text_files WHERE body IS NOT NULL)"""
+)
+def split_on_tag(spark: SparkSession, sf: str) -> DataFrame:
+    parts = T.table(spark, sf, "text_files").where("body is not null").select("file_id", X.split_on_tag("body").alias("parts"))
+    return parts.select("file_id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join("parts", "\u0001").alias("parts"))
+
+
+@query()
+def join_false_splits(spark: SparkSession, sf: str) -> DataFrame:
+    ps = paragraph_lines(spark, sf)
+    naive = F.split(F.regexp_replace("text", "([.!?]) +", "$1\u0001"), "\u0001")
+    return ps.select("file_id", "p", "s", F.size(naive).alias("n_split"), X.join_false_splits(naive).alias("j")).select(
+        "file_id", "p", "s", "n_split", F.size("j").alias("n_joined"), F.array_join("j", "\n").alias("sentences")
+    )
+
+
+@query(f"WITH {L.DIFF} SELECT struct_id, {L.preprocess('text')} AS sentence FROM d")
+def preprocess_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return _diff(spark, sf).select("struct_id", X.preprocess_sent("text").alias("sentence"))
+
+
+@query(
+    f"""WITH i AS (SELECT struct_id, unnest(identifiers) AS id FROM sentence_structs)
+  SELECT struct_id, id, {L.sentence_part('id', 1)} AS arxivid, TRY_CAST({L.sentence_part('id', 2)} AS INTEGER) AS version,
+  TRY_CAST({L.sentence_part('id', 3)} AS INTEGER) AS p, TRY_CAST({L.sentence_part('id', 4)} AS INTEGER) AS s FROM i"""
+)
+def sentence_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ids = T.table(spark, sf, "sentence_structs").select("struct_id", F.explode("identifiers").alias("id"))
+    return ids.select("struct_id", "id", X.sentence_id("id").alias("x")).select("struct_id", "id", "x.*")
+
+
+@query("SELECT file_id, regexp_replace(body, '(^|[^\\\\])%[^\\n]*', '\\1', 'g') AS body FROM latex_files WHERE body IS NOT NULL")
+def remove_comments(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "latex_files").where("body is not null").select("file_id", X.remove_comments("body").alias("body"))
+
+
+@query(
+    f"""WITH {L.DIFF} SELECT struct_id, regexp_replace(regexp_replace(text, '\\[MATH\\](?:[ \\t\\n\\r]+\\[MATH\\])+', '[MATH]', 'g'),
+  '\\[EQUATION\\](?:[ \\t\\n\\r]+\\[EQUATION\\])+', '[EQUATION]', 'g') AS text FROM d"""
+)
+def collapse_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return _diff(spark, sf).select("struct_id", X.collapse_tags("text").alias("text"))
+
+
+@query()
+def detex_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "latex_files").where("body is not null").select("file_id", D.detex_udf("body").alias("text"))
+
+
+@query(
+    """SELECT file_id, CASE WHEN body IS NULL THEN 'missing' WHEN trim(lower(body)) = '' THEN 'empty' WHEN starts_with(lower(body), '%pdf') THEN 'pdf'
+  WHEN starts_with(lower(body), '%!ps') THEN 'postscript' WHEN contains(lower(body), '<html') OR contains(lower(body), '<!doctype html') THEN 'html'
+  WHEN contains(lower(body), '\\documentclass') OR contains(lower(body), '\\documentstyle') OR contains(lower(body), '\\begin{document}') THEN 'tex'
+  ELSE 'text' END AS kind FROM latex_files"""
+)
+def content_types(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "latex_files").select("file_id", X.content_type("body").alias("kind"))
+
+
+@query(
+    """WITH f AS (SELECT *, regexp_matches(body, '\\\\document(?:class|style)|\\\\begin\\s*\\{document\\}') AS begins,
+    regexp_matches(lower(latex_path), '\\.(dtx|sty|bbl)$') AS aux FROM latex_files WHERE length(body) > 0),
+  c AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (begins) OVER w AS b FROM f WINDOW w AS (PARTITION BY arxivid)),
+  k AS (SELECT *, row_number() OVER (PARTITION BY arxivid ORDER BY length(body) DESC, file_id) AS rn FROM c WHERE n = 1 OR (begins AND (b = 1 OR NOT aux)))
+  SELECT arxivid, file_id, latex_path, CAST(length(body) AS INTEGER) AS n_chars FROM k WHERE rn = 1"""
+)
+def file_selection_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    return M.main_file(T.table(spark, sf, "latex_files"), ["arxivid"])
+
+
+# --- metadata --------------------------------------------------------------------------------
+
+
+@query("SELECT arxiv_id, max(number) AS version_count FROM versions GROUP BY arxiv_id HAVING max(number) > 1")
+def multi_version_papers(spark: SparkSession, sf: str) -> DataFrame:
+    return M.multi_version(T.table(spark, sf, "versions"))
+
+
+@query(
+    """WITH m AS (SELECT arxiv_id, max(number) AS n FROM versions GROUP BY arxiv_id HAVING max(number) > 1)
+  SELECT arxiv_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS version FROM m"""
+)
+def version_expand(spark: SparkSession, sf: str) -> DataFrame:
+    return M.expand_versions(multi_version_papers(spark, sf))
+
+
+@query(
+    """WITH m AS (SELECT arxiv_id, max(number) AS n FROM versions GROUP BY arxiv_id HAVING max(number) > 1),
+  x AS (SELECT arxiv_id, CAST(unnest(range(1, n)) AS INTEGER) AS v1 FROM m) SELECT arxiv_id, v1, v1 + 1 AS v2 FROM x"""
+)
+def announced_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return M.announced_pairs(multi_version_papers(spark, sf))
+
+
+_TIMES = "t AS (SELECT arxiv_id, number, min(version_time) AS version_time FROM versions WHERE arxiv_id IS NOT NULL AND number IS NOT NULL GROUP BY arxiv_id, number)"
+_DELTAS = f"""{_TIMES}, dd AS (SELECT a.arxiv_id, a.number AS v1, b.number AS v2,
+  CAST(floor((epoch_us(a.version_time) - epoch_us(b.version_time)) / 86400000000.0) AS INTEGER) AS days FROM t a JOIN t b ON a.arxiv_id = b.arxiv_id AND b.number = a.number + 1)"""
+
+
+@query(f"WITH {_TIMES} SELECT a.arxiv_id, a.number AS v1, b.number AS v2 FROM t a JOIN t b ON a.arxiv_id = b.arxiv_id AND b.number = a.number + 1")
+def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return M.version_pairs(M.version_times(T.table(spark, sf, "versions"))).select("arxiv_id", "v1", "v2")
+
+
+@query(f"WITH {_DELTAS} SELECT arxiv_id, v1, v2, days FROM dd")
+def version_day_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return M.day_deltas(M.version_pairs(M.version_times(T.table(spark, sf, "versions"))))
+
+
+@query(
+    f"""WITH {_DELTAS} SELECT v1, v2, round(avg(days), 6) AS mean_days, round(quantile_cont(days, 0.5), 6) AS median_days, count(*) AS n
+  FROM dd WHERE days IS NOT NULL GROUP BY v1, v2"""
+)
+def avg_time_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    return M.delta_measures(
+        version_day_deltas(spark, sf), mean_days=lambda d: F.round(F.avg(d), 6), median_days=lambda d: F.round(F.percentile(d, 0.5), 6), n=F.count
+    )
+
+
+@query(
+    f"""WITH {_TIMES}, v AS (SELECT arxiv_id, count(*) AS n_versions, max(number) AS last_version FROM t GROUP BY arxiv_id),
+  c AS (SELECT arxiv_id, string_agg(DISTINCT spec, ' ' ORDER BY spec) AS categories FROM categories GROUP BY arxiv_id),
+  a AS (SELECT arxiv_id, count(DISTINCT (coalesce(first_name, ''), last_name)) AS n_authors FROM authors GROUP BY arxiv_id)
+  SELECT arxiv_id, n_versions, last_version, categories, n_authors FROM v JOIN c USING (arxiv_id) JOIN a USING (arxiv_id)"""
+)
+def paper_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    df = M.assemble(T.table(spark, sf, "versions"), T.table(spark, sf, "categories"), T.table(spark, sf, "authors"))
+    return df.select(
+        "arxiv_id", F.size("versions").cast("bigint").alias("n_versions"), F.array_max(F.map_keys("versions")).alias("last_version"),
+        F.array_join("categories", " ").alias("categories"), F.size("authors").cast("bigint").alias("n_authors"),
+    )
+
+
+@query(
+    """SELECT arxiv_id, min(spec) AS spec FROM categories WHERE arxiv_id NOT IN (SELECT arxivid FROM latex_files WHERE arxivid IS NOT NULL) GROUP BY arxiv_id"""
+)
+def insert_ignore_new_papers(spark: SparkSession, sf: str) -> DataFrame:
+    known = T.table(spark, sf, "latex_files").select(F.col("arxivid").alias("arxiv_id"))
+    return M.insert_ignore(known, T.table(spark, sf, "categories").select("arxiv_id", "spec"), ["arxiv_id"])
+
+
+@query(
+    """SELECT v.arxiv_id, v.number, c.spec FROM (SELECT DISTINCT arxiv_id, number FROM versions) v JOIN categories c USING (arxiv_id)
+  WHERE v.arxiv_id NOT IN (SELECT arxivid FROM text_files WHERE arxivid IS NOT NULL)"""
+)
+def harvest_merge(spark: SparkSession, sf: str) -> DataFrame:
+    seen = T.table(spark, sf, "text_files").select(F.col("arxivid").alias("arxiv_id"))
+    v = T.table(spark, sf, "versions").select("arxiv_id", "number").distinct()
+    return M.merge_streams(v, T.table(spark, sf, "categories").select("arxiv_id", "spec"), "arxiv_id", seen)
+
+
+@query(
+    """WITH l AS (SELECT DISTINCT regexp_extract(latex_path, '/([^/]+)/v(\\d+)/', 1) AS id, CAST(regexp_extract(latex_path, '/([^/]+)/v(\\d+)/', 2) AS INTEGER) AS version
+  FROM latex_files WHERE regexp_matches(latex_path, '/([^/]+)/v(\\d+)/')) SELECT id, max(version) AS version, count(*) AS n_versions FROM l GROUP BY id"""
+)
+def directory_listing(spark: SparkSession, sf: str) -> DataFrame:
+    listed = T.file_listing(T.table(spark, sf, "latex_files"), "latex_path")
+    return listed.groupBy("id").agg(F.max("version").alias("version"), F.count("*").alias("n_versions"))
+
+
+@query("SELECT arxiv_id, replace(arxiv_id, '/', '-') AS path FROM papers")
+def id_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "papers").select("arxiv_id", X.id_to_path("arxiv_id").alias("path"))
+
+
+@query("SELECT arxiv_id FROM papers ORDER BY md5(arxiv_id), arxiv_id LIMIT 100")
+def paper_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return M.hash_sample(T.table(spark, sf, "papers"), "arxiv_id", 100).select("arxiv_id")
+
+
+@query(
+    f"""WITH {_TIMES}, f AS (SELECT DISTINCT arxivid AS arxiv_id, version_no AS number FROM text_files WHERE body IS NOT NULL)
+  SELECT count(*) AS total, count(f.number) AS done, round(100 * count(f.number) / count(*), 6) AS percent FROM t LEFT JOIN f ON t.arxiv_id = f.arxiv_id AND t.number = f.number"""
+)
+def progress_percent(spark: SparkSession, sf: str) -> DataFrame:
+    all_keys = M.version_times(T.table(spark, sf, "versions"))
+    done = T.table(spark, sf, "text_files").where("body is not null").select(F.col("arxivid").alias("arxiv_id"), F.col("version_no").alias("number"))
+    return M.progress(all_keys, done, ["arxiv_id", "number"])
+
+
+@query(
+    f"""WITH {_TIMES}, f AS (SELECT DISTINCT arxivid AS arxiv_id, version_no AS number FROM text_files)
+  SELECT t.arxiv_id, count(*) = count(f.number) AS complete FROM t LEFT JOIN f ON t.arxiv_id = f.arxiv_id AND t.number = f.number GROUP BY t.arxiv_id"""
+)
+def all_versions_present(spark: SparkSession, sf: str) -> DataFrame:
+    f = T.table(spark, sf, "text_files").select(F.col("arxivid").alias("arxiv_id"), F.col("version_no").alias("number"), F.lit(1).alias("x")).distinct()
+    t = M.version_times(T.table(spark, sf, "versions")).join(f, ["arxiv_id", "number"], "left")
+    return t.groupBy("arxiv_id").agg((F.count("*") == F.count("x")).alias("complete"))
+
+
+@query(
+    f"""WITH {L.DIFF}, p AS (SELECT arxivid, v1, v2, count(*) FILTER (code <= 0 AND text <> '') AS n1, count(*) FILTER (code >= 0 AND text <> '') AS n2,
+    CAST(sum(len({L.words('text')})) FILTER (code >= 0) AS BIGINT) AS w2 FROM d GROUP BY arxivid, v1, v2)
+  SELECT count(DISTINCT arxivid) AS n_papers, count(*) AS n_pairs, CAST(sum(n1) AS BIGINT) AS n_old_sentences, CAST(sum(n2) AS BIGINT) AS n_new_sentences,
+  CAST(sum(w2) AS BIGINT) AS n_new_words FROM p"""
+)
+def corpus_overview(spark: SparkSession, sf: str) -> DataFrame:
+    full = F.col("text") != ""
+    per = _diff(spark, sf).groupBy(*PAIR).agg(
+        F.count_if(full & (F.col("code") <= 0)).alias("n1"), F.count_if(full & (F.col("code") >= 0)).alias("n2"),
+        F.sum(F.when(F.col("code") >= 0, F.size("words"))).alias("w2"),
+    )
+    return per.agg(
+        F.countDistinct("arxivid").alias("n_papers"), F.count("*").alias("n_pairs"), F.sum("n1").alias("n_old_sentences"),
+        F.sum("n2").alias("n_new_sentences"), F.sum("w2").alias("n_new_words"),
+    )
+
+
+# --- alignment -------------------------------------------------------------------------------
+
+
+@query(f"WITH {L.DIFF} SELECT arxivid, v1, v2, id1, id2 FROM d WHERE code = 0")
+def identical_align(spark: SparkSession, sf: str) -> DataFrame:
+    return A.identical(_diff(spark, sf)).drop("method")
+
+
+@query(f"WITH {L.OPEN} SELECT arxivid, v1, v2, block, count(*) AS n_rows, count(*) FILTER (code = -1 AND NOT boring) AS n_removed, count(*) FILTER (code = 1 AND NOT boring) AS n_added FROM b GROUP BY ALL")
+def block_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    b = A.blocks(_diff(spark, sf)).withColumn("good", ~X.is_boring("text"))
+    return b.groupBy(*PAIR, "block").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.expr("code = -1 and good")).alias("n_removed"), F.count_if(F.expr("code = 1 and good")).alias("n_added")
+    )
+
+
+@query(f"WITH {L.DIFF}, {_EDGES}, s AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0) "
+       f"SELECT arxivid, v1, v2, side, id, text FROM s WHERE NOT {L.is_boring('text')} AND NOT EXISTS (SELECT 1 FROM e WHERE e.arxivid = s.arxivid AND e.v1 = s.v1 AND e.v2 = s.v2 "
+       "AND ((s.side = 1 AND e.id1 = s.id) OR (s.side = 2 AND e.id2 = s.id)))")
+def unaligned_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _diff(spark, sf)
+    return A.unaligned(rows, _stored_edges(rows))
+
+
+_WORDS_OPEN = f"o AS (SELECT *, {L.words('text')} AS ws FROM b WHERE NOT boring AND code <> 0), n AS (SELECT *, array_to_string(ws, ' ') AS t, length(array_to_string(ws, '')) AS n FROM o)"
+
+
+@query(
+    f"""WITH {L.OPEN}, {_WORDS_OPEN} SELECT x.arxivid, x.v1, x.v2, x.block, x.id1, y.id2 FROM n x JOIN n y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 AND x.block = y.block
+  WHERE x.code = -1 AND y.code = 1 AND ((x.n > 0 AND x.n - y.n <= 0.2 * x.n AND y.n - x.n <= 0.4 * x.n) OR contains(x.t, y.t) OR contains(y.t, x.t))"""
+)
+def block_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.open_rows(A.blocks(_diff(spark, sf)))
+    return A.candidates(rows, [*PAIR, "block"]).select(*PAIR, "block", "id1", "id2")
+
+
+@query()
+def block_align(spark: SparkSession, sf: str) -> DataFrame:
+    return A.similar_edges(A.open_rows(A.blocks(_diff(spark, sf))), [*PAIR, "block"], "block")
+
+
+@query()
+def document_align(spark: SparkSession, sf: str) -> DataFrame:
+    return A.align(cut(_diff(spark, sf)))
+
+
+@query(
+    f"""WITH {L.DIFF}, {_EDGES}, m AS (SELECT o.arxivid, o.v1, o.v2, o.id1, n.id2, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.arxivid = o.arxivid AND e.v1 = o.v1
+    AND e.v2 = o.v2 AND e.id1 = o.id1 AND e.id2 = n.id2) THEN 1 ELSE 3 END AS method FROM d o JOIN d n ON o.arxivid = n.arxivid AND o.v1 = n.v1 AND o.v2 = n.v2
+    WHERE o.code <= 0 AND n.code >= 0) SELECT arxivid, v1, v2, method AS aligning_method, count(*) AS n FROM m GROUP BY ALL"""
+)
+def pair_cross_export(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _diff(spark, sf)
+    return A.cross_export(rows, _stored_edges(rows)).groupBy(*PAIR, "aligning_method").agg(F.count("*").alias("n"))
+
+
+_FREE = f"""{L.DIFF}, {_EDGES}, s AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0),
+  fr AS (SELECT *, CAST({L.sentence_part('id', 3)} AS INTEGER) AS p, CAST({L.sentence_part('id', 4)} AS INTEGER) AS q FROM s WHERE NOT {L.is_boring('text')}
+    AND NOT EXISTS (SELECT 1 FROM e WHERE e.arxivid = s.arxivid AND e.v1 = s.v1 AND e.v2 = s.v2 AND ((s.side = 1 AND e.id1 = s.id) OR (s.side = 2 AND e.id2 = s.id)))),
+  np AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY arxivid, v1, v2, side ORDER BY p) - 1 AS INTEGER) AS new_p FROM fr)"""
+
+
+@query(f"WITH {_FREE} SELECT arxivid, v1, v2, side, id, new_p, CAST(row_number() OVER (PARTITION BY arxivid, v1, v2, side, new_p ORDER BY p, q) - 1 AS INTEGER) AS new_s FROM np")
+def unaligned_renumber(spark: SparkSession, sf: str) -> DataFrame:
+    return A.renumber(unaligned_sentences(spark, sf)).select(*PAIR, "side", "id", "new_p", "new_s")
+
+
+@query(
+    """WITH i AS (SELECT unnest(identifiers) AS id, diff.sentence AS text FROM sentence_structs)
+  SELECT id, count(DISTINCT text) AS n_texts FROM i GROUP BY id HAVING count(DISTINCT text) > 1"""
+)
+def inconsistent_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ids = T.table(spark, sf, "sentence_structs").select(F.explode("identifiers").alias("sent_0_idx"), F.col("diff.sentence").alias("sent_0"))
+    return A.inconsistent_ids(ids.withColumns({"sent_1_idx": F.col("sent_0_idx"), "sent_1": F.col("sent_0")}))
+
+
+@query(
+    f"""WITH {L.DIFF}, m AS (SELECT arxivid, v1, v2, coalesce(status, 'NONE') AS model, count(*) AS n FROM d GROUP BY ALL)
+  SELECT arxivid, v1, v2, arg_min(model, (n, model)) AS model, min(n) AS n_unaligned FROM m GROUP BY arxivid, v1, v2"""
+)
+def best_model(spark: SparkSession, sf: str) -> DataFrame:
+    m = _diff(spark, sf).groupBy(*PAIR, F.coalesce("status", F.lit("NONE")).alias("model")).agg(F.count("*").alias("n_unaligned"))
+    return A.best_model(m, PAIR, "model", "n_unaligned")
+
+
+@query(
+    f"""WITH {_FREE}, nm AS (SELECT *, row_number() OVER (PARTITION BY arxivid, v1, v2, side, new_p ORDER BY p, q) - 1 AS new_s FROM np),
+  mk AS (SELECT x.arxivid, x.v1, x.v2, x.id AS id1, y.id AS id2, 'manual' AS method FROM nm x JOIN nm y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2
+    AND x.side = 1 AND y.side = 2 AND x.new_p = y.new_p AND x.new_s = y.new_s) SELECT arxivid, v1, v2, id1, id2, method FROM e UNION ALL SELECT * FROM mk"""
+)
+def manual_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _diff(spark, sf)
+    places = cut(unaligned_renumber(spark, sf))
+    marks = places.where("side = 1").select(*PAIR, "new_p", "new_s").join(places.where("side = 2").select(*PAIR, "new_p", "new_s"), [*PAIR, "new_p", "new_s"])
+    manual = marks.select(*PAIR, *[F.col(c).alias(f"{c[-1]}{k}") for k in (1, 2) for c in ("new_p", "new_s")], F.lit(1).alias("aligning_method"))
+    return A.merge_manual(_stored_edges(rows), manual, places).select(*PAIR, "id1", "id2", "method")
+
+
+# --- similarity ------------------------------------------------------------------------------
+
+_PAIRS = f"""{L.OPEN}, o AS (SELECT * FROM b WHERE NOT boring AND code <> 0),
+  tp AS (SELECT DISTINCT x.arxivid, x.v1, x.v2, x.text AS text1, y.text AS text2 FROM o x JOIN o y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 AND x.block = y.block
+    WHERE x.code = -1 AND y.code = 1),
+  pw AS (SELECT *, {L.words(L.preprocess('text1'))} AS w1, {L.words(L.preprocess('text2'))} AS w2 FROM tp),
+  pg AS (SELECT *, {L.bigrams('w1')} AS g1, {L.bigrams('w2')} AS g2 FROM pw)"""
+
+
+def _text_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return S.text_pairs(A.blocks(_diff(spark, sf)), [*PAIR, "block"]).drop("block").distinct()
+
+
+@query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round(CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END, 6) AS jaccard FROM pg")
+def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return S.with_jaccard(_text_pairs(spark, sf)).select(*PAIR, "text1", "text2", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round(CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('g1', 'g2')} END, 6) AS jaccard_2_gram FROM pg")
+def jaccard_bigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return S.with_jaccard(_text_pairs(spark, sf)).select(*PAIR, "text1", "text2", F.round("jaccard_2_gram", 6).alias("jaccard_2_gram"))
+
+
+@query(
+    f"""WITH {_PAIRS}, j AS (SELECT arxivid, v1, v2, text1, text2, CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END AS jaccard FROM pg),
+  r AS (SELECT arxivid, v1, v2, text1 AS text, jaccard FROM j UNION ALL SELECT arxivid, v1, v2, text2, jaccard FROM j)
+  SELECT arxivid, v1, v2, text, count(*) AS n_similar, round(max(jaccard), 6) AS max_jaccard, round(avg(jaccard), 6) AS avg_jaccard FROM r GROUP BY ALL"""
+)
+def similarity_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = S.vectors(S.with_jaccard(_text_pairs(spark, sf)), PAIR, ("jaccard",))
+    return v.select(*PAIR, "text", "n_similar", F.round("max_jaccard", 6).alias("max_jaccard"), F.round("avg_jaccard", 6).alias("avg_jaccard"))
+
+
+@query()
+def lcs_length(spark: SparkSession, sf: str) -> DataFrame:
+    p = S.with_jaccard(_text_pairs(spark, sf))
+    return p.select(*PAIR, "text1", "text2", udfs.lcs_length("w1", "w2").alias("lcs_length"))
+
+
+@query()
+def diff_sim(spark: SparkSession, sf: str) -> DataFrame:
+    p = S.with_diff(S.with_jaccard(_text_pairs(spark, sf)))
+    return p.select(*PAIR, "text1", "text2", F.round("diff", 6).alias("diff"), F.round("diff_2_gram", 6).alias("diff_2_gram"))
+
+
+@query()
+def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    p = S.with_jaccard(_text_pairs(spark, sf))
+    return p.select(*PAIR, "text1", "text2", udfs.similar("w1", "w2").alias("similar"))
+
+
+@query()
+def fast_diff_rows(spark: SparkSession, sf: str) -> DataFrame:
+    edits = edit_pairs(spark, sf).select(*PAIR, "id1", "id2", F.posexplode(udfs.fast_diff(X.tokens("s1"), X.tokens("s2"))).alias("pos", "d"))
+    return edits.select(*PAIR, "id1", "id2", "pos", "d.code", "d.text")
+
+
+@query()
+def show_difference(spark: SparkSession, sf: str) -> DataFrame:
+    bare = lambda c: X.tokens(F.rtrim(F.regexp_replace(c, "\\.+$", "")))
+    return edit_pairs(spark, sf).select(*PAIR, "id1", "id2", udfs.mark_changes(bare("s1"), bare("s2")).alias("m")).select(*PAIR, "id1", "id2", "m.old", "m.new")
+
+
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _diff(spark, sf)
+    vecs = S.vectors(S.with_diff(S.with_jaccard(_text_pairs(spark, sf))), PAIR)
+    texts = rows.where(~X.is_boring("text")).select(*PAIR, "text").distinct()
+    return S.feature_rows(texts, vecs, PAIR)
+
+
+@query()
+def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    df = _features(spark, sf)
+    return df.select(*PAIR, "text", *[F.round(c, 6).alias(c) if "n_" != c[:2] else F.col(c) for c in S.FEATURES])
+
+
+@query(
+    f"""WITH {L.DIFF}, tt AS (SELECT DISTINCT arxivid, v1, v2, text FROM d WHERE NOT {L.is_boring('text')}), tk AS (SELECT *, {L.tokens(L.preprocess('text'))} AS ts FROM tt)
+  SELECT arxivid, v1, v2, text, CAST(len(ts) AS BIGINT) AS n_tokens,
+  CAST(len(list_filter(ts, lambda t: contains(t, '[MATH]') OR contains(t, '[EQUATION]') OR contains(t, '[CITATION]') OR contains(t, '[REF]'))) AS BIGINT) AS n_special_tokens FROM tk"""
+)
+def token_features(spark: SparkSession, sf: str) -> DataFrame:
+    texts = _diff(spark, sf).where(~X.is_boring("text")).select(*PAIR, "text").distinct()
+    return S.token_features(texts).select(*PAIR, "text", *big("n_tokens", "n_special_tokens"))
+
+
+@query(
+    f"""WITH {L.OPEN}, {_EDGES}, {_PAIRS[len(L.OPEN) + 2:]}, j AS (SELECT arxivid, v1, v2, text1, text2, CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END AS jaccard FROM pg),
+  x AS (SELECT o1.arxivid, o1.v1, o1.v2, o1.id1, o2.id2, o1.text AS text1, o2.text AS text2 FROM b o1 JOIN b o2 ON o1.arxivid = o2.arxivid AND o1.v1 = o2.v1 AND o1.v2 = o2.v2
+    WHERE o1.code <= 0 AND o2.code >= 0 AND NOT o1.boring AND NOT o2.boring),
+  de AS (SELECT DISTINCT arxivid, v1, v2, id1, id2 FROM e), d1 AS (SELECT DISTINCT arxivid, v1, v2, id1 FROM e), d2 AS (SELECT DISTINCT arxivid, v1, v2, id2 FROM e),
+  val AS (SELECT x.*, CASE WHEN de.id1 IS NOT NULL THEN 1.0 WHEN d1.id1 IS NOT NULL OR d2.id2 IS NOT NULL THEN -1.0 ELSE coalesce(j.jaccard, 0.0) END AS value FROM x
+    LEFT JOIN de ON x.arxivid = de.arxivid AND x.v1 = de.v1 AND x.v2 = de.v2 AND x.id1 = de.id1 AND x.id2 = de.id2
+    LEFT JOIN d1 ON x.arxivid = d1.arxivid AND x.v1 = d1.v1 AND x.v2 = d1.v2 AND x.id1 = d1.id1
+    LEFT JOIN d2 ON x.arxivid = d2.arxivid AND x.v1 = d2.v1 AND x.v2 = d2.v2 AND x.id2 = d2.id2
+    LEFT JOIN j ON x.arxivid = j.arxivid AND x.v1 = j.v1 AND x.v2 = j.v2 AND x.text1 = j.text1 AND x.text2 = j.text2)
+  SELECT arxivid, v1, v2, count(*) AS n_cells, count(*) FILTER (value = 1) AS n_aligned, count(*) FILTER (value = -1) AS n_taken,
+  round(sum(value) FILTER (value >= 0), 4) AS heat FROM val GROUP BY arxivid, v1, v2"""
+)
+def heatmap_cells(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.blocks(_diff(spark, sf))
+    cells = S.heatmap(rows, _stored_edges(rows), S.with_jaccard(_text_pairs(spark, sf)))
+    v = F.col("value")
+    return cells.groupBy(*PAIR).agg(
+        F.count("*").alias("n_cells"), F.count_if(v == 1).alias("n_aligned"), F.count_if(v == -1).alias("n_taken"), F.round(F.sum(F.when(v >= 0, v)), 4).alias("heat")
+    )
+
+
+# --- sequences -------------------------------------------------------------------------------
+
+_SENTS = f"""{L.DIFF}, {_EDGES}, sd AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0),
+  eh AS (SELECT DISTINCT arxivid, v1, v2, 1 AS side, id1 AS id FROM e UNION SELECT DISTINCT arxivid, v1, v2, 2, id2 FROM e),
+  ss AS (SELECT sd.*, CAST({L.sentence_part('sd.id', 3)} AS INTEGER) AS p, CAST({L.sentence_part('sd.id', 4)} AS INTEGER) AS s, {L.is_boring('sd.text')} AS boring, eh.id IS NOT NULL AS aligned
+    FROM sd LEFT JOIN eh ON sd.arxivid = eh.arxivid AND sd.v1 = eh.v1 AND sd.v2 = eh.v2 AND sd.side = eh.side AND sd.id = eh.id)"""
+
+
+def _sents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _diff(spark, sf)
+    return B.side_sentences(rows, _stored_edges(rows))
+
+
+_CHUNKS = """mk AS (SELECT *, (NOT aligned OR boring) AS ok FROM ss), isl AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END)
+    OVER (PARTITION BY arxivid, v1, v2, side ORDER BY p, s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM mk),
+  cn AS (SELECT *, count(*) OVER (PARTITION BY arxivid, v1, v2, side, island) AS island_size FROM isl WHERE ok)"""
+
+
+@query(f"WITH {_SENTS}, {_CHUNKS} SELECT arxivid, v1, v2, side, id, island_size FROM cn WHERE island_size >= 5")
+def islands_min_length(spark: SparkSession, sf: str) -> DataFrame:
+    return B.chunks(_sents(spark, sf), 5).select(*PAIR, "side", "id", "island_size")
+
+
+@query(
+    f"""WITH {_SENTS} SELECT arxivid, v1, v2, side, id, coalesce(lag(length(text), 2) OVER w, -1) AS before2, coalesce(lag(length(text)) OVER w, -1) AS before1,
+  length(text) AS own, coalesce(lead(length(text)) OVER w, -1) AS after1, coalesce(lead(length(text), 2) OVER w, -1) AS after2 FROM ss
+  WINDOW w AS (PARTITION BY arxivid, v1, v2, side ORDER BY p, s)"""
+)
+def neighbour_window(spark: SparkSession, sf: str) -> DataFrame:
+    sents = _sents(spark, sf).withColumn("n", F.length("text").cast("bigint"))
+    w = Q.neighbours(sents, [*PAIR, "side"], ["p", "s"], "n", 2, F.lit(-1).cast("bigint"))
+    return w.select(*PAIR, "side", "id", *[F.get("window", F.lit(k)).alias(n) for k, n in enumerate(("before2", "before1", "own", "after1", "after2"))])
+
+
+@query(
+    f"""WITH {L.DIFF}, k AS (SELECT *, sum(CASE WHEN code = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY arxivid, v1, v2 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM d),
+  r AS (SELECT arxivid, v1, v2, CAST(run AS INTEGER) AS run, count(*) FILTER (code = -1) AS n_removed FROM k WHERE code <> 0 GROUP BY ALL) SELECT * FROM r WHERE n_removed > 0 OR run = 0"""
+)
+def unaligned_run_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.change_runs(_diff(spark, sf), PAIR, ["idx"])
+
+
+@query(
+    f"""WITH {L.DIFF}, o AS (SELECT *, CAST(coalesce(sum(CASE WHEN text = '' THEN 1 ELSE 0 END) OVER (PARTITION BY arxivid, v1, v2 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS p
+    FROM d WHERE code <= 0) SELECT arxivid, v1, v2, idx, p, CAST(row_number() OVER (PARTITION BY arxivid, v1, v2, p ORDER BY idx) - 1 AS INTEGER) AS s FROM o"""
+)
+def running_sentence_ids(spark: SparkSession, sf: str) -> DataFrame:
+    old = _diff(spark, sf).where("code <= 0")
+    return Q.running_ids(old, PAIR, ["idx"], F.col("text") == "").select(*PAIR, "idx", "p", "s")
+
+
+@query(
+    f"""WITH {L.DIFF}, t AS (SELECT *, coalesce(status, 'O') AS tag FROM d), g AS (SELECT *, row_number() OVER (PARTITION BY arxivid, v1, v2 ORDER BY idx)
+    - row_number() OVER (PARTITION BY arxivid, v1, v2, tag ORDER BY idx) AS grp FROM t)
+  SELECT arxivid, v1, v2, tag, min(idx) AS start, string_agg(text, ' ' ORDER BY idx) AS text FROM g WHERE tag <> 'O' GROUP BY arxivid, v1, v2, tag, grp"""
+)
+def tag_groups(spark: SparkSession, sf: str) -> DataFrame:
+    t = _diff(spark, sf).withColumn("tag", F.coalesce("status", F.lit("O")))
+    return Q.tag_groups(t, PAIR, ["idx"], "tag", "text").select(*PAIR, "tag", F.col("start.idx").alias("start"), "text")
+
+
+@query(f"WITH {L.DIFF} SELECT arxivid, v1, v2, count(*) FILTER (code = 0 AND text <> '') + 1 AS keeps, count(*) FILTER (code = 1) AS adds, count(*) FILTER (code = -1 AND trim(text) <> '') AS deletes FROM d GROUP BY arxivid, v1, v2")
+def diff_counters(spark: SparkSession, sf: str) -> DataFrame:
+    full = F.col("text") != ""
+    return _diff(spark, sf).groupBy(*PAIR).agg(
+        (F.count_if((F.col("code") == 0) & full) + 1).alias("keeps"), F.count_if(F.col("code") == 1).alias("adds"),
+        F.count_if((F.col("code") == -1) & (F.trim("text") != "")).alias("deletes"),
+    )
+
+
+# --- edits and annotations -------------------------------------------------------------------
+
+_EDITS = f"""{L.DIFF}, {_EDGES}, de AS (SELECT DISTINCT arxivid, v1, v2, id1, id2 FROM e),
+  ep AS (SELECT de.*, a.text AS s1, z.text AS s2, count(*) OVER (PARTITION BY de.arxivid, de.v1, de.v2, de.id1) AS partners FROM de
+    JOIN d a ON a.arxivid = de.arxivid AND a.v1 = de.v1 AND a.v2 = de.v2 AND a.id1 = de.id1 AND a.code <= 0
+    JOIN d z ON z.arxivid = de.arxivid AND z.v1 = de.v1 AND z.v2 = de.v2 AND z.id2 = de.id2 AND z.code >= 0),
+  ed AS (SELECT * FROM ep WHERE NOT (partners = 1 AND s1 = s2) AND NOT {L.is_boring('s1')})"""
+
+
+@query(f"WITH {_EDITS} SELECT arxivid, v1, v2, id1, id2, s1, s2, partners FROM ed")
+def edit_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _diff(spark, sf)
+    return E.edit_pairs(rows, _stored_edges(rows)).select(*PAIR, "id1", "id2", "s1", "s2", "partners")
+
+
+@query()
+def copy_edit_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return E.copy_edits(edit_pairs(spark, sf)).select(*PAIR, "id1", "id2", "label")
+
+
+# Annotations are told from the texts themselves, by rules that either engine can state.
+_ANNOTATED = f"""{_EDITS}, an AS (SELECT *, list_filter([CASE WHEN length(s2) < 0.9 * length(s1) THEN 'Too much info' END, CASE WHEN length(s2) > 1.1 * length(s1) THEN 'Info missing' END,
+    CASE WHEN contains(s2, '[MATH]') AND NOT contains(s1, '[MATH]') THEN 'domain knowledge' END, CASE WHEN lower(s1) = lower(s2) THEN 'formatting' END,
+    CASE WHEN contains(s2, '[REF]') THEN 'Other' END], lambda l: l IS NOT NULL) AS labels, 'from ' || length(s1) || ' to ' || length(s2) AS explanation FROM ed)"""
+
+
+def _annotated(spark: SparkSession, sf: str) -> DataFrame:
+    n1, n2 = F.length("s1"), F.length("s2")
+    labels = F.array(
+        F.when(n2 < 0.9 * n1, "Too much info"), F.when(n2 > 1.1 * n1, "Info missing"),
+        F.when(F.col("s2").contains("[MATH]") & ~F.col("s1").contains("[MATH]"), "domain knowledge"),
+        F.when(F.lower("s1") == F.lower("s2"), "formatting"), F.when(F.col("s2").contains("[REF]"), "Other"),
+    )
+    text = F.concat(F.lit("from "), n1.cast("string"), F.lit(" to "), n2.cast("string"))
+    return edit_pairs(spark, sf).withColumns({"labels": F.array_compact(labels), "explanation": text})
+
+
+@query(
+    f"""WITH {_ANNOTATED}, k AS (SELECT unnest(CASE WHEN len(list_filter(labels, lambda l: l IN ('domain knowledge', 'pdf required'))) > 0
+    THEN list_filter(labels, lambda l: l IN ('domain knowledge', 'pdf required')) ELSE labels END) AS label FROM an)
+  SELECT label, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM an), 6) AS percent FROM k GROUP BY label"""
+)
+def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return E.label_distribution(cut(_annotated(spark, sf)))
+
+
+_REASON = "CASE lower(label) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.REASONS.items()) + " ELSE lower(label) END"
+
+
+@query(f"WITH {_ANNOTATED}, k AS (SELECT unnest(labels) AS label FROM an) SELECT {_REASON} AS reason, count(*) AS n FROM k GROUP BY ALL")
+def label_to_reason(spark: SparkSession, sf: str) -> DataFrame:
+    return E.reason_counts(_annotated(spark, sf))
+
+
+@query(f"WITH {_ANNOTATED} SELECT arxivid, v1, v2, id1, id2, explanation FROM an WHERE list_contains(labels, 'Other')")
+def other_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return E.examples_of(_annotated(spark, sf), "Other").select(*PAIR, "id1", "id2", "explanation")
+
+
+@query(
+    f"""WITH {_ANNOTATED}, p1 AS (SELECT * FROM an WHERE length(s1) % 3 = 0), p2 AS (SELECT * REPLACE (['style'] AS labels) FROM an WHERE length(s1) % 2 = 0)
+  SELECT an.arxivid, an.v1, an.v2, an.id1, an.id2, array_to_string(coalesce(p1.labels, p2.labels), '|') AS labels,
+  coalesce(nullif(CASE WHEN length(p1.s2) % 2 = 0 THEN p1.explanation ELSE '' END, ''), nullif(p2.explanation, ''), '') AS explanation FROM an
+  LEFT JOIN p1 ON an.arxivid = p1.arxivid AND an.v1 = p1.v1 AND an.v2 = p1.v2 AND an.id1 = p1.id1 AND an.id2 = p1.id2
+  LEFT JOIN p2 ON an.arxivid = p2.arxivid AND an.v1 = p2.v1 AND an.v2 = p2.v2 AND an.id1 = p2.id1 AND an.id2 = p2.id2"""
+)
+def priority_merge(spark: SparkSession, sf: str) -> DataFrame:
+    an = cut(_annotated(spark, sf))
+    keys = [*PAIR, "id1", "id2"]
+    first = an.where(F.length("s1") % 3 == 0).withColumn("explanation", F.when(F.length("s2") % 2 == 0, F.col("explanation")).otherwise(""))
+    second = an.where(F.length("s1") % 2 == 0).withColumn("labels", F.array(F.lit("style")))
+    merged = E.merge_by_priority(an.select(*keys), [first, second], keys)
+    return merged.select(*keys, F.array_join("labels", "|").alias("labels"), "explanation")
+
+
+@query()
+def merge_n_to_m(spark: SparkSession, sf: str) -> DataFrame:
+    an = cut(_annotated(spark, sf))
+    rows = _diff(spark, sf)
+    merged = E.merge_groups(an, E.edge_groups(A.align(cut(rows)).join(an.select(*PAIR, "id1").distinct(), [*PAIR, "id1"], "left_semi")))
+    return merged.select(*PAIR, "ids1", "ids2", "s1", "s2", F.array_join("labels", "|").alias("labels"), "explanation", "n_edges")
+
+
+# --- block classifier ------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {_SENTS}, {_CHUNKS}, pr AS (SELECT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 5 AND NOT boring), tr AS (SELECT arxivid, v1, v2, side, id FROM ss WHERE NOT aligned AND NOT boring),
+  c AS (SELECT (SELECT count(*) FROM pr SEMI JOIN tr USING (arxivid, v1, v2, side, id)) AS tp, (SELECT count(*) FROM pr ANTI JOIN tr USING (arxivid, v1, v2, side, id)) AS fp,
+    (SELECT count(*) FROM tr ANTI JOIN pr USING (arxivid, v1, v2, side, id)) AS fn)
+  SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM c"""
+)
+def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
+    sents = cut(_sents(spark, sf))
+    return B.precision_recall(B.chunks(sents, 5).where("not boring"), sents.where("not aligned and not boring"), [*PAIR, "side", "id"])
+
+
+_METRICS = f"""{_SENTS}, {_CHUNKS}, sk AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 5),
+  fr AS (SELECT f.*, sk.id IS NOT NULL AS skip FROM (SELECT * FROM ss WHERE NOT boring AND NOT aligned) f LEFT JOIN sk USING (arxivid, v1, v2, side, id)),
+  pm AS (SELECT arxivid, v1, v2, count(*) FILTER (side = 1) AS n1, count(*) FILTER (side = 2) AS n2, count(*) FILTER (side = 1 AND NOT skip) AS k1, count(*) FILTER (side = 2 AND NOT skip) AS k2 FROM fr GROUP BY ALL),
+  go AS (SELECT e.arxivid, e.v1, e.v2, a.id IS NOT NULL OR z.id IS NOT NULL AS lost FROM e LEFT JOIN sk a ON a.arxivid = e.arxivid AND a.v1 = e.v1 AND a.v2 = e.v2 AND a.side = 1 AND a.id = e.id1
+    LEFT JOIN sk z ON z.arxivid = e.arxivid AND z.v1 = e.v1 AND z.v2 = e.v2 AND z.side = 2 AND z.id = e.id2),
+  gm AS (SELECT arxivid, v1, v2, count(*) FILTER (lost) AS missed, count(*) AS n_gold FROM go GROUP BY ALL),
+  bm AS (SELECT coalesce(pm.arxivid, gm.arxivid) AS arxivid, coalesce(pm.v1, gm.v1) AS v1, coalesce(pm.v2, gm.v2) AS v2, coalesce(n1 * n2, 0) AS comparisons, coalesce(n1 * n2 - k1 * k2, 0) AS saved,
+    coalesce(missed, 0) AS missed, coalesce(n_gold, 0) AS n_gold FROM pm FULL JOIN gm ON pm.arxivid = gm.arxivid AND pm.v1 = gm.v1 AND pm.v2 = gm.v2)"""
+
+
+@query(f"WITH {_METRICS} SELECT * FROM bm")
+def block_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    sents, rows = cut(_sents(spark, sf)), _diff(spark, sf)
+    return B.block_metrics(sents, B.chunks(sents, 5), _stored_edges(rows).select(*PAIR, "id1", "id2"))
+
+
+@query(
+    f"""WITH {_METRICS}, t AS (SELECT CAST(sum(comparisons) AS BIGINT) AS comparisons, CAST(sum(saved) AS BIGINT) AS saved, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(n_gold) AS BIGINT) AS n_gold FROM bm)
+  SELECT *, round(coalesce(100 * saved / nullif(comparisons, 0), 0), 6) AS saved_percent, round(coalesce(100 * missed / nullif(n_gold, 0), 0), 6) AS missed_percent FROM t"""
+)
+def corpus_block_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return B.roll_up(block_metrics(spark, sf))
+
+
+@query(
+    f"""WITH {_SENTS}, {_CHUNKS}, lg AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 5), sh AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 2)
+  SELECT ss.arxivid, ss.v1, ss.v2, ss.side, ss.id, CASE WHEN NOT aligned AND lg.id IS NOT NULL THEN 'green' WHEN aligned AND lg.id IS NOT NULL THEN 'blue'
+    WHEN NOT aligned THEN 'yellow' WHEN sh.id IS NOT NULL THEN 'faded' ELSE 'grey' END AS color
+  FROM ss LEFT JOIN lg USING (arxivid, v1, v2, side, id) LEFT JOIN sh USING (arxivid, v1, v2, side, id)"""
+)
+def prediction_colors(spark: SparkSession, sf: str) -> DataFrame:
+    sents = cut(_sents(spark, sf))
+    flag = lambda n, name: B.chunks(sents, n).select(*PAIR, "side", "id", F.lit(True).alias(name))
+    df = sents.join(flag(5, "long"), [*PAIR, "side", "id"], "left").join(flag(2, "short"), [*PAIR, "side", "id"], "left")
+    df = df.withColumns({"free": ~F.col("aligned"), "long": F.coalesce("long", F.lit(False)), "short": F.coalesce("short", F.lit(False))})
+    return df.select(*PAIR, "side", "id", B.prediction_color("free", "long", "short").alias("color"))
+
+
+@query()
+def training_examples(spark: SparkSession, sf: str) -> DataFrame:
+    ex = B.examples(_sents(spark, sf), _features(spark, sf), 5, 1)
+    return ex.select(*PAIR, "side", "id", F.size("features").alias("n_features"), "label")
+
+
+@query()
+def block_classifier_eval(spark: SparkSession, sf: str) -> DataFrame:
+    sents = cut(_sents(spark, sf))
+    ex = cut(B.examples(sents, _features(spark, sf), 5, 1))
+    model, accuracy = B.train(ex, folds=3)
+    found = B.predicted_blocks(B.predicted(sents, ex, model), 5)
+    gold = _stored_edges(_diff(spark, sf)).select(*PAIR, "id1", "id2")
+    return B.roll_up(B.block_metrics(sents, found, gold)).withColumn("accuracy", F.round(F.lit(accuracy), 4))
