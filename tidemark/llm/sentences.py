@@ -229,7 +229,7 @@ def _running(text: str, s: int, e: int, ends: list[int]) -> None:
                     k = end
                     while k < outer and (text[k] in _CLOSERS or text[k].isspace()):
                         k += 1
-                    inner_stop = inner_stop or k >= outer
+                    inner_stop = inner_stop or k >= outer - 1  # only closing marks and spaces are left
                 continue
             if end == outer:
                 whole = opened == unit or not text[unit:opened].strip("*_`~$'‘¿¡ \t\n")
