@@ -12,6 +12,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ MAX_RATINGS = 20_000
 COMMON = 0.001
 RIDGE = 0.003
 FOREIGN = 0.12
+#: The like for scripts without spaces, where a character or two are a word.
+UNSPACED = 0.03
 
 #: Frequent words of languages written in Latin script, each of one language only.
 FUNCTION_WORDS = {
@@ -47,7 +51,10 @@ CONNECTIVES = frozenset(
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"\[(?:EQUATION|MATH|CITATION|REF)\]|https?://\S+|<[^<>]{1,60}>|&#?\w{1,8};")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’)\]]*\s+|\n\s*\n|\n#+ [^\n]*\n")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_INVISIBLE = re.compile("[\u00ad\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_DIGIT = re.compile(r"\d")
+_NOT_LATIN = re.compile(r"[^\W\d_A-Za-z\u00c0-\u024f]")
 _OWNERS: dict[str, list[str]] = {}
 for _lang, _ws in FUNCTION_WORDS.items():
     for _w in _ws:
@@ -55,31 +62,31 @@ for _lang, _ws in FUNCTION_WORDS.items():
 
 
 def _plain(text: str) -> str:
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in text if c.isascii() or unicodedata.category(c) != "Cf")
-    return text
+    """Compatibility forms unified, invisible characters away."""
+    return text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
 
 
-def is_english(text: str) -> bool:
-    """Whether the text is written in English; an English passage in another language does not make it so."""
-    plain = _MARK.sub(" ", _plain(text))
-    letters = sum(map(str.isalpha, plain))
-    if not letters or len(_LATIN.findall(plain)) < (1 - FOREIGN) * letters:
+def _in_english(counts: Counter, plain: str) -> bool:
+    if not plain.isascii() and (len(_NOT_LATIN.findall(plain)) > FOREIGN * len(plain) or len(_UNSPACED.findall(plain)) > UNSPACED * len(plain)):
         return False
     own, other = 0, dict.fromkeys(FUNCTION_WORDS, 0)
-    for w in _WORD.findall(plain.lower()):
-        langs = _OWNERS.get(w)
-        if langs:
-            if langs[0] == "en":
-                own += 1
-            else:
-                for x in langs:
-                    other[x] += 1
+    for w in counts.keys() & _OWNERS.keys():
+        langs = _OWNERS[w]
+        if langs[0] == "en":
+            own += counts[w]
+        else:
+            for x in langs:
+                other[x] += counts[w]
     foreign = max(other.values())
     return own > 0 and foreign <= FOREIGN * (own + foreign)
 
 
+def is_english(text: str) -> bool:
+    """Whether the text is written in English; an English passage in another language does not make it so."""
+    plain = _MARK.sub(" ", _plain(text)).lower()
+    return _in_english(Counter(_WORD.findall(plain)), plain)
+
+
 FEATURES = (
     "sentence_words", "sentence_words_log", "word_letters", "long_share", "very_long_share", "connectives", "connective_share",
     "clause_depth", "marks", "diversity", "top_length", "rare_share", "rarity",
@@ -88,24 +95,33 @@ FEATURES = (
 
 def text_features(text: str) -> tuple[list[float], list[str]] | None:
     """Features but the last two, and the distinct words; None for a text that gets no band."""
-    if len(_WORD.findall(text)) < MIN_WORDS or not is_english(text):
-        return None
     plain = _MARK.sub(" ", _plain(text)).lower()
+    sentences = [(x, _WORD.findall(x)) for x in _SENTENCE.split(plain)]
+    counts: Counter = Counter()
+    for _, ws in sentences:
+        counts.update(ws)
+    # Marks and unusual characters change the count of words a little: near the bound it is taken from the text as it stands.
+    if (counts.total() < 2 * MIN_WORDS and len(_WORD.findall(text)) < MIN_WORDS) or not _in_english(counts, plain):
+        return None
     rows, types = [], set()
-    for s in _SENTENCE.split(plain):
-        ws = [w for w in _WORD.findall(s) if not w.isdigit()]
-        if len(ws) < 3 or s.lstrip().startswith("#"):
-            continue
-        types.update(ws)
+    for s, ws in sentences:
+        if _DIGIT.search(s):
+            ws = [w for w in ws if not w.isdigit()]
         n = len(ws)
-        joined = sum(w in CONNECTIVES for w in ws)
-        lengths = [len(w) for w in ws]
+        if n < 3 or s.lstrip().startswith("#"):
+            continue
+        own = set(ws)
+        types |= own
+        links = own & CONNECTIVES
+        joined = sum(map(ws.count, links)) if links else 0
+        lengths = sorted(map(len, ws))
+        commas = s.count(",")
         rows.append(
-            (n, math.log(n), sum(lengths) / n, sum(x >= 7 for x in lengths) / n, sum(x >= 11 for x in lengths) / n, joined,
-             joined > 0, joined + s.count(",") + 2 * s.count(";") + s.count(" and ") , s.count(","), len(set(ws)) / n, max(lengths))
+            (n, math.log(n), sum(lengths) / n, (n - bisect_left(lengths, 7)) / n, (n - bisect_left(lengths, 11)) / n, joined,
+             joined > 0, joined + commas + 2 * s.count(";") + ws.count("and"), commas, len(own) / n, lengths[-1])
         )
     if not rows:
-        ws = _WORD.findall(plain)
+        ws = list(counts.elements())
         return [len(ws), math.log(len(ws)), 5.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 5.0], sorted(set(ws))
     a = np.array(rows, np.float64)
     f = np.median(a, axis=0)
