@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import detex as D
 from tidemark.functions import text as X
+from tidemark.functions import tokenizer as K
 from tidemark.functions import udfs
 from tidemark.operators import align as A
 from tidemark.operators import blocks as B
@@ -141,6 +142,21 @@ def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _diff(spark, sf).select("struct_id", F.size("words").cast("bigint").alias("n_words"), F.array_join("words", " ").alias("words"))
 
 
+@query(
+    f"""WITH {L.DIFF} SELECT struct_id, array_to_string(regexp_extract_all(text, '{K.TOKEN.replace("'", "''")}'), ' ') AS tokens,
+  len(regexp_extract_all(text, '{K.TOKEN.replace("'", "''")}')) AS n_tokens FROM d"""
+)
+def token_texts(spark: SparkSession, sf: str) -> DataFrame:
+    ts = _diff(spark, sf).select("struct_id", K.token_texts("text").alias("ts"))
+    return ts.select("struct_id", F.array_join("ts", " ").alias("tokens"), F.size("ts").cast("bigint").alias("n_tokens"))
+
+
+@query()
+def token_spans(spark: SparkSession, sf: str) -> DataFrame:
+    ts = _diff(spark, sf).select("struct_id", F.posexplode(K.tokens("text")).alias("pos", "t"))
+    return ts.select("struct_id", "pos", "t.text", "t.ws", "t.start", "t.stop")
+
+
 @query(f"WITH {L.DIFF}, w AS (SELECT {L.words('text')} AS ws FROM d), g AS (SELECT unnest({L.bigrams('ws')}) AS bigram FROM w) SELECT bigram, count(*) AS n FROM g GROUP BY bigram")
 def word_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return _diff(spark, sf).select(F.explode(X.n_grams("words", 2)).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
@@ -502,13 +518,15 @@ def similarity_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.select(*PAIR, "text", "n_similar", F.round("max_jaccard", 6).alias("max_jaccard"), F.round("avg_jaccard", 6).alias("avg_jaccard"))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, CAST({L.lcs_length('w1', 'w2')} AS INTEGER) AS lcs_length FROM pg")
 def lcs_length(spark: SparkSession, sf: str) -> DataFrame:
     p = S.with_jaccard(_text_pairs(spark, sf))
     return p.select(*PAIR, "text1", "text2", udfs.lcs_length("w1", "w2").alias("lcs_length"))
 
 
-@query()
+@query(
+    f"""WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round({L.diff_sim('w1', 'w2', 'text1 = text2')}, 6) AS diff, round({L.diff_sim('g1', 'g2', 'text1 = text2')}, 6) AS diff_2_gram FROM pg"""
+)
 def diff_sim(spark: SparkSession, sf: str) -> DataFrame:
     p = S.with_diff(S.with_jaccard(_text_pairs(spark, sf)))
     return p.select(*PAIR, "text1", "text2", F.round("diff", 6).alias("diff"), F.round("diff_2_gram", 6).alias("diff_2_gram"))
@@ -539,7 +557,16 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return S.feature_rows(texts, vecs, PAIR)
 
 
-@query()
+@query(
+    f"""WITH {_PAIRS}, sm AS (SELECT arxivid, v1, v2, text1, text2, CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END AS jaccard,
+    CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('g1', 'g2')} END AS jaccard_2_gram, {L.diff_sim('w1', 'w2', 'text1 = text2')} AS diff, {L.diff_sim('g1', 'g2', 'text1 = text2')} AS diff_2_gram FROM pg),
+  rl AS (SELECT arxivid, v1, v2, text1 AS text, jaccard, jaccard_2_gram, diff, diff_2_gram FROM sm UNION ALL SELECT arxivid, v1, v2, text2, jaccard, jaccard_2_gram, diff, diff_2_gram FROM sm),
+  vc AS (SELECT arxivid, v1, v2, text, {', '.join(f'max({m}) AS max_{m}, avg({m}) AS avg_{m}' for m in S.MEASURES)} FROM rl GROUP BY ALL),
+  tt AS (SELECT DISTINCT arxivid, v1, v2, text FROM d WHERE NOT {L.is_boring('text')}), tk AS (SELECT *, {L.tokens(L.preprocess('text'))} AS ts FROM tt),
+  tf AS (SELECT *, CAST(len(ts) AS INTEGER) AS n_tokens, CAST(len(list_filter(ts, lambda t: contains(t, '[MATH]') OR contains(t, '[EQUATION]') OR contains(t, '[CITATION]') OR contains(t, '[REF]'))) AS INTEGER) AS n_special_tokens FROM tk)
+  SELECT tf.arxivid, tf.v1, tf.v2, tf.text, {', '.join(f'round(coalesce({c}, 0.0), 6) AS {c}' for c in S.FEATURES[:8])}, n_tokens, n_special_tokens,
+  round(CASE WHEN n_tokens > 0 THEN n_special_tokens / n_tokens ELSE 0.0 END, 6) AS percent_special_tokens FROM tf LEFT JOIN vc ON tf.arxivid = vc.arxivid AND tf.v1 = vc.v1 AND tf.v2 = vc.v2 AND tf.text = vc.text"""
+)
 def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
     df = _features(spark, sf)
     return df.select(*PAIR, "text", *[F.round(c, 6).alias(c) if "n_" != c[:2] else F.col(c) for c in S.FEATURES])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,15 @@ def spread(df: DataFrame) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """At least so many shuffle partitions for what is materialised inside; the setting is put back after."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -77,3 +77,14 @@ OPEN = (
 
 def sentence_part(x: str, k: int) -> str:
     return f"regexp_extract({x}, '^(.*)-v?(\\d+)-(\\d+)-(\\d+)$', {k})"
+
+
+def lcs_length(a: str, b: str) -> str:
+    """Row by row over the first list; a row is built cell by cell over the second."""
+    row = f"list_reduce(range(1, len({b}) + 1), lambda r, j: list_append(r, CASE WHEN {a}[i] = {b}[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], r[j]) END), [CAST(0 AS BIGINT)])"
+    return f"list_reduce(range(1, len({a}) + 1), lambda prev, i: {row}, list_transform(range(0, len({b}) + 1), lambda k: CAST(0 AS BIGINT)))[len({b}) + 1]"
+
+
+def diff_sim(a: str, b: str, same: str) -> str:
+    n = lcs_length(a, b)
+    return f"(CASE WHEN {same} THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 1 - ((len({a}) - {n}) / len({a}) + (len({b}) - {n}) / len({b})) / 2 END)"
