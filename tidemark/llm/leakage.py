@@ -39,7 +39,11 @@ def _unify(text: str) -> str:
 
 def stream_of(text: str | None) -> bytes:
     """The letters and digits of a text, as compared; words joined without space."""
-    return _NOISE.sub("", _unify(text)).encode("utf-8", "replace") if text else b""
+    if not text:
+        return b""
+    # Invisible and combining characters go with the rest that is neither letter nor digit.
+    plain = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    return _NOISE.sub("", plain.lower()).encode("utf-8", "replace")
 
 
 def words_of(text: str | None) -> list[bytes]:
