@@ -18,6 +18,7 @@ to tell texts apart and triples would be many; it depends on the smaller set alo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import ceil
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.runtime import cut, spread
+from tidemark.plans.runtime import cut, shuffle_partitions
 
 THRESHOLD = 0.6
 MIN_WORDS = 8
@@ -36,6 +37,8 @@ GROUP_SIZE = 16
 #: Words in this share of all texts or more are ranked by frequency and sent to the workers;
 #: there are at most (words a text) / COMMON of them. The others precede them, by hash.
 COMMON = 0.001
+#: Rows of keys that one task of the join sorts.
+KEYS_PER_TASK = 2_000_000
 _EPS = 1e-9
 _SIGNATURE = 4
 
@@ -67,15 +70,21 @@ def probe_cuts(a: int, t: float) -> dict[int, int]:
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _keys(codes: np.ndarray, cut_at: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=256)
+def _subsets(n: int, width: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), width)), np.int64).reshape(-1, width)
+
+
+def _keys(codes: np.ndarray, cut_at: int, width: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all ``width``-subsets of the first words, and the place of the last word of each."""
-    places = np.array(list(combinations(range(min(cut_at, len(codes))), width)), np.int64).reshape(-1, width)
+    places = _subsets(min(cut_at, len(codes)), width)
     words = codes.view(np.uint64)[places]
     key = np.full(len(places), np.uint64(width))
     for k in range(width):
         key = (key ^ words[:, k]) * _MIX[k]
         key ^= key >> np.uint64(29)
-    return key.view(np.int64), places[:, -1]
+    key *= _MIX[0]
+    return (key >> np.uint64(64 - bits)).view(np.int64), places[:, -1]
 
 
 def encode_sets(texts: DataFrame, min_words: int) -> DataFrame:
@@ -110,39 +119,27 @@ def _flat(b: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
         yield flat[ends[k] : ends[k + 1]]
 
 
-def build_groups(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(gid, min_size, members, union_codes, keys)``: the matrix, a row for each group.
+def build_groups(sets: DataFrame) -> DataFrame:
+    """``(gid, min_size, members, union_codes)``: the matrix, a row for each group.
 
     Sets are sorted by signature and cut into groups of at most ``GROUP_SIZE``; the range
     split on (signature, id) also splits a signature that holds a third of all rows.
-    ``keys`` are ``(key, size, left)``: a member's size and the words after the key's last.
     """
     sig = F.hash(F.array_sort(F.slice("codes", 1, _SIGNATURE)), F.lit(0))
     parts = max(sets.sparkSession.sparkContext.defaultParallelism, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = sets.withColumn("sig", sig).repartitionByRange(parts, "sig", "id").sortWithinPartitions("sig", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts: dict[int, int] = {}
-
         def emit(groups: list[list[tuple[int, np.ndarray]]]) -> pa.RecordBatch:
-            rows = []
-            for g in groups:
-                keys: set[tuple[int, int, int]] = set()
-                for _, c in g:
-                    n = len(c)
-                    if n not in cuts:
-                        cuts[n] = index_cut(n, threshold)
-                    ks, last = _keys(c, cuts[n], shared_words(n))
-                    keys.update(zip(ks.tolist(), [n] * len(ks), (n - 1 - last).tolist()))
-                rows.append(
-                    {
-                        "gid": g[0][0],
-                        "min_size": min(len(c) for _, c in g),
-                        "members": [{"id": i, "codes": c.tolist()} for i, c in g],
-                        "union_codes": np.unique(np.concatenate([c for _, c in g])).tolist(),
-                        "keys": [{"key": k, "size": s, "left": w} for k, s, w in sorted(keys)],
-                    }
-                )
+            rows = [
+                {
+                    "gid": g[0][0],
+                    "min_size": min(len(c) for _, c in g),
+                    "members": [{"id": i, "codes": c.tolist()} for i, c in g],
+                    "union_codes": np.unique(np.concatenate([c for _, c in g])).tolist(),
+                }
+                for g in groups
+            ]
             return pa.RecordBatch.from_pylist(rows, schema=_GROUP_ARROW)
 
         done: list[list[tuple[int, np.ndarray]]] = []
@@ -159,13 +156,7 @@ def build_groups(sets: DataFrame, threshold: float) -> DataFrame:
         if done:
             yield emit(done)
 
-    return cut(
-        ranged.mapInArrow(
-            run,
-            "gid bigint, min_size int, members array<struct<id: bigint, codes: array<bigint>>>, union_codes array<bigint>, "
-            "keys array<struct<key: bigint, size: int, left: int>>",
-        )
-    )
+    return cut(ranged.mapInArrow(run, "gid bigint, min_size int, members array<struct<id: bigint, codes: array<bigint>>>, union_codes array<bigint>"))
 
 
 _LONGS = pa.list_(pa.int64())
@@ -175,41 +166,85 @@ _GROUP_ARROW = pa.schema(
         ("min_size", pa.int32()),
         ("members", pa.list_(pa.struct([("id", pa.int64()), ("codes", _LONGS)]))),
         ("union_codes", _LONGS),
-        ("keys", pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32()), ("left", pa.int32())]))),
     ]
 )
 
 
-def probe_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(key, id, q_size, q_left)`` of every set, for partners not larger than itself."""
+def _place(n: int, last: np.ndarray) -> np.ndarray:
+    """A set's size and the words after a key's last one, in one number."""
+    return (np.int64(n) << 32) + (n - 1 - last)
+
+
+def key_bits(rows: int) -> int:
+    """Bits a key keeps: few enough to travel light, enough that keys rarely meet by chance. Every pair is
+    compared word by word in the end, so such a meeting costs a comparison and no more."""
+    return min(62, max(32, rows.bit_length() + 8))
+
+
+def index_keys(groups: DataFrame, threshold: float, bits: int = 62) -> DataFrame:
+    """``(key, gid, place)``: the keys of all members of each group, each once with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts: dict[int, int] = {}
+        for b in batches:
+            keys, gids, places = [], [], []
+            for gid, members in zip(b.column("gid").to_pylist(), b.column("codes").to_pylist()):
+                ks, ps = [], []
+                for m in members:
+                    c = np.array(m, np.int64)
+                    n = len(c)
+                    if n not in cuts:
+                        cuts[n] = index_cut(n, threshold)
+                    k, last = _keys(c, cuts[n], shared_words(n), bits)
+                    ks.append(k)
+                    ps.append(_place(n, last))
+                k, p = np.concatenate(ks), np.concatenate(ps)
+                if len(members) > 1:
+                    k, p = np.unique(np.stack([k, p]), axis=1)
+                keys.append(k)
+                places.append(p)
+                gids.append(np.full(len(k), gid, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, gids, places)], names=["key", "gid", "place"])
+
+    return groups.select("gid", F.col("members.codes").alias("codes")).mapInArrow(run, "key bigint, gid bigint, place bigint")
+
+
+def probe_keys(sets: DataFrame, threshold: float, bits: int = 62) -> DataFrame:
+    """``(key, id, q_place)`` of every set, for partners not larger than itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts: dict[int, dict[int, int]] = {}
-        names = ["key", "id", "q_size", "q_left"]
         for b in batches:
-            keys, ids, sizes, lefts, held = [], [], [], [], 0
+            keys, ids, places, held = [], [], [], 0
 
             def emit() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, sizes, lefts)], names=names)
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, places)], names=["key", "id", "q_place"])
 
             for i, c in zip(b.column("id").to_pylist(), _flat(b, "codes")):
                 n = len(c)
                 if n not in cuts:
                     cuts[n] = probe_cuts(n, threshold)
                 for width, at in cuts[n].items():
-                    ks, last = _keys(c, at, width)
+                    ks, last = _keys(c, at, width, bits)
                     keys.append(ks)
                     ids.append(np.full(len(ks), i, np.int64))
-                    sizes.append(np.full(len(ks), n, np.int32))
-                    lefts.append((n - 1 - last).astype(np.int32))
+                    places.append(_place(n, last))
                     held += len(ks)
                 if held > 500_000:
                     yield emit()
-                    keys, ids, sizes, lefts, held = [], [], [], [], 0
+                    keys, ids, places, held = [], [], [], 0
             if keys:
                 yield emit()
 
-    return sets.select("id", "codes").mapInArrow(run, "key bigint, id bigint, q_size int, q_left int")
+    return sets.select("id", "codes").mapInArrow(run, "key bigint, id bigint, q_place bigint")
+
+
+def _key_rows(sets: DataFrame, threshold: float) -> int:
+    """About how many key rows the join will read: for the number of its partitions."""
+    c = F.col("size") - F.ceil(F.lit(threshold) * F.col("size")) + 3
+    per = F.when(F.col("size") <= 46, c * (c - 1) * (c - 2) / 4).when(F.col("size") <= 106, c * (c - 1)).otherwise(2 * c)
+    return int(sets.agg(F.sum(per)).first()[0] or 0)
 
 
 def similar_texts(
@@ -226,21 +261,22 @@ def similar_texts(
     src = records.select(F.col(id_col).cast("bigint").alias("id"), col.alias("text")).where("id is not null and text is not null")
     texts = src.groupBy("text").agg(F.min("id").alias("id"))
     sets = encode_sets(texts, max(1, min_words))
-    groups = build_groups(sets, threshold)
-    index = groups.select("gid", F.explode("keys").alias("k")).select("gid", "k.key", "k.size", "k.left")
+    groups = build_groups(sets)
+    rows = _key_rows(sets, threshold)
+    index = index_keys(groups, threshold, key_bits(rows))
     share = threshold / (1 + threshold)
 
     def need(x: F.Column, y: F.Column) -> F.Column:
         return F.ceil(F.lit(share) * (x + y) - F.lit(_EPS))
 
-    probe = probe_keys(sets, threshold)
-    r = F.when(F.col("size") <= 28, 3).when(F.col("size") <= 64, 2).otherwise(1)
-    fits = (
-        (F.col("size") <= F.col("q_size"))
-        & (F.col("size") >= F.ceil(F.lit(threshold) * F.col("q_size") - F.lit(_EPS)))
-        & (r + F.least("left", "q_left") >= need(F.col("size"), F.col("q_size")))
-    )
-    opened = probe.join(index.hint("merge"), "key").where(fits).select("id", "gid").distinct()
+    probe = probe_keys(sets, threshold, key_bits(rows))
+    size, left = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    q_size, q_left = F.shiftright("q_place", 32), F.col("q_place").bitwiseAND(F.lit(0xFFFFFFFF))
+    r = F.when(size <= 28, 3).when(size <= 64, 2).otherwise(1)
+    fits = (size <= q_size) & (size >= F.ceil(F.lit(threshold) * q_size - F.lit(_EPS))) & (r + F.least(left, q_left) >= need(size, q_size))
+    # Enough partitions that each is sorted in memory; the adaptive plan joins small ones and splits skewed ones.
+    with shuffle_partitions(sets.sparkSession, rows // KEYS_PER_TASK):
+        opened = cut(probe.join(index.hint("merge"), "key").where(fits).select("id", "gid").distinct())
     # The bound of the whole group, before any member is looked at.
     bounded = (
         opened.join(sets.select("id", "size", "codes"), "id")
