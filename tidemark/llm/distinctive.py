@@ -10,9 +10,14 @@ terms are joined by shuffle, where by the same bound no key holds more than a th
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +32,31 @@ TOLERANCE = 1e-7
 COMMON = 0.001
 
 
-def terms_of(text: F.Column) -> F.Column:
+_ASCII, _ANY = re.compile("[a-z]+"), regex.compile(r"\p{L}+")
+
+
+def terms_of(text: str) -> list[str]:
     """Maximal runs of letters in lower case, of at least ``MIN_LETTERS`` letters."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-    return F.filter(runs, lambda t: F.char_length(t) >= MIN_LETTERS)
+    low = text.lower()
+    return [t for t in (_ASCII if low.isascii() else _ANY).findall(low) if len(t) >= MIN_LETTERS]
+
+
+def count_terms(texts: DataFrame) -> DataFrame:
+    """``(id, term, tf)`` of texts ``(id, text)``, counted within the row: no shuffle for term frequencies."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, counts = [], [], []
+            for k, text in enumerate(b.column("text").to_pylist()):
+                got = Counter(terms_of(text))
+                rows += [k] * len(got)
+                terms += got.keys()
+                counts += got.values()
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["id", "term", "tf"])
+
+    return texts.mapInArrow(run, f"id {kind}, term string, tf bigint")
 
 
 def maximise(tf: np.ndarray, background: np.ndarray, begins: np.ndarray, own: float = OWN) -> np.ndarray:
@@ -69,15 +95,10 @@ def score_terms(records: DataFrame, id_col: str, text: F.Column | str) -> DataFr
     """
     col = F.col(text) if isinstance(text, str) else text
     src = spread(records.select(F.col(id_col).alias("id"), col.alias("text")).where("id is not null and text is not null"))
-    words = src.select("id", terms_of(F.col("text")).alias("ts")).where(F.size("ts") > 0)
-    # Counted within the row: no shuffle is needed for term frequencies.
-    rows = words.select("id", "ts", F.explode(F.array_distinct("ts")).alias("term")).select(
-        "id", "term", (F.size("ts") - F.size(F.array_remove("ts", F.col("term")))).alias("tf")
-    )
-    rows = cut(rows)
+    rows = cut(count_terms(src))
     stats = cut(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
     total = stats.agg(F.sum("cf")).first()[0] or 1
-    n = words.count()
+    n = src.count()
     stats = stats.select("term", "df", (F.col("cf") / F.lit(total)).alias("background"))
     is_common = F.col("df") >= F.lit(max(1.0, n * COMMON))
     common, rest = stats.where(is_common), stats.where(~is_common)
