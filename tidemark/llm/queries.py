@@ -100,5 +100,20 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_scores, p3_found, p3_entities, p4_found, p4_pairs, p5_found, p5_text, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_levels)}
 
 
+_SQL = {
+    "p2_found": """WITH t AS (SELECT struct_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(diff.sentence), '\\p{L}+'), lambda w: length(w) >= 4))) AS term
+        FROM sentence_structs WHERE diff.sentence IS NOT NULL)
+      SELECT struct_id, term FROM t WHERE term IN (SELECT term FROM t GROUP BY term HAVING count(*) BETWEEN 3 AND 20)""",
+    "p4_found": """WITH s AS (SELECT min(struct_id) AS id, list_distinct(regexp_extract_all(lower(diff.sentence), '[\\p{L}\\p{N}]+')) AS ws
+        FROM sentence_structs WHERE diff.sentence IS NOT NULL GROUP BY diff.sentence),
+      k AS (SELECT id, ws, len(ws) AS n FROM s WHERE len(ws) >= 8), u AS (SELECT id, n, unnest(ws) AS t FROM k), f AS (SELECT t, count(*) AS c FROM u GROUP BY t),
+      r AS (SELECT u.id, u.n, u.t, row_number() OVER (PARTITION BY u.id ORDER BY f.c, u.t) AS rn FROM u JOIN f USING (t)),
+      x AS (SELECT id, t FROM r WHERE rn <= n - CAST(ceil(0.6 * n) AS BIGINT) + 1),
+      m AS (SELECT DISTINCT a.id AS i, b.id AS j FROM x a JOIN x b ON a.t = b.t AND a.id < b.id),
+      p AS (SELECT i, j, a.n + b.n AS n, len(list_intersect(a.ws, b.ws)) AS o FROM m JOIN k a ON a.id = i JOIN k b ON b.id = j)
+      SELECT i AS struct_id_a, j AS struct_id_b FROM p WHERE 5 * o >= 3 * (n - o)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
