@@ -79,6 +79,17 @@ def real_words(x: Column | str) -> Column:
     return F.filter(words(x), lambda w: ~w.isin(*TAGS) & ~w.rlike("^\\p{N}+$"))
 
 
+def word_counts(x: Column | str) -> Column:
+    """``struct<n, r>``: how many words and how many real words, in one pass over the tokens."""
+
+    def step(acc: Column, w: Column) -> Column:
+        word = (w != "") & (F.instr(F.lit(PUNCTUATION), w) == 0)
+        real = word & ~w.isin(*TAGS) & ~w.rlike("^\\p{N}+$")
+        return F.struct((acc["n"] + word.cast("int")).alias("n"), (acc["r"] + real.cast("int")).alias("r"))
+
+    return F.aggregate(F.split(_c(x), _BLANK), F.struct(F.lit(0).alias("n"), F.lit(0).alias("r")), step)
+
+
 def sent_filter(x: Column | str) -> Column:
     """Whether a sentence is worth aligning: a title, or more than three real words, fewer marks than
     half its words, and more than 0.7 of its characters letters or marks."""
@@ -86,10 +97,10 @@ def sent_filter(x: Column | str) -> Column:
     tags = tag_count(x)
     bare = without_tags(x)
     nonspace = F.length(F.replace(bare, F.lit(" "), F.lit("")))
-    alpha = F.length(F.regexp_replace(bare, "[^\\p{L}]", ""))
-    return F.when(is_title(x), True).otherwise(
-        (F.size(real_words(x)) > 3) & (tags < 0.5 * F.size(words(x))) & (nonspace > 0) & ((alpha + tags) > 0.7 * (nonspace + tags))
-    )
+    alpha = F.length(F.regexp_replace(bare, "[^\\p{L}]+", ""))
+    worded = F.transform(F.array(word_counts(x)), lambda c: (c["r"] > 3) & (tags < 0.5 * c["n"]))
+    letters = (nonspace > 0) & ((alpha + tags) > 0.7 * (nonspace + tags))
+    return F.when(is_title(x), True).otherwise(letters & F.element_at(worded, 1))
 
 
 def is_boring(x: Column | str) -> Column:

@@ -48,7 +48,12 @@ def candidates(rows: DataFrame, on: list[str]) -> DataFrame:
 
 
 def similar_edges(rows: DataFrame, on: list[str], method: str) -> DataFrame:
-    return candidates(rows, on).where(udfs.similar("w1", "w2")).select(*PAIR, "id1", "id2", F.lit(method).alias("method"))
+    """Edges of similar pairs. A word that the other side lacks is removed, or added, in any diff: pairs with
+    too many characters of such words are refused before the diff is made."""
+    size = lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w))
+    near = (size(F.array_except("w1", "w2")) <= 0.2 * F.col("n1")) & (size(F.array_except("w2", "w1")) <= 0.4 * F.col("n1"))
+    near = near | F.col("t1").contains(F.col("t2")) | F.col("t2").contains(F.col("t1"))
+    return candidates(rows, on).where(near).where(udfs.similar("w1", "w2")).select(*PAIR, "id1", "id2", F.lit(method).alias("method"))
 
 
 def align(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ def local_session(app: str = "tidemark", cores: str = "*", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        # Rows are small and their expressions heavy: partitions are kept apart down to this size.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
@@ -50,8 +52,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a Python-heavy step enough tasks.
 
     A small input may arrive as one file and thus one task. Only then are its rows dealt
-    out again; an input with a task for each core is left where it lies, without shuffle.
+    out again; an input with a task for each core is left where it lies, without shuffle. An
+    input that has a shuffle or a Python step of its own is left as well: its tasks are not known before it runs.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Arrow" in plan or "Pandas" in plan:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
