@@ -130,3 +130,19 @@ def test_detex_null_and_idempotent_marks():
     assert D.detex(None) is None
     assert D.collapse(D.collapse("[MATH] [MATH]")) == "[MATH]"
     assert D.replace_math(D.replace_math("a $x$ b")) == "a [MATH] b"
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (r"\begin{document}a \emph{b} $c$ d\end{document} e", "a b d"),
+        (r"\newcommand{\x}[1]{y} z", "z"),
+        (r"a \begin{figure}no\end{figure}b 5\% c", "a b 5% c"),
+        ("w\nx\ny\nz\nReferences\n[1] no", "w\nx\ny\nz"),
+        ("a % gone\nb $$open", "a\nb open"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_scan(source, text):
+    assert D.scan_text(source) == text

@@ -228,6 +228,19 @@ def detex_clean(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "latex_files").where("body is not null").select("file_id", D.detex_udf("body").alias("text"))
 
 
+@query()
+def detex_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "latex_files").where("body is not null").select("file_id", D.scan_udf("body").alias("text"))
+
+
+@query(
+    """SELECT file_id, regexp_replace(regexp_replace(replace(body, chr(10), ' '), '(?s)\\$\\$.*\\$\\$', '', 'g'), '\\$ *([^$ ]|[0-9]+(?:\\.[0-9]+)?) *\\$', '\\1', 'g') AS body
+  FROM latex_files WHERE body IS NOT NULL"""
+)
+def inline_math(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "latex_files").where("body is not null").select("file_id", X.reduce_inline_math("body").alias("body"))
+
+
 @query(
     """SELECT file_id, CASE WHEN body IS NULL THEN 'missing' WHEN trim(lower(body)) = '' THEN 'empty' WHEN starts_with(lower(body), '%pdf') THEN 'pdf'
   WHEN starts_with(lower(body), '%!ps') THEN 'postscript' WHEN contains(lower(body), '<html') OR contains(lower(body), '<!doctype html') THEN 'html'

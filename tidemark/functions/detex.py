@@ -162,3 +162,56 @@ def detex(s: str | None) -> str | None:
 
 
 detex_udf = F.pandas_udf(lambda col: pd.Series([detex(x) for x in col], dtype=object), T.StringType())
+
+
+#: Environments the plain scanner passes over.
+SCAN_IGNORED = frozenset(
+    ("figure", "table", "equation", "eqnarray", "align", "array", "tabular", "displaymath", "math", "thebibliography", "verbatim", "lstlisting", "tikzpicture", "matrix", "multline", "gather")
+)
+_SCAN = re.compile(r"\\begin\{([A-Za-z]+)\*?\}|\\end\{[A-Za-z]+\*?\}|\\(?:re)?newcommand\b|\\g?def\b|\\([A-Za-z]+)\*?|\\(.)|(\$\$?)|([{}])|(%)", re.S)
+
+
+def scan_text(s: str | None) -> str | None:
+    """A second way to plain text: one scan that drops definitions, math and commands, and keeps what else stands
+    there. It ends at a line ``References`` in the last fifth of the lines. Null for null."""
+    if s is None:
+        return None
+    start = s.find("\\begin{document}")
+    at = start + 16 if start >= 0 else 0
+    out: list[str] = []
+    while (m := _SCAN.search(s, at)) is not None:
+        out.append(s[at : m.start()])
+        at = m.end()
+        if m[1] is not None:
+            if m[1] in SCAN_IGNORED and (end := s.find("\\end{" + m[0][7:], at)) >= 0:
+                at = end + len(m[0]) - 2
+        elif m[0] == "\\end{document}":
+            s = s[:at]
+        elif m[0].startswith(("\\newcommand", "\\renewcommand", "\\def", "\\gdef")):
+            brace = s.find("{", at)
+            while brace >= 0 and (end := braced(s, brace)) > 0:
+                at = end
+                while s[at : at + 1] == "[" and (opt := braced(s, at, "[]")) > 0:
+                    at = opt
+                brace = at if s[at : at + 1] == "{" else -1
+        elif m[2] is not None:
+            while s[at : at + 1] == "[" and (opt := braced(s, at, "[]")) > 0:
+                at = opt
+            if m[2] in DROPPED or m[2] in MARKED:
+                at = max(at, braced(s, at))
+        elif m[3] is not None:
+            out.append(m[3] if m[3] in "%&#_{}$" else " ")
+        elif m[4] is not None:
+            at = max(at, s.find(m[4], at) + len(m[4])) if m[4] in s[at:] else at
+        elif m[6] is not None:
+            at = s.find("\n", at) if "\n" in s[at:] else len(s)
+    out.append(s[at:])
+    lines = [re.sub(r"[ \t~]+", " ", x).strip() for x in "".join(out).split("\n")]
+    for k in range(len(lines) - 1, int(len(lines) * 0.8) - 1, -1):
+        if lines[k].lower().strip("# ") == "references":
+            lines = lines[:k]
+            break
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+
+scan_udf = F.pandas_udf(lambda col: pd.Series([scan_text(x) for x in col], dtype=object), T.StringType())

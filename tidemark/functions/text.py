@@ -150,7 +150,7 @@ def remove_nullbytes(x: Column | str) -> Column:
 
 def reduce_inline_math(x: Column | str) -> Column:
     """Newlines to spaces, ``$$...$$`` away (to the last pair), ``$x$`` of one character or a number to its inside."""
-    x = F.regexp_replace(F.regexp_replace(_c(x), "\\n", " "), "\\$\\$.*\\$\\$", "")
+    x = F.regexp_replace(F.regexp_replace(_c(x), "\\n", " "), "(?s)\\$\\$.*\\$\\$", "")
     return F.regexp_replace(x, "\\$ *([^$ ]|[0-9]+(?:\\.[0-9]+)?) *\\$", "$1")
 
 
