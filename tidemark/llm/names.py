@@ -265,7 +265,7 @@ def _canonical(full: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "first", "surname")
     names = cut(full.groupBy("first", "surname").agg(F.sum("n").alias("n")).withColumn("k", key))
     firsts = names.groupBy("first").agg(F.sum("n").alias("uses"), F.count("*").alias("spread"))
-    known = firsts.where("uses >= 8 and spread >= 4").select("first")
+    known = firsts.where("uses >= 8 and spread >= 4").select("first", "uses")
     slips = segment_join(names)
     both = slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = lambda p: names.select(F.col("k").alias(p), F.col("first").alias(f"first_{p}"), F.col("n").alias(f"n_{p}"), F.col("score").alias(f"score_{p}"))
@@ -274,8 +274,10 @@ def _canonical(full: DataFrame) -> DataFrame:
     names = cut(names.join(degree, "k", "left").withColumn("score", 2 * F.col("n") + F.coalesce("degree", F.lit(0))))
     both = both.join(side("a"), "a").join(side("b"), "b")
     for p in "ab":
-        both = both.join(known.select(F.col("first").alias(f"first_{p}"), F.lit(True).alias(f"known_{p}")), f"first_{p}", "left")
-    two_names = F.col("known_a") & F.col("known_b") & (F.col("first_a") != F.col("first_b"))
+        both = both.join(known.select(F.col("first").alias(f"first_{p}"), F.col("uses").alias(f"uses_{p}"), F.lit(True).alias(f"known_{p}")), f"first_{p}", "left")
+    # Two given names of their own, not one and a slip that a large collection has seen often.
+    level = 10 * F.least("uses_a", "uses_b") >= F.greatest("uses_a", "uses_b")
+    two_names = F.col("known_a") & F.col("known_b") & (F.col("first_a") != F.col("first_b")) & level
     stands = lambda p: F.struct(F.col(f"score_{p}"), F.coalesce(f"known_{p}", F.lit(False)), F.col(p))
     frequent = stands("b") > stands("a")
     few = (F.col("n_a") <= 2) | (3 * F.col("n_a") <= F.col("n_b"))
