@@ -6,6 +6,7 @@ from tidemark.operators import blocks as B
 from tidemark.operators import edits as E
 from tidemark.operators import metadata as M
 from tidemark.operators import sequences as Q
+from tidemark.operators import similarity as S
 from tidemark.sources import tables as T
 
 STRUCT = "struct_id bigint, arxivid string, v1 int, v2 int, idx int, identifiers array<string>, diff struct<code:int,sentence:string>, status string, aligned array<int>, extra int"
@@ -67,6 +68,22 @@ def test_align_empty(spark):
     assert A.align(rows_of(spark, [(0, "x")]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("cells", [S.CELLS, 2])
+def test_similarity_meets_kept_sentences_and_other_blocks(spark, cells, monkeypatch):
+    monkeypatch.setattr(S, "CELLS", cells)
+    other = "completely different words stand in this sentence about nothing of note"
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(70))
+    rows = rows_of(spark, [(0, LONG), (-1, LONG + " again"), (0, ""), (1, other + " indeed"), (0, ""), (-1, other), (-1, long), (1, long + " more"), (1, "## Title")])
+    pairs = S.whole_pairs(rows)
+    assert pairs.count() == 4 * 3 == pairs.select("text1", "text2").distinct().count()
+    want = {r.text: r for r in S.vectors(S.with_diff(S.with_jaccard(pairs.select(*A.PAIR, "text1", "text2"))), A.PAIR).collect()}
+    got = {r.text: r for r in S.whole_vectors(rows).collect()}
+    assert set(got) == set(want) and got[LONG].n_similar == 7
+    assert all(got[t][c] == pytest.approx(want[t][c]) for t in want for c in want[t].asDict() if c not in (*A.PAIR, "text"))
+    similar = {(r.text1, r.text2) for r in S.whole_similar(pairs).where("similar").collect()}
+    assert similar == {(LONG, LONG), (LONG + " again", LONG), (other, other + " indeed"), (long, long + " more")}
+
+
 def test_edge_groups_are_components(spark):
     pairs = [("a1", "b1"), ("a2", "b1"), ("a2", "b2"), ("a3", "b2"), ("a9", "b9")]
     df = spark.createDataFrame([("x", 1, 2, a, b) for a, b in pairs], "arxivid string, v1 int, v2 int, id1 string, id2 string")

@@ -547,8 +547,7 @@ def diff_sim(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.with_jaccard(_text_pairs(spark, sf))
-    return p.select(*PAIR, "text1", "text2", udfs.similar("w1", "w2").alias("similar"))
+    return S.whole_similar(S.whole_pairs(_diff(spark, sf))).select(*PAIR, "text1", "text2", "similar")
 
 
 @query()
@@ -563,9 +562,10 @@ def show_difference(spark: SparkSession, sf: str) -> DataFrame:
     return edit_pairs(spark, sf).select(*PAIR, "id1", "id2", udfs.mark_changes(bare("s1"), bare("s2")).alias("m")).select(*PAIR, "id1", "id2", "m.old", "m.new")
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
+def _features(spark: SparkSession, sf: str, whole: bool = True) -> DataFrame:
+    """Features over all texts of both versions, as the classifier takes them, or over :func:`_text_pairs`, as the SQL states them."""
     rows = _diff(spark, sf)
-    vecs = S.vectors(S.with_diff(S.with_jaccard(_text_pairs(spark, sf))), PAIR)
+    vecs = S.whole_vectors(rows) if whole else S.vectors(S.with_diff(S.with_jaccard(_text_pairs(spark, sf))), PAIR)
     texts = rows.where(~X.is_boring("text")).select(*PAIR, "text").distinct()
     return S.feature_rows(texts, vecs, PAIR)
 
@@ -581,7 +581,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
   round(CASE WHEN n_tokens > 0 THEN n_special_tokens / n_tokens ELSE 0.0 END, 6) AS percent_special_tokens FROM tf LEFT JOIN vc ON tf.arxivid = vc.arxivid AND tf.v1 = vc.v1 AND tf.v2 = vc.v2 AND tf.text = vc.text"""
 )
 def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    df = _features(spark, sf)
+    df = _features(spark, sf, whole=False)
     return df.select(*PAIR, "text", *[F.round(c, 6).alias(c) if "n_" != c[:2] else F.col(c) for c in S.FEATURES])
 
 

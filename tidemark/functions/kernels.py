@@ -48,6 +48,53 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     return lo + hi + (int(lcs_table(a, b)[-1, -1]) if a and b else 0)
 
 
+class Compared:
+    """Many sequences, made ready to be compared with one after another.
+
+    Each sequence's places in the other are bits of one machine word, so that a step of the longest
+    common subsequence is a few vector operations over all sequences; longer ones than a word has bits go one by one.
+    """
+
+    def __init__(self, many: Sequence[Sequence]):
+        self.many = many
+        self.codes: dict = {}
+        rows = [[self.codes.setdefault(v, len(self.codes) + 1) for v in b] for b in many]
+        self.n = np.array([len(r) for r in rows], np.int64)
+        self.kinds = np.array([len(set(r)) for r in rows], np.int64)
+        self.order = np.argsort(-self.n, kind="stable")
+        longest = int(self.n.max()) if rows else 0
+        self.at = np.zeros((longest, len(rows)), np.int64)
+        for k, i in enumerate(self.order):
+            self.at[: len(rows[i]), k] = rows[i]
+        self.reach = [int((self.n > j).sum()) for j in range(longest)]
+        each = [list(dict.fromkeys(r)) for r in rows]
+        self.flat = np.array([c for r in each for c in r], np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), self.kinds)
+
+    def shared(self, a: Sequence) -> np.ndarray:
+        """How many distinct elements each has in common with ``a``."""
+        has = np.zeros(len(self.codes) + 1, bool)
+        has[[self.codes[v] for v in set(a) if v in self.codes]] = True
+        return np.bincount(self.owner[has[self.flat]], minlength=len(self.many))
+
+    def lcs_lengths(self, a: Sequence) -> np.ndarray:
+        """:func:`lcs_length` of ``a`` and each."""
+        if len(a) > 64:
+            return np.array([lcs_length(a, b) for b in self.many], np.int64)
+        places = [0] * (len(self.codes) + 1)
+        for i, v in enumerate(a):
+            if v in self.codes:
+                places[self.codes[v]] |= 1 << i
+        mask = np.array(places, np.uint64)
+        v = np.full(len(self.many), 2**64 - 1, np.uint64)
+        for j, k in enumerate(self.reach):
+            u = v[:k] & mask[self.at[j, :k]]
+            v[:k] = (v[:k] + u) | (v[:k] - u)
+        out = np.empty(len(self.many), np.int64)
+        out[self.order] = len(a) - np.bitwise_count(v & np.uint64((1 << len(a)) - 1)).astype(np.int64)
+        return out
+
+
 def fast_diff(a: Sequence, b: Sequence) -> list[tuple[int, object]]:
     """``(code, element)``: -1 only in a, 0 in both, 1 only in b. Removed precedes added."""
     out: list[tuple[int, object]] = []
