@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,25 @@ def test_edge_groups_are_components(spark):
     assert got["a3", "b2"] == "a1"
 
 
+def test_merge_keeps_every_annotated_pair(spark):
+    from tidemark import catalogue as C
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("no test tables here")
+    an, merged = C.edit_pairs(spark, small).count(), C.merge_n_to_m(spark, small).collect()
+    assert sum(r.n_edges for r in merged) == an > 0
+
+
+def test_merge_has_unannotated_sentences_of_the_group(spark):
+    rows = rows_of(spark, [(0, "a b"), (-1, "c d"), (0, "same")])
+    ids = "arxivid string, v1 int, v2 int, id1 string, id2 string"
+    edges = spark.createDataFrame([("x", 1, 2, "x-v1-0-0", "x-v2-0-0"), ("x", 1, 2, "x-v1-0-1", "x-v2-0-0"), ("x", 1, 2, "x-v1-0-2", "x-v2-0-2")], ids)
+    pairs = spark.createDataFrame([("x", 1, 2, "x-v1-0-1", "x-v2-0-0", ["l"], "why")], ids + ", labels array<string>, explanation string")
+    got = [(r.ids1, r.s1, r.s2, r.labels, r.explanation, r.n_edges) for r in E.merge_groups(pairs, E.edge_groups(edges), rows).collect()]
+    assert got == [("x-v1-0-0,x-v1-0-1", "a b c d", "a b", ["l"], "why", 1)]
+
+
 def test_priority_merge(spark):
     base = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     s1 = spark.createDataFrame([(1, ["a"], ""), (2, [], "why")], "k int, labels array<string>, explanation string")

@@ -765,8 +765,9 @@ def priority_merge(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def merge_n_to_m(spark: SparkSession, sf: str) -> DataFrame:
     an = cut(_annotated(spark, sf))
-    rows = _diff(spark, sf)
-    merged = E.merge_groups(an, E.edge_groups(A.align(cut(rows)).join(an.select(*PAIR, "id1").distinct(), [*PAIR, "id1"], "left_semi")))
+    rows = cut(_diff(spark, sf))
+    # The edges that the annotated pairs come from: no pair is without a group.
+    merged = E.merge_groups(an, E.edge_groups(_stored_edges(rows)), rows)
     return merged.select(*PAIR, "ids1", "ids2", "s1", "s2", F.array_join("labels", "|").alias("labels"), "explanation", "n_edges")
 
 

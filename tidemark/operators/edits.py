@@ -12,10 +12,14 @@ from tidemark.operators.align import PAIR
 from tidemark.plans.runtime import cut
 
 
+def _texts(rows: DataFrame, k: int) -> DataFrame:
+    """Ids and texts of one version's sentences."""
+    return rows.where(F.col("code") != (1 if k == 1 else -1)).select(*PAIR, F.col(f"id{k}"), F.col("text").alias(f"s{k}"))
+
+
 def edit_pairs(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Aligned sentences that changed: all but a sole partner of the same text, and boring old sentences."""
-    text = lambda k: rows.where(F.col("code") != (1 if k == 1 else -1)).select(*PAIR, F.col(f"id{k}"), F.col("text").alias(f"s{k}"))
-    e = edges.select(*PAIR, "id1", "id2").distinct().join(text(1), [*PAIR, "id1"]).join(text(2), [*PAIR, "id2"])
+    e = edges.select(*PAIR, "id1", "id2").distinct().join(_texts(rows, 1), [*PAIR, "id1"]).join(_texts(rows, 2), [*PAIR, "id2"])
     partners = F.count("*").over(W.partitionBy(*PAIR, "id1"))
     return e.withColumn("partners", partners).where(~((F.col("partners") == 1) & (F.col("s1") == F.col("s2"))) & ~X.is_boring("s1"))
 
@@ -91,9 +95,11 @@ def edge_groups(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return e
 
 
-def merge_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row a group: ids and texts in order of the ids, labels joined and sorted, explanations in order."""
-    df = pairs.join(groups, [*PAIR, "id1", "id2"])
+def merge_groups(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row a group that has an annotated pair: ids and texts of all its sentences in order of the ids, labels
+    joined and sorted, explanations in order; ``n_edges`` counts the annotated pairs."""
+    notes = pairs.select(*PAIR, "id1", "id2", "labels", "explanation", F.lit(True).alias("noted"))
+    df = groups.join(notes, [*PAIR, "id1", "id2"], "left").join(_texts(rows, 1), [*PAIR, "id1"]).join(_texts(rows, 2), [*PAIR, "id2"])
 
     def ordered(k: int) -> Column:
         sid = X.sentence_id(f"id{k}")
@@ -101,8 +107,8 @@ def merge_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
     out = df.groupBy(*PAIR, "grp").agg(
         ordered(1).alias("a"), ordered(2).alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
-        F.array_sort(F.collect_list(F.struct("id1", "id2", "explanation"))).alias("ex"), F.count("*").alias("n_edges"),
-    )
+        F.array_sort(F.collect_list(F.when(F.col("noted"), F.struct("id1", "id2", "explanation")))).alias("ex"), F.count("noted").alias("n_edges"),
+    ).where("n_edges > 0")
     pick = lambda c, f: F.transform(c, lambda x: x[f])
     return out.select(
         *PAIR, F.array_join(pick("a", "id"), ",").alias("ids1"), F.array_join(pick("b", "id"), ",").alias("ids2"), F.array_join(pick("a", "t"), " ").alias("s1"),
