@@ -139,6 +139,28 @@ def test_residue(text, left):
     assert M.has_residue(text) is left
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("## Head\n\nThe \\emph{dense} **small** [MATH] is 5 % of R&D_1\\cite{k}.", "## Head\n\nThe dense small [MATH] is 5 % of R&D_1[CITATION]."),
+        ("\\noindent One {\\bf x} '''y''' [[a|b]]s &lt; H<sub>2</sub>O \\\\\nnext", "One x y bs < H2O\nnext"),
+        ("our $\\alpha$ {{cite|the}} [it](a.md)&nbsp;z", "our [MATH] [CITATION] it z"),
+    ],
+)
+def test_clean_residue_of_mixed_kinds(text, clean):
+    assert M.has_residue(text) and M.clean_residue(text) == clean
+
+
+def test_text_files_are_cleaned(spark, tmp_path):
+    from tidemark.llm import queries
+
+    kind = "file_id bigint, body string"
+    spark.createDataFrame([(1, "# a\n\n- b")], kind).write.parquet(str(tmp_path / "latex_files.parquet"))
+    spark.createDataFrame([(2, "## x\n\na <i>b</i> c"), (3, "plain  5 % [REF]\n"), (4, None), (5, " ")], kind).write.parquet(str(tmp_path / "text_files.parquet"))
+    got = {r.file_id: r.text for r in queries.p5_text(spark, str(tmp_path)).collect()}
+    assert got == {1: "# a\n\n- b", 2: "## x\n\na b c", 3: "plain  5 % [REF]\n"}
+
+
 def test_markup_tables(spark):
     df = spark.createDataFrame([(1, "# a\n\n- b", 5), (1, "# a\n\n- b", 5), (2, None, 5), (None, "# c", 5)], "file_id bigint, body string, kind int")
     read = M.read_elements(df)

@@ -634,6 +634,67 @@ def has_residue(body: str | None) -> bool:
     return bool(body) and _RESIDUE.search(body) is not None
 
 
+_MARKS = {"cite": "[CITATION]", "citep": "[CITATION]", "citet": "[CITATION]", "ref": "[REF]", "eqref": "[REF]", "pageref": "[REF]"}
+_KEPT = re.compile(r"```.*?(?:```|\Z)|\$\$.+?\$\$", re.S)
+_GONE = "\0"
+_COMMAND = re.compile(r"\\([A-Za-z]+)\*?[ \t]*(?:\[[^\[\]\n]*\][ \t]*)?\{([^{}]*)\}(?:\{([^{}]*)\})?")
+_INLINE = (
+    (re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1>|\Z)", re.S | re.I), _GONE),
+    (re.compile(r"\$(?!\$)(?=[^$\n]*\\[A-Za-z])[^$\n]+\$|\\\(.+?\\\)"), "[MATH]"),
+    (re.compile(r"\{\{\s*cit[^{}\n]*\}\}", re.I), "[CITATION]"),
+    (re.compile(r"\{\{[^{}\n]+\}\}|\[\[(?:File|Image|Category):[^\[\]\n]*\]\]"), _GONE),
+    (re.compile(r"\[\[(?:[^\[\]\n|]*\|)?([^\[\]\n]+)\]\]"), r"\1"),
+    (re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+\)"), r"\1"),
+    (re.compile(r"(?m)^(={2,6}) ?([^=\n]+?) ?=+[ \t]*$"), lambda m: "#" * len(m.group(1)) + f" {m.group(2).strip()}"),
+    (re.compile(r"'{3}"), ""),
+    (re.compile(r"(?<!')''(?!')(\w[^'\n]*\w)(?<!')''(?!')"), r"\1"),
+    (re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>"), ""),
+    (re.compile(r"\*\*([^\s*][^*\n]*)\*\*"), r"\1"),
+    (re.compile(r"(?<![\w*])\*([^\s*](?:[^*\n]*[^\s*])?)\*(?![\w*])"), r"\1"),
+    (re.compile(r"__([^\s_][^_\n]*)__"), r"\1"),
+    (re.compile(r"(?<!`)`([^`\s][^`\n]*)`(?!['`])"), r"\1"),
+    (re.compile(r"\\\\(?=\s|$)"), _GONE),
+)
+
+
+def _command(m: re.Match) -> str:
+    name, one, two = m.groups()
+    if name in _SECTIONS:
+        return f"# {one}"
+    if name in _MARKS:
+        return _MARKS[name]
+    if name in _LATER and two is not None:
+        return two
+    return _GONE if name in _DROPPED or name in ("begin", "end") else one + ("" if two is None else f"{{{two}}}")
+
+
+def clean_residue(body: str) -> str:
+    """A detexed text without the inline markup left in it: only that is taken out, whatever kinds of it are
+    mixed, and all else stays as it stands, the project's marks and headings too. Inline mathematics, citations
+    and references become such marks; fenced code and formulas between double dollars stay."""
+    kept: list[str] = []
+
+    def keep(m: re.Match) -> str:
+        kept.append(m.group())
+        return f"\1{len(kept) - 1}\2"
+
+    s = _KEPT.sub(keep, re.sub("[\0\1\2]", "", body))
+    for pattern, by in _INLINE:
+        s = pattern.sub(by, s)
+    s = _ACCENT.sub(lambda m: tex_text(m.group()), s)
+    while (t := _COMMAND.sub(_command, s)) != s:
+        s = t
+    while (t := re.sub(r"\{\\[a-z]+ ([^{}]*)\}", r"\1", s)) != s:
+        s = t
+    s = re.sub(r"\\([%&#_$])", r"\1", s)
+    s = re.sub(r"\\([A-Za-z]+)\*?", lambda m: _LETTERS.get(m.group(1), _GONE), s)
+    s = re.sub(r"(?m)^(?:[ \t]*\0)+[ \t]*", "", s)
+    s = re.sub(r"(?:[ \t]*\0)+(?=[ \t]*(?:[.,;:!?)\n]|\Z))", "", s)
+    s = re.sub(r"[ \t]*(?:\0[ \t]*)+", " ", s)
+    s = re.sub(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]{2,8});", lambda m: unescape(m.group()).replace("\xa0", " "), s)
+    return re.sub("\1(\\d+)\2", lambda m: kept[int(m.group(1))], s)
+
+
 def _files(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spread(files.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null"))
 
@@ -682,6 +743,24 @@ def residue_files(files: DataFrame, id_col: str = "file_id", text_col: str = "bo
     return src.mapInArrow(run, f"`{id_col}` {kind}").distinct()
 
 
+def cleaned_files(files: DataFrame, id_col: str = "file_id", text_col: str = "body") -> DataFrame:
+    """``(id, text)``: detexed texts without the markup left in them; those that hold none stand as they are.
+
+    Null, empty and blank bodies and null ids give no row.
+    """
+    src = _files(files, id_col, text_col)
+    kind = src.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("t").to_pylist()
+            full = pa.array([bool(t) and not t.isspace() for t in texts], pa.bool_())
+            clean = pa.array([clean_residue(t) if has_residue(t) else t for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(full), clean.filter(full)], names=[id_col, "text"])
+
+    return src.mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
 def clean_text(read: DataFrame, id_col: str = "file_id") -> DataFrame:
     """``(id, text)``: each file's clean text from its elements, blank lines between them."""
     shown = (

@@ -67,7 +67,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_text(spark: SparkSession, sf: str) -> DataFrame:
-    return markup.clean_text(markup.read_elements(_t(spark, sf, "latex_files")))
+    marked = markup.clean_text(markup.read_elements(_t(spark, sf, "latex_files")))
+    return marked.unionByName(markup.cleaned_files(_t(spark, sf, "text_files")))
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
