@@ -78,3 +78,9 @@ def test_pairs(spark):
     want |= {tuple(orgs)}
     assert got == want
     assert N.same_name_pairs(df.where("false")).count() == 0
+
+
+def test_slips_in_surnames_of_initials_and_in_collaborations(spark):
+    rows = [("W.C.", "Fabolusuk"), ("William C.", "Fablousuk"), ("E.", "Webadoru"), ("E.", "Webadoruu"), ("E.", "Webadoru"), (None, "Vorapim Collaboration"), (None, "Voarpim Collaboration"), (None, "Vorapim 2 Collaboration"), (None, "Vorapim 3 Collaboration")]
+    df = spark.createDataFrame([(k, f, n) for k, (f, n) in enumerate(rows)], "author_row bigint, first_name string, last_name string")
+    assert {(r.id_a, r.id_b) for r in N.same_name_pairs(df).collect()} == {(0, 1), (2, 3), (3, 4), (5, 6)}

@@ -290,6 +290,38 @@ def _canonical(full: DataFrame) -> DataFrame:
     return names.select("k", "first", "surname").join(twice, "k").join(ends, "c").select("first", "surname", "c_first", "c_surname")
 
 
+def _settled(step: DataFrame) -> DataFrame:
+    """``(k, to)`` with each pointer followed to its end; pointers only rise, so there is one."""
+    step = cut(step)
+    while True:
+        nxt = cut(step.join(step.select(F.col("k").alias("to"), F.col("to").alias("end")), "to").select("k", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")))
+        if nxt.where("moved").isEmpty():
+            return nxt.drop("moved")
+        step = nxt.drop("moved")
+
+
+def _both_ways(slips: DataFrame) -> DataFrame:
+    return slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _to_frequent(names: DataFrame, near: DataFrame) -> DataFrame:
+    """``(k, to)`` of names ``(k, n)``: a rare one, or one much rarer, goes to its only more frequent neighbour in ``near``."""
+    side = lambda p: names.select(F.col("k").alias(p), F.col("n").alias(f"n_{p}"))
+    met = near.join(side("a"), "a").join(side("b"), "b").where((F.struct("n_b", "b") > F.struct("n_a", "a")) & ((F.col("n_a") <= 2) | (3 * F.col("n_a") <= F.col("n_b"))))
+    to = met.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("to"), F.max("b").alias("b2")).where("to = b2").select("k", "to")
+    return _settled(names.select("k").join(to, "k", "left").select("k", F.coalesce("to", "k").alias("to")))
+
+
+def _orgs(parsed: DataFrame) -> DataFrame:
+    """Spellings of collaborations with their entity; names that differ in a number are two."""
+    org = cut(parsed.where("kind = 'org'"))
+    names = cut(org.groupBy(F.col("surname").alias("k")).agg(F.sum("n").alias("n")))
+    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"\b(?:[ivx]+|\w*\d\w*)\b"), F.lit(0))
+    near = _both_ways(segment_join(names)).where(numbers(F.col("a")) == numbers(F.col("b")))
+    to = _to_frequent(names, near).withColumnRenamed("k", "surname")
+    return org.join(to, "surname").select("first_name", "last_name", F.concat(F.lit("o|"), "to").alias("entity"))
+
+
 def _unglued(full: DataFrame) -> DataFrame:
     """Particles written in one with the surname are parted where the collection has the two apart."""
     apart = full.where("particle != ''").groupBy("first", F.concat(F.regexp_replace("particle", " ", ""), "surname").alias("surname"))
@@ -304,7 +336,7 @@ def _unglued(full: DataFrame) -> DataFrame:
 def resolve(parsed: DataFrame) -> DataFrame:
     """``(first_name, last_name, entity)`` of every spelling that names a person or collaboration."""
     spelling = ["first_name", "last_name"]
-    org = parsed.where("kind = 'org'").select(*spelling, F.concat(F.lit("o|"), "surname").alias("entity"))
+    org = _orgs(parsed)
     full = cut(_unglued(parsed.where("kind = 'full'")))
     full = full.join(_canonical(full), ["first", "surname"])
     who = ["c_first", "c_surname"]
@@ -316,18 +348,37 @@ def resolve(parsed: DataFrame) -> DataFrame:
     full = cut(full.select(*spelling, *who, "p", "m", "parts", F.concat_ws("|", F.lit("f"), *who, "p", "m").alias("entity")))
     persons = full.groupBy("entity", "c_first", "c_surname", "p", "m").agg(F.max("parts").alias("parts"))
     persons = persons.select("entity", F.col("c_surname").alias("surname"), F.col("p").alias("particle"), "m", F.col("parts").alias("full_parts"), F.substring("c_first", 1, 1).alias("letter"))
-    short = parsed.where("kind = 'initial'").withColumn("letter", F.substring("parts", 1, 1))
-    forms = short.select("surname", "particle", "letter", "parts", "mid").distinct()
+    key = F.concat_ws(" ", F.when(F.col("particle") != "", F.col("particle")), "surname")
+    persons = cut(persons.withColumn("key", key))
+    short = cut(parsed.where("kind = 'initial'").withColumn("letter", F.substring("parts", 1, 1)).withColumn("key", key))
+    forms = cut(short.groupBy("surname", "particle", "letter", "parts", "mid", "key").agg(F.sum("n").alias("n")))
+    near = cut(_both_ways(segment_join(forms.select("key").union(persons.select("key")).distinct().withColumnRenamed("key", "k"))))
     fits = (F.length("parts") == 1) | (F.col("parts") == F.col("full_parts"))
     both_initials = F.concat("parts", "mid") == F.col("full_parts")  # "J. P." for a compound name
     rank = F.when(((F.col("mid") != "") & (F.col("mid") == F.col("m"))) | ((F.col("mid") != "") & both_initials), 2).when((F.col("mid") == "") | (F.col("m") == ""), 1)
-    met = forms.join(persons, ["surname", "particle", "letter"]).where(fits).withColumn("rank", rank).where("rank is not null")
     form = ["surname", "particle", "parts", "mid"]
-    met = met.groupBy(*form, "rank").agg(F.min("entity").alias("e"), F.max("entity").alias("e2"))
-    met = met.groupBy(*form).agg(F.max_by(F.when(F.col("e") == F.col("e2"), F.col("e")), "rank").alias("entity"), F.lit(True).alias("met"))
-    lone = forms.groupBy("surname", "particle", "parts").agg(_only("mid").alias("m"))
-    short = short.join(met, form, "left").join(lone, ["surname", "particle", "parts"])
-    alone = F.concat_ws("|", F.lit("i"), "parts", "surname", "particle", F.when(F.col("mid") == "", F.coalesce("m", F.lit(""))).otherwise(F.col("mid")))
+
+    def one_of(met: DataFrame) -> DataFrame:
+        met = met.where(fits).withColumn("rank", rank).where("rank is not null")
+        met = met.groupBy(*form, "rank").agg(F.min("entity").alias("e"), F.max("entity").alias("e2"))
+        return met.groupBy(*form).agg(F.max_by(F.when(F.col("e") == F.col("e2"), F.col("e")), "rank").alias("entity"), F.lit(True).alias("met"))
+
+    exact = one_of(forms.drop("key").join(persons.drop("key"), ["surname", "particle", "letter"]))
+    # A surname that no person has in full may be a slip of one: where just one person fits.
+    lost = forms.join(persons.select("key").distinct(), "key", "left_anti")
+    others = persons.select(F.col("key").alias("b"), "letter", "m", "full_parts", "entity")
+    slipped = one_of(lost.join(near.withColumnRenamed("a", "key"), "key").join(others, ["b", "letter"])).where("entity is not null")
+    met = cut(exact.unionByName(slipped))
+    # Forms without a person: a slip of the surname goes to the more frequent one of the same initials.
+    free = cut(forms.join(met, form, "left_anti").groupBy("parts", "key", "surname", "particle").agg(F.sum("n").alias("n"), F.array_remove(F.collect_set("mid"), "").alias("mids")).withColumn("k", F.concat_ws("|", "parts", "surname", "particle")))
+    end = lambda p: free.select(F.col("key").alias(p), "parts", F.col("k").alias(f"k_{p}"), F.col("mids").alias(f"mids_{p}"))
+    alike = near.join(end("a"), "a").join(end("b"), ["b", "parts"]).where(F.size(F.array_union("mids_a", "mids_b")) <= 1)
+    to = _to_frequent(free, alike.select(F.col("k_a").alias("a"), F.col("k_b").alias("b")))
+    whole = F.concat_ws("|", "parts", "surname", "particle")
+    short = short.join(met, form, "left").withColumn("k", whole).join(to, "k", "left").withColumn("k", F.coalesce("to", "k"))
+    lone = short.groupBy("k").agg(_only("mid").alias("m"))
+    short = short.join(lone, "k")
+    alone = F.concat_ws("|", F.lit("i"), "k", F.when(F.col("mid") == "", F.coalesce("m", F.lit(""))).otherwise(F.col("mid")))
     # An initial that fits several persons is told from none of them and stays by itself.
     apart = F.concat_ws("|", F.lit("?"), "parts", "surname", "particle", "mid")
     short = short.select(*spelling, F.coalesce("entity", F.when(F.col("met"), apart), alone).alias("entity"))
