@@ -113,6 +113,13 @@ def test_merge_has_unannotated_sentences_of_the_group(spark):
     assert got == [("x-v1-0-0,x-v1-0-1", "a b c d", "a b", ["l"], "why", 1)]
 
 
+def test_edge_groups_settle_on_a_long_chain(spark):
+    chain = [(f"a{k + d:03}", f"b{k:03}") for k in range(70) for d in (0, 1)]
+    df = spark.createDataFrame([("x", 1, 2, a, b) for a, b in chain], "arxivid string, v1 int, v2 int, id1 string, id2 string")
+    got = E.edge_groups(df)
+    assert got.count() == 140 and [r.grp for r in got.select("grp").distinct().collect()] == ["a000"]
+
+
 def test_priority_merge(spark):
     base = spark.createDataFrame([(1,), (2,), (3,)], "k int")
     s1 = spark.createDataFrame([(1, ["a"], ""), (2, [], "why")], "k int, labels array<string>, explanation string")

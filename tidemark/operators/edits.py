@@ -78,21 +78,21 @@ def parse_ids(ids: Column | str) -> Column:
     return F.filter(F.transform(F.split(ids, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def edge_groups(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def edge_groups(edges: DataFrame) -> DataFrame:
     """With ``grp``: the connected group of each edge, named by its smallest v1 id.
 
-    Labels pass along edges until they stand; a group of n:m sentences settles in a few rounds, and
-    each round is one aggregation to either side, so a sentence of many partners is no single task.
+    In each round every label goes to the smallest one that a sentence of its edges bears, and from
+    there on to where the sentence of that name went, until no label moves: long chains need few rounds, and none is broken.
     """
     e = cut(edges.select(*PAIR, "id1", "id2").distinct().withColumn("grp", F.col("id1")))
-    for _ in range(rounds):
-        right = e.groupBy(*PAIR, "id2").agg(F.min("grp").alias("g2"))
-        at1 = e.join(right, [*PAIR, "id2"]).groupBy(*PAIR, "id1").agg(F.min("g2").alias("g1"))
-        nxt = cut(e.join(at1, [*PAIR, "id1"]).select(*PAIR, "id1", "id2", F.least("grp", "g1").alias("grp"), (F.col("g1") < F.col("grp")).alias("moved")))
-        if nxt.where("moved").isEmpty():
-            return nxt.drop("moved")
-        e = nxt.drop("moved")
-    return e
+    while True:
+        right = e.groupBy(*PAIR, "id2").agg(F.min("grp").alias("to"))
+        moves = cut(e.join(right, [*PAIR, "id2"]).groupBy(*PAIR, "grp").agg(F.min("to").alias("to")))
+        if moves.where("to < grp").isEmpty():
+            return e
+        moved = cut(e.join(moves, [*PAIR, "grp"]).select(*PAIR, "id1", "id2", "to"))
+        further = moved.groupBy(*PAIR, F.col("id1").alias("to")).agg(F.min("to").alias("end"))
+        e = cut(moved.join(further, [*PAIR, "to"]).select(*PAIR, "id1", "id2", F.col("end").alias("grp")))
 
 
 def merge_groups(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
