@@ -84,3 +84,8 @@ def test_slips_in_surnames_of_initials_and_in_collaborations(spark):
     rows = [("W.C.", "Fabolusuk"), ("William C.", "Fablousuk"), ("E.", "Webadoru"), ("E.", "Webadoruu"), ("E.", "Webadoru"), (None, "Vorapim Collaboration"), (None, "Voarpim Collaboration"), (None, "Vorapim 2 Collaboration"), (None, "Vorapim 3 Collaboration")]
     df = spark.createDataFrame([(k, f, n) for k, (f, n) in enumerate(rows)], "author_row bigint, first_name string, last_name string")
     assert {(r.id_a, r.id_b) for r in N.same_name_pairs(df).collect()} == {(0, 1), (2, 3), (3, 4), (5, 6)}
+
+
+def test_pointers_are_followed_to_their_end(spark):
+    step = spark.createDataFrame([(f"k{k}", f"k{min(k + 1, 6)}") for k in range(7)], "k string, to string")
+    assert {(r.k, r.to) for r in N._settled(step).collect()} == {(f"k{k}", "k6") for k in range(7)}

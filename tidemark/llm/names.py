@@ -284,10 +284,9 @@ def _canonical(full: DataFrame) -> DataFrame:
     to = both.where(~F.coalesce(two_names, F.lit(False)) & frequent & few).groupBy("a").agg(
         F.max_by("b", F.struct(F.col("score_b"), F.col("b"))).alias("to")
     )
-    step = cut(names.select("k").join(to.withColumnRenamed("a", "k"), "k", "left").select("k", F.coalesce("to", "k").alias("to")))
-    twice = step.join(step.select(F.col("k").alias("to"), F.col("to").alias("to2")), "to").select("k", F.col("to2").alias("c"))
+    goes = _settled(names.select("k").join(to.withColumnRenamed("a", "k"), "k", "left").select("k", F.coalesce("to", "k").alias("to"))).withColumnRenamed("to", "c")
     ends = names.select(F.col("k").alias("c"), F.col("first").alias("c_first"), F.col("surname").alias("c_surname"))
-    return names.select("k", "first", "surname").join(twice, "k").join(ends, "c").select("first", "surname", "c_first", "c_surname")
+    return names.select("k", "first", "surname").join(goes, "k").join(ends, "c").select("first", "surname", "c_first", "c_surname")
 
 
 def _settled(step: DataFrame) -> DataFrame:
