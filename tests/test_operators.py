@@ -167,3 +167,12 @@ def test_precision_recall_of_empty_sets(spark):
 def test_unknown_group_is_refused(spark):
     with pytest.raises(ValueError):
         B.examples(None, None, 5, 1, "neither")
+
+
+def test_registered_evaluation_uses_the_folds_of_train():
+    import inspect
+
+    from tidemark import catalogue as C
+
+    assert "B.train(ex)" in inspect.getsource(C.block_classifier_eval)
+    assert inspect.signature(B.train).parameters["folds"].default == 10

@@ -833,7 +833,7 @@ def training_examples(spark: SparkSession, sf: str) -> DataFrame:
 def block_classifier_eval(spark: SparkSession, sf: str) -> DataFrame:
     sents = cut(_sents(spark, sf))
     ex = cut(B.examples(sents, _features(spark, sf), 5, 1))
-    model, accuracy = B.train(ex, folds=3)
+    model, accuracy = B.train(ex)
     found = B.predicted_blocks(B.predicted(sents, ex, model), 5)
     gold = _stored_edges(_diff(spark, sf)).select(*PAIR, "id1", "id2")
     return B.roll_up(B.block_metrics(sents, found, gold)).withColumn("accuracy", F.round(F.lit(accuracy), 4))
