@@ -41,9 +41,9 @@ def test_longest_passage_and_passes(spark, monkeypatch):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = [(1, "zero " + item.replace("one ", "")), (2, item), (3, item.replace("seven", "7"))]
     items = [(9, item), (10, None), (11, "short"), (12, item + " more")]
-    want = {(1, 9, 1, 12), (2, 9, 0, 13), (1, 12, 1, 12), (2, 12, 0, 13)}
+    want = {(1, 9, 1, 12, 4), (2, 9, 0, 13, 0), (1, 12, 1, 12, 4), (2, 12, 0, 13, 0)}
     assert {tuple(r) for r in run(spark, docs, items).collect()} == want
-    monkeypatch.setattr(L, "ITEMS_PER_PASS", 1)
+    monkeypatch.setattr(L, "BYTES_PER_PASS", 30)
     assert {tuple(r) for r in run(spark, docs, items).collect()} == want
 
 
@@ -53,3 +53,23 @@ def test_empty_tables_and_removal(spark):
     d = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id bigint, text string")
     leaks = spark.createDataFrame([(1, 5), (1, 6)], "doc_id bigint, item_id bigint")
     assert sorted(str(r.doc_id) for r in L.drop_leaking(d, leaks).collect()) == ["2", "None"]
+
+
+def test_runs_stand_together(spark):
+    """Passages of different places of a document make no longer one."""
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen".split()
+    docs = [(1, " ".join(words[:12]) + " between " + " ".join(words[1:])), (2, " ".join(words[:12]) + " ")]
+    got = {tuple(r) for r in run(spark, docs, [(7, " ".join(words))]).collect()}
+    assert got == {(1, 7, 0, 12, 0), (2, 7, 0, 12, 0)}
+
+
+def test_vowel_signs_are_within_words():
+    assert len(L.words_of("हर नमूना समान है")) == 4
+
+
+def test_a_long_word_makes_no_other_passage_larger():
+    items = [(1, "x" * 20_000 + " a b c d e f g h i j k"), (2, " ".join(f"word{k}" for k in range(14)))]
+    p = L.Passages(items, 12)
+    assert len(p) == 4 and p.heads.nbytes < 200_000
+    at, which = p.search(L.stream_of(items[1][1]) + b"zz")
+    assert sorted(zip(at.tolist(), p.word[which].tolist())) == [(0, 0), (5, 1), (10, 2)]

@@ -189,3 +189,30 @@ def test_reading_bands(spark):
     assert all((b <= 2) == bool(k % 2) for k, b in got.items() if k < 40) and got[93] <= 2
     assert R.reading_bands(d, lab.where("false")).count() == 0
     assert R.reading_bands(d.where("false"), lab).count() == 0
+
+
+def test_many_labels_and_unclosed_marks():
+    assert S.unit_ends("So it is. " + "(a) " * 3000 + "End.")
+    assert S.unit_ends("So it is. " + '( " ' * 20000 + ") " * 20000)
+
+
+def test_list_levels():
+    assert units("1. One.\n  1. Inner.\n2. Two.\n\nText here.\n3. not a list. More.") == ["1. One.", "1. Inner.", "2. Two.", "Text here.", "3. not a list.", "More."]
+
+
+def test_macros_without_bound():
+    source = "\\documentclass{a}\\newcommand{\\a}{Spin\\xspace}\\newcommand{\\w}[2][old]{#1 #2}\\def\\x{\\x y}\\begin{document}"
+    got = M.elements(source + "\\a{} " * 5000 + "\\section{The \\a{} Model}\\x{} \\w{way}, \\w[new]{way}\n\\[ \\a + 1 \\]\\end{document}")
+    assert got[0] == ("paragraph", " ".join(["Spin"] * 5000))
+    assert ("heading", "The Spin Model") in got and ("formula", "\\a + 1") in got
+    assert ("paragraph", "y old way, new way") in got
+
+
+def test_expansion_without_end_is_an_error():
+    laughs = "\\documentclass{a}\\def\\z{aaaaaaaaaaaaaaaaaaaa}" + "".join(f"\\def\\{chr(97 + k)}{{{chr(92) + (chr(96 + k) if k else 'z')}" * 1 + "{}" + f"{chr(92) + (chr(96 + k) if k else 'z')}}}" for k in range(22))
+    assert M.elements(laughs + "\\begin{document}\\v\\end{document}")[-1] == ("error", "ValueError")
+
+
+def test_paths_are_no_residue():
+    assert not M.has_residue("It lies at C:\\Users\\bob and D:\\x.")
+    assert M.has_residue("It is \\emph{so} here.") and M.has_residue("C:\\emph{so}")

@@ -35,15 +35,17 @@ def default_vocabulary() -> str:
 
 
 class TokenAutomaton:
-    """Encoder and decoder over one file of ranks (``base64 rank`` per line)."""
+    """Encoder and decoder over ranks (``base64 rank`` per line), given as a file's path or as its bytes."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, ranks: str | bytes) -> None:
         labels: dict[int, bytes] = {}
-        with open(path, "rb") as f:
-            for line in f:
-                if line.strip():
-                    b, rank = line.split()
-                    labels[int(rank)] = base64.b64decode(b)
+        if isinstance(ranks, str):
+            with open(ranks, "rb") as f:
+                ranks = f.read()
+        for line in ranks.splitlines():
+            if line.strip():
+                b, rank = line.split()
+                labels[int(rank)] = base64.b64decode(b)
         self.labels = labels
         self.ids = {b: i for i, b in labels.items()}
         self.tails = {b[k:] for b in self.ids for k in range(len(b))}  # arcs into a position, read backwards
@@ -149,22 +151,24 @@ class TokenAutomaton:
 
 
 @lru_cache(maxsize=2)
-def automaton(path: str) -> TokenAutomaton:
-    return TokenAutomaton(path)
+def automaton(ranks: str | bytes) -> TokenAutomaton:
+    return TokenAutomaton(ranks)
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``(id, ids array<int>)``, one row per input row, without special tokens.
 
     Null and empty texts give an empty list. Repeated rows stay repeated. Texts of any
-    length are encoded whole; a map-only step, so nothing is shuffled or collected.
+    length are encoded whole; a map-only step, so nothing is shuffled or collected. The
+    vocabulary is read where the query is planned and its bytes are sent: workers need no such file.
     """
-    path = vocabulary or default_vocabulary()
+    with open(vocabulary or default_vocabulary(), "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
     src = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = src.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(path)
+        auto = automaton(sent.value)
         for b in batches:
             flat, ends = array("i"), array("i", [0])
             for text in b.column("text").to_pylist():

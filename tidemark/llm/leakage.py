@@ -4,13 +4,13 @@ Every shard of documents is laid end to end as one byte stream of its letters an
 and all its suffixes are sorted by their leading bytes. Every suffix of a test item that
 starts at a word and spans at least ``min_words`` words is then binary-searched; runs that
 share the leading bytes are narrowed by the next ones until the whole passage is compared.
+Matches that continue one another at the same place are joined to the longest passage.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.plans.runtime import spread
 
 MIN_WORDS = 12
-#: Test items searched in one pass over the corpus; more items mean more passes.
-ITEMS_PER_PASS = 20_000
+#: Bytes of test texts searched in one pass over the corpus, and thus sent to the workers; more mean more passes.
+BYTES_PER_PASS = 16 << 20
 SHARD_BYTES = 1 << 20
 _NOISE = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -34,7 +34,7 @@ def _unify(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKC", text).lower()
-    return "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Cf", "Mn", "Me", "Cc"))
+    return "".join(c for c in text if c.isascii() or unicodedata.category(c) not in ("Cf", "Mn", "Mc", "Me", "Cc"))
 
 
 def stream_of(text: str | None) -> bytes:
@@ -51,77 +51,109 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Passages:
-    """Test suffixes cut to their first ``min_words`` words, ready for binary search."""
+    """Test suffixes cut to their first ``min_words`` words, ready for binary search.
+
+    The items' compared bytes lie end to end once; a passage is an offset and a length in them, so that
+    neither a long word nor a long item makes the others larger.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], min_words: int) -> None:
-        owners: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.item_ids = [i for i, _ in items]
+        streams, item, word, at, length, total = [], [], [], [], [], 0
         for k, (_, text) in enumerate(items):
             words = words_of(text)
-            for w in range(len(words) - min_words + 1):
-                owners[b"".join(words[w : w + min_words])].append((k, w))
-        self.texts = sorted(owners)
-        self.owners = [owners[t] for t in self.texts]
-        self.lengths = np.array([len(t) for t in self.texts], np.int64)
-        depth = -(-int(self.lengths.max(initial=1)) // _LEAD)
-        raw = b"".join(t.ljust(depth * _LEAD, b"\0") for t in self.texts)
-        self.chunks = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(self.texts), depth)
-        used = np.clip(self.lengths[:, None] - _LEAD * np.arange(depth)[None, :], 0, _LEAD).astype(np.uint64)
-        ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-        self.masks = np.where(used == 0, np.uint64(0), ones << (np.uint64(8) * (np.uint64(8) - np.maximum(used, 1))))
+            ends = np.cumsum([0] + [len(w) for w in words])
+            n = len(words) - min_words + 1
+            if n > 0:
+                item.append(np.full(n, k, np.int64))
+                word.append(np.arange(n))
+                at.append(total + ends[:n])
+                length.append(ends[min_words:] - ends[:n])
+                streams += words
+                total += int(ends[-1])
+        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        self.item, self.word, self.at, self.length = map(cat, (item, word, at, length))
+        first = np.concatenate([[0], np.flatnonzero(np.diff(self.item)) + 1]) if len(self.item) else np.zeros(0, np.int64)
+        begins = np.zeros(len(items), np.int64)
+        begins[self.item[first]] = self.at[first]
+        self.offset = self.at - begins[self.item]  # of the passage within its item's bytes
+        self.heads = _heads(b"".join(streams))
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def _part(self, which: np.ndarray | slice, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``d``-th eight bytes of the passages, and the mask of those within their length."""
+        at = np.minimum(self.at[which] + _LEAD * d, len(self.heads) - 1)
+        used = np.clip(self.length[which] - _LEAD * d, 0, _LEAD).astype(np.uint64)
+        mask = np.where(used == 0, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) << (np.uint64(8) * (np.uint64(8) - np.maximum(used, np.uint64(1)))))
+        return self.heads[at] & mask, mask
 
     def search(self, stream: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Positions in the stream and the passages that stand there."""
         none = np.zeros(0, np.int64)
         n = len(stream)
-        if not n or not self.texts:
+        if not n or not len(self):
             return none, none
-        depth = self.chunks.shape[1]
-        data = np.frombuffer(stream + b"\0" * (_LEAD * (depth + 1)), np.uint8)
-        heads = np.zeros(len(data) - _LEAD, np.uint64)
-        for k in range(_LEAD):
-            heads = (heads << np.uint64(8)) | data[k : k + len(heads)]
+        heads = _heads(stream)
         order = np.argsort(heads[:n], kind="stable")
         ranked = heads[:n][order]
-        first, mask = self.chunks[:, 0], self.masks[:, 0]
+        first, mask = self._part(slice(None), 0)
         lo = np.searchsorted(ranked, first, "left")
         hi = np.searchsorted(ranked, first | ~mask, "right")
         size = hi - lo
-        which = np.repeat(np.arange(len(self.texts)), size)
-        if not len(which):
-            return none, none
+        which = np.repeat(np.arange(len(self)), size)
         within = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
         at = order[np.repeat(lo, size) + within]
-        for d in range(1, depth):
-            m = self.masks[which, d]
-            ok = (heads[at + _LEAD * d] & m) == (self.chunks[which, d] & m)
+        d = 1
+        while len(which):
+            open_ = self.length[which] > _LEAD * d
+            if not open_.any():
+                break
+            part, mask = self._part(which[open_], d)
+            ok = ~open_
+            ok[open_] = (heads[np.minimum(at[open_] + _LEAD * d, n)] & mask) == part
             at, which = at[ok], which[ok]
-            if not len(at):
-                return none, none
+            d += 1
         return at, which
 
 
-def _runs(found: dict[tuple[int, int], set[int]], min_words: int) -> Iterator[tuple[int, int, int, int]]:
-    """The longest run of words of each (document, item), and the word it starts at."""
-    for (doc, item), starts in found.items():
-        best, best_at, run, last = 0, 0, 0, -2
-        for w in sorted(starts):
-            run = run + 1 if w == last + 1 else 1
-            last = w
-            if run > best:
-                best, best_at = run, w - run + 1
-        yield doc, item, best_at, best + min_words - 1
+def _heads(data: bytes) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros after the end; one position more than bytes."""
+    raw = np.frombuffer(data + b"\0" * _LEAD, np.uint8)
+    out = np.zeros(len(data) + 1, np.uint64)
+    for k in range(_LEAD):
+        out = (out << np.uint64(8)) | raw[k : k + len(out)]
+    return out
 
 
 def _search_docs(ids: list, streams: list[bytes], passages: Passages, min_words: int) -> Iterator[tuple]:
+    """``(id, item, first word, words, place)`` of the longest passage of each item in each text.
+
+    Passages belong together where each next one starts a word later in the item and just that word's
+    bytes later in the text; the first of the longest runs is told.
+    """
     begins = np.cumsum([0] + [len(s) + 1 for s in streams])
     at, which = passages.search(b"\n".join(streams))
-    found: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for doc, p in zip((np.searchsorted(begins, at, "right") - 1).tolist(), which.tolist()):
-        for item, w in passages.owners[p]:
-            found[doc, item].add(w)
-    for doc, item, w, n in _runs(found, min_words):
-        yield ids[doc], passages.item_ids[item], w, n
+    if not len(at):
+        return
+    doc = np.searchsorted(begins, at, "right") - 1
+    item, word = passages.item[which], passages.word[which]
+    line = at - passages.offset[which]  # where the item would begin
+    order = np.lexsort((word, line, item, doc))
+    doc, item, word, line, at = doc[order], item[order], word[order], line[order], at[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(line) != 0) | (np.diff(word) != 1)
+    starts = np.flatnonzero(new)
+    size = np.diff(np.append(starts, len(doc)))
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for k, n in zip(starts.tolist(), size.tolist()):
+        pair = int(doc[k]), int(item[k])
+        if pair not in best or n > best[pair][0]:
+            best[pair] = n, k
+    for (d, i), (n, k) in best.items():
+        place = len(streams[d][: int(at[k] - begins[d])].decode("utf-8", "replace"))
+        yield ids[d], passages.item_ids[i], int(word[k]), n + min_words - 1, place
 
 
 def find_leaks(
@@ -133,18 +165,20 @@ def find_leaks(
     item_text: str = "text",
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """``(doc_id, item_id, item_word, n_words)``: the longest passage of the item in the document.
+    """``(doc_id, item_id, item_word, n_words, doc_at)``: the longest passage of the item in the document.
 
-    Test items are read in passes of at most ``ITEMS_PER_PASS``, which bounds what is sent to
-    the workers; every pass searches all documents whole. Null and empty texts and items of
-    fewer than ``min_words`` words give no row. A repeated document row gives its rows once.
-    An item's id must be unique. Nothing but the result's rows is shuffled.
+    The passage starts at word ``item_word`` of the item, after ``doc_at`` letters and digits of the
+    document. Test texts are read in passes of about ``BYTES_PER_PASS``, which bounds what is sent to the
+    workers; every pass searches all documents whole, and an item is never parted. Null and empty
+    texts and items of fewer than ``min_words`` words give no row. A repeated document row gives its rows
+    once. An item's id must be unique. Nothing but the result's rows is shuffled.
     """
     test = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     src = spread(docs.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")).where("d is not null and t is not null"))
     kinds = src.schema["d"].dataType.simpleString(), test.schema["i"].dataType.simpleString()
-    schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, item_word int, n_words int"
-    passes = max(1, -(-test.count() // ITEMS_PER_PASS))
+    schema = f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}, item_word int, n_words int, doc_at bigint"
+    held = test.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    passes = max(1, -(-held // BYTES_PER_PASS))
     sc = src.sparkSession.sparkContext
     out = None
     for k in range(passes):
@@ -160,8 +194,8 @@ def find_leaks(
                     return None
                 cols = list(zip(*rows))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], types), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
-                    names=[doc_id, item_id, "item_word", "n_words"],
+                    [pa.array(cols[0], types), pa.array(cols[1]), *(pa.array(cols[k], t) for k, t in ((2, pa.int32()), (3, pa.int32()), (4, pa.int64())))],
+                    names=[doc_id, item_id, "item_word", "n_words", "doc_at"],
                 )
 
             ids, streams, size = [], [], 0
@@ -181,9 +215,8 @@ def find_leaks(
 
         found = src.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out.groupBy(doc_id, item_id).agg(
-        F.max_by("item_word", "n_words").alias("item_word"), F.max("n_words").alias("n_words")
-    )
+    first = F.max_by(F.struct("item_word", "n_words", "doc_at"), F.struct("n_words", -F.col("item_word"), -F.col("doc_at")))
+    return out.groupBy(doc_id, item_id).agg(first.alias("r")).select(doc_id, item_id, "r.*")
 
 
 def drop_leaking(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:

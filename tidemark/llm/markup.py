@@ -114,37 +114,117 @@ def tex_text(s: str) -> str:
     return squeeze("".join(out).replace("$", ""))
 
 
-def _macros(s: str) -> tuple[dict[str, tuple[int, str]], str]:
-    """User-defined commands and the source without their definitions."""
-    defined: dict[str, tuple[int, str]] = {}
-    head = re.compile(r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*(?:\{\s*\\([A-Za-z]+)\s*\}|\\([A-Za-z]+))\s*(?:\[(\d)\])?|\\def\s*\\([A-Za-z]+)((?:#\d)*)")
+_MACRO_HEAD = re.compile(
+    r"\\(?:(?:re)?newcommand|providecommand|DeclareRobustCommand)\*?\s*(?:\{\s*\\([A-Za-z]+)\s*\}|\\([A-Za-z]+))\s*(?:\[(\d)\])?\s*(\[)?|\\g?def\s*\\([A-Za-z]+)((?:#\d)*)"
+)
+
+
+def _macros(s: str) -> tuple[dict[str, tuple[int, str | None, str]], str]:
+    """User-defined commands (count of arguments, default of the first, body) and the source without their definitions."""
+    defined: dict[str, tuple[int, str | None, str]] = {}
     out, at = [], 0
-    while (m := head.search(s, at)) is not None:
+    while (m := _MACRO_HEAD.search(s, at)) is not None:
         line = s.rfind("\n", 0, m.start()) + 1
-        if re.search(r"(?<!\\)%", s[line : m.start()]):
-            out.append(s[at : m.end()])
-            at = m.end()
-            continue
-        body = _group(s, m.end())
+        default, after = None, m.end()
+        if m.group(4) and (o := _group(s, m.end() - 1, "[", "]")) is not None:
+            default, after = o
+        body = None if re.search(r"(?<!\\)%", s[line : m.start()]) else _group(s, after)
         if body is None:
             out.append(s[at : m.end()])
             at = m.end()
             continue
-        name = m.group(1) or m.group(2) or m.group(4)
-        count = int(m.group(3) or 0) if not m.group(4) else len(m.group(5) or "") // 2
-        defined[name] = (count, body[0])
+        name = m.group(1) or m.group(2) or m.group(5)
+        count = int(m.group(3) or 0) if not m.group(5) else len(m.group(6) or "") // 2
+        defined[name] = (count, default, body[0].replace("\\xspace", ""))
         out.append(s[at : m.start()])
         at = body[1]
     return defined, "".join(out) + s[at:]
 
 
+#: A source whose commands make more than this many times its length of it, and more than ``LEAST_GROWN``, is reported as an error.
+GROWTH, LEAST_GROWN = 100, 10_000_000
+_KNOWN = frozenset(("begin", "end", "item", "iffalse", "bibitem", "title", "author", "date", "usepackage", "documentclass", "documentstyle", "newtheorem", *_SECTIONS))
+_AS_IT_STANDS = "|".join(re.escape(e) for e in (*_CODE_ENVS, *(x + star for x in _MATH_ENVS for star in ("", "*"))))
+_EXPAND_EVENT = re.compile(
+    r"\\begin\s*\{(?P<env>" + _AS_IT_STANDS + r")\}|(?P<comment>(?<!\\)%[^\n]*)|(?P<escape>\\[\\%$&#_{}~^])|\\verb\*?(?P<bar>[^\sA-Za-z*])"
+    r"|(?P<math>\$\$|\$|\\\[|\\\()|\\(?P<name>[A-Za-z]+)"
+)
+_MATH_END = {"$$": "$$", "$": "$", "\\[": "\\]", "\\(": "\\)"}
+
+
+def _expand(s: str, defined: dict[str, tuple[int, str | None, str]]) -> str:
+    """The source with its own commands carried out; code, formulas and comments stay as written.
+
+    The stack holds the texts being read, each the body of a command within the one below. A command that stands in
+    its own body is left out there, so every expansion ends.
+    """
+    if not defined:
+        return s
+    out: list[str] = []
+    frames: list[list] = [[s, 0, None]]
+    active: set[str] = set()
+    grown, most = 0, max(GROWTH * len(s), LEAST_GROWN)
+
+    def leave() -> None:
+        active.discard(frames.pop()[2])
+
+    def argument(pair: str) -> str | None:
+        while True:
+            text, at, _ = frames[-1]
+            if (g := _group(text, at, *pair)) is not None:
+                frames[-1][1] = g[1]
+                return g[0]
+            if len(frames) == 1 or text[at:].strip():
+                return None
+            leave()  # the argument may stand after the command that ends here
+
+    while frames:
+        text, at, _ = frames[-1]
+        m = _EXPAND_EVENT.search(text, at)
+        if m is None:
+            out.append(text[at:])
+            leave()
+            continue
+        out.append(text[at : m.start()])
+        at = m.end()
+        name = m.group("name")
+        if name in defined and name not in _KNOWN:
+            frames[-1][1] = at
+            if name in active:
+                continue
+            count, default, body = defined[name]
+            args: list[str] = []
+            if default is not None and count:
+                args.append(default if (o := argument("[]")) is None else o)
+            while len(args) < count and (g := argument("{}")) is not None:
+                args.append(g)
+            put = re.sub(r"#(\d)", lambda d, a=args: a[int(d.group(1)) - 1] if 0 < int(d.group(1)) <= len(a) else "", body)
+            grown += len(put)
+            if grown > most:
+                raise ValueError("commands expand without end")
+            frames.append([put, 0, name])
+            active.add(name)
+            continue
+        if m.group("env"):
+            end = text.find("\\end{" + m.group("env") + "}", at)
+            at = end if end >= 0 else at
+        elif m.group("bar"):
+            at = max(at, text.find(m.group("bar"), at) + 1)
+        elif m.group("math"):
+            end = text.find(_MATH_END[m.group("math")], at)
+            at = end + len(m.group("math")) if end >= 0 else at
+        out.append(text[m.start() : at])
+        frames[-1][1] = at
+    return "".join(out)
+
+
 def read_latex(source: str, emit: Emit) -> None:
     defined, s = _macros(source)
+    s = _expand(s, defined)
     begin = re.search(r"(?m)^(?:[^%\n]|\\%)*?\\begin\s*\{document\}", s)
     at = begin.end() if begin else 0
     levels: list[list[str] | None] = []  # the open item of each open list
     para: list[str] = []
-    budget = 1000 + len(s) // 4  # expansions, against commands that call themselves
 
     def text(t: str) -> None:
         (levels[-1] if levels and levels[-1] is not None else para).append(t)
@@ -243,18 +323,6 @@ def read_latex(source: str, emit: Emit) -> None:
                     at = o[1]
                 if (g := _group(s, at)) is not None:
                     at = g[1]
-            elif name in defined and budget > 0:
-                count, body = defined[name]
-                args = []
-                for _ in range(count):
-                    if (g := _group(s, at)) is None:
-                        break
-                    args.append(g[0])
-                    at = g[1]
-                budget -= 1
-                put = re.sub(r"#(\d)", lambda d, a=args: a[int(d.group(1)) - 1] if 0 < int(d.group(1)) <= len(a) else "", body)
-                s = put + s[at:] if at > 100_000 else s[:at] + put + s[at:]
-                at = 0 if at > 100_000 else at
             else:
                 text("\\" + name + star)
     while levels:
@@ -613,12 +681,18 @@ def markup_of(body: str) -> str:
 
 
 def elements(body: str | None) -> list[tuple[str, str]]:
-    """The elements of a file in order, paragraphs included; none for a null or blank one."""
+    """The elements of a file in order, paragraphs included; none for a null or blank one.
+
+    A reader that fails leaves what it had read and an element ``error`` with the failure's name.
+    """
     out: list[tuple[str, str]] = []
     if not body or body.isspace():
         return out
     body = body.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "")
-    _READERS[markup_of(body)](body, lambda kind, item: out.append((kind, item)) if item else None)
+    try:
+        _READERS[markup_of(body)](body, lambda kind, item: out.append((kind, item)) if item else None)
+    except (RecursionError, ValueError, AssertionError) as e:
+        out.append(("error", type(e).__name__))
     return out
 
 
@@ -629,9 +703,13 @@ _RESIDUE = re.compile(
 )
 
 
+#: A path of drive and folders, whose backslashes are no commands.
+_PATH = re.compile(r"(?<![A-Za-z])[A-Za-z]:(?:\\[\w.-]+)+\\?(?![\w{\[])")
+
+
 def has_residue(body: str | None) -> bool:
-    """Whether a detexed text still holds markup; the project's own marks and plain signs are none."""
-    return bool(body) and _RESIDUE.search(body) is not None
+    """Whether a detexed text still holds markup; the project's own marks, plain signs and paths of files are none."""
+    return bool(body) and _RESIDUE.search(_PATH.sub(" ", body) if ":\\" in body else body) is not None
 
 
 _MARKS = {"cite": "[CITATION]", "citep": "[CITATION]", "citet": "[CITATION]", "ref": "[REF]", "eqref": "[REF]", "pageref": "[REF]"}
@@ -703,8 +781,8 @@ def read_elements(files: DataFrame, id_col: str = "file_id", text_col: str = "bo
     """``(id, place, kind, item)``: the elements of every file in order, paragraphs included.
 
     Null, empty and blank bodies and null ids give no row; a file that is cut off gives what
-    was begun. Repeated rows give their elements each time. A body that a reader cannot take
-    apart gives one paragraph, its text. Files are read whole; nothing is shuffled.
+    was begun. Repeated rows give their elements each time. Where a reader fails, what it had read
+    stays, and a row of kind ``error`` names the failure. Files are read whole; nothing is shuffled.
     """
     src = _files(files, id_col, text_col)
     kind = src.schema["id"].dataType.simpleString()
@@ -713,11 +791,7 @@ def read_elements(files: DataFrame, id_col: str = "file_id", text_col: str = "bo
         for b in batches:
             rows, places, kinds, items = [], [], [], []
             for k, body in enumerate(b.column("t").to_pylist()):
-                try:
-                    got = elements(body)
-                except (RecursionError, ValueError, AssertionError):
-                    got = [("paragraph", squeeze(body))]
-                for n, (name, item) in enumerate(got):
+                for n, (name, item) in enumerate(elements(body)):
                     rows.append(k)
                     places.append(n)
                     kinds.append(name)
@@ -762,7 +836,7 @@ def cleaned_files(files: DataFrame, id_col: str = "file_id", text_col: str = "bo
 
 
 def clean_text(read: DataFrame, id_col: str = "file_id") -> DataFrame:
-    """``(id, text)``: each file's clean text from its elements, blank lines between them."""
+    """``(id, text)``: each file's clean text from its elements, blank lines between them; errors are no text."""
     shown = (
         F.when(F.col("kind") == "heading", F.concat(F.lit("# "), "item"))
         .when(F.col("kind") == "list_item", F.concat(F.lit("- "), "item"))
@@ -771,7 +845,7 @@ def clean_text(read: DataFrame, id_col: str = "file_id") -> DataFrame:
         .otherwise(F.col("item"))
     )
     return (
-        read.groupBy(id_col)
+        read.where("kind != 'error'").groupBy(id_col)
         .agg(F.array_sort(F.collect_list(F.struct("place", shown.alias("s")))).alias("es"))
         .select(id_col, F.array_join(F.transform("es", lambda e: e["s"]), "\n\n").alias("text"))
     )

@@ -1,10 +1,10 @@
 """Sentence boundaries across languages and scripts by a pushdown automaton.
 
-A text is read once. Lines give the list level: blank lines end a unit, headings and numbered
-lines are units. Within running text a stack tracks open quotations and brackets, a trie read
-backwards from a full stop tells abbreviations, and each script brings its own terminators
-(full stops, ideographic stops, dandas, the space of Thai). What comes out are offsets in
-code points, counted from the start of the text.
+A text is read once. Lines move the stack of list levels: headings and numbered lines are units, a
+numbered line opens its level or returns to it by its indent, and a blank line closes them all. Within
+running text a stack tracks open quotations and brackets, a trie read backwards from a full stop tells
+abbreviations, and each script brings its own terminators (full stops, ideographic stops, dandas,
+the space of Thai). What comes out are offsets in code points, counted from the start of the text.
 """
 
 from __future__ import annotations
@@ -47,6 +47,7 @@ _KIND_NEVER, _KIND_NUMBERED, _KIND_MAY_END = 1, 2, 3
 TERMINATORS = ".!?…。！？｡．।॥؟۔"
 _WIDE = frozenset("。！？｡．।॥۔؟")
 _PAIRS = {"(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "«": "»", "„": "“”", "‹": "›", "〈": "〉", "〔": "〕"}
+_OPENERS = {c: tuple(o for o, cs in _PAIRS.items() if c in cs) for c in "".join(_PAIRS.values())}
 _CLOSERS = (frozenset("".join(_PAIRS.values())) | frozenset("\"'’")) - {"“"}  # that one opens, unless a low mark precedes
 _HEADING = re.compile(r"[ \t]*#{1,6}[ \t]+\S")
 _NUMBER = re.compile(r"[ \t]*(?:\d{1,3}[.)]|[-*•])[ \t]+\S")
@@ -92,42 +93,57 @@ def _abbreviation(text: str, start: int, stop: int) -> int:
 
 
 def _match(text: str, s: int, e: int, events: list[re.Match]) -> dict[int, int]:
-    """Opening place -> end of its closing mark, for those that are closed."""
+    """Opening place -> end of its closing mark, for those that are closed.
+
+    ``open_at`` holds, for each kind of opening mark, its places on the stack, so that a closing mark finds
+    its partner without a search; what was opened after the partner is popped unclosed, each mark once.
+    """
     out: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    open_at: dict[str, list[int]] = {}
+
+    def push(key: str, at: int) -> None:
+        open_at.setdefault(key, []).append(len(stack))
+        stack.append((key, at))
+
+    def close(held: int, end: int) -> None:
+        out[stack[held][1]] = end
+        while len(stack) > held:
+            open_at[stack.pop()[0]].pop()
+
     for m in events:
         kind, c, at = m.lastgroup, m.group(), m.start()
         if kind in ("open", "close") or c == '"':
             key = '"' if c == '"' else "``"
-            held = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == key), -1)
+            held = open_at[key][-1] if open_at.get(key) else -1
             before = text[at - 1] if at > s else " "
             after = text[m.end()] if m.end() < e else " "
             opens = kind == "open" or (kind != "close" and held < 0 and not after.isspace() and (before.isspace() or before in "([{—-" or not before.isalnum()))
             if held >= 0 and kind != "open":
-                out[stack[held][1]] = m.end()
-                del stack[held:]
+                close(held, m.end())
             elif opens:
-                stack.append((key, at))
+                push(key, at)
         elif kind == "pair":
-            held = next((k for k in range(len(stack) - 1, -1, -1) if c in _PAIRS.get(stack[k][0], "")), -1)
+            held = max((open_at[k][-1] for k in _OPENERS.get(c, ()) if open_at.get(k)), default=-1)
             if held >= 0:
-                out[stack[held][1]] = m.end()
-                del stack[held:]
+                close(held, m.end())
             elif c in _PAIRS:
-                stack.append((c, at))
+                push(c, at)
     return out
 
 
 def _next_start(text: str, at: int, e: int) -> str:
     """What the text after ``at`` begins with: upper, lower, digit, mark, other or end."""
-    while at < e and text[at].isspace():
-        at += 1
-    if at >= e:
-        return "end"
-    if _MARK.match(text, at, e):
-        return "mark"
-    if m := _LABEL.match(text, at, e):
-        return _next_start(text, m.end(), e)
+    while True:
+        while at < e and text[at].isspace():
+            at += 1
+        if at >= e:
+            return "end"
+        if _MARK.match(text, at, e):
+            return "mark"
+        if (m := _LABEL.match(text, at, e)) is None:
+            break
+        at = m.end()
     if m := _SKIP.match(text, at, e):
         at = m.end()
         if at >= e:
@@ -281,7 +297,8 @@ def unit_ends(body: str | None) -> list[int]:
     ends: list[int] = []
     if not body or body.isspace():
         return ends
-    start, prev_listed, at = -1, True, 0
+    start, at = -1, 0
+    levels: list[int] | None = []  # indents of the open list levels; None within running text
 
     def flush(to: int) -> None:
         nonlocal start
@@ -295,15 +312,21 @@ def unit_ends(body: str | None) -> list[int]:
         stripped = len(line.rstrip())
         if not stripped:
             flush(at)
-            prev_listed = True
-        elif _HEADING.match(line) or (prev_listed and start < 0 and _NUMBER.match(line)):
+            levels = []
+        elif _HEADING.match(line):
             flush(at)
             ends.append(at + stripped)
-            prev_listed = True
+            levels = []
+        elif levels is not None and _NUMBER.match(line):
+            indent = len(line) - len(line.lstrip())
+            while levels and levels[-1] >= indent:
+                levels.pop()
+            levels.append(indent)
+            ends.append(at + stripped)
         else:
             if start < 0:
                 start = at
-            prev_listed = False
+            levels = None  # running text closes every level
         at = nxt
     flush(len(body))
     return ends
