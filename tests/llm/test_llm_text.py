@@ -216,3 +216,10 @@ def test_expansion_without_end_is_an_error():
 def test_paths_are_no_residue():
     assert not M.has_residue("It lies at C:\\Users\\bob and D:\\x.")
     assert M.has_residue("It is \\emph{so} here.") and M.has_residue("C:\\emph{so}")
+
+
+def test_unlisted_languages_are_not_english():
+    polish = "Model ten opisuje zachowanie układu w zależności od temperatury i pokazuje, że to jest prawda. Wyniki są zgodne z teorią, a pomiary to potwierdzają. "
+    turkish = "Bu model sistemin davranışını sıcaklığa bağlı olarak açıklar ve bunun doğru olduğunu gösterir. Sonuçlar teoriyle uyumludur, at ve on kişi de öyle. "
+    assert not R.is_english(polish * 3) and not R.is_english(turkish * 3)
+    assert R.is_english("The model tells how the system behaves when it is heated, and it shows that this holds. " * 3)

@@ -32,6 +32,9 @@ MAX_RATINGS = 20_000
 COMMON = 0.001
 RIDGE = 0.003
 FOREIGN = 0.12
+#: Share of English function words among all words that English prose never falls short of; a language
+#: in Latin script that is not listed below shares a few such words by chance.
+ENGLISH = 0.15
 #: The like for scripts without spaces, where a character or two are a word.
 UNSPACED = 0.03
 
@@ -78,7 +81,7 @@ def _in_english(counts: Counter, plain: str) -> bool:
             for x in langs:
                 other[x] += counts[w]
     foreign = max(other.values())
-    return own > 0 and foreign <= FOREIGN * (own + foreign)
+    return own > ENGLISH * counts.total() and foreign <= FOREIGN * (own + foreign)
 
 
 def is_english(text: str) -> bool:
@@ -216,9 +219,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def reading_bands(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_col: str = "band") -> DataFrame:
     """``(id, band int, level double)`` of each English text of at least ``MIN_WORDS`` words.
 
-    Ratings with a null id or band, bands outside 1 to ``BANDS`` and ratings of other texts are
-    passed over; raters that disagree count each. With ratings of fewer than two bands there is
-    no scale and no row comes out. Null and empty texts get no band; repeated rows get it each.
+    Ratings with a null id or band and bands outside 1 to ``BANDS`` are passed over; of the others the first
+    ``MAX_RATINGS`` in order of a hash are kept, and those of them that rate other texts are passed over
+    too; raters that disagree count each. With ratings of fewer than two bands there is no scale and
+    no row comes out. Null and empty texts get no band; repeated rows get it each.
     """
     measured = cut(measure(docs, id_col, text_col))
     n = measured.count()
@@ -226,7 +230,10 @@ def reading_bands(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     known = {r.w: math.log(r["count"] / max(n, 1)) for r in freq.collect()}
     floor = math.log(min(COMMON, 1.0))
     usable = ratings.select(F.col(id_col).alias("id"), F.col(band_col).cast("int").alias("band")).where(f"id is not null and band between 1 and {BANDS}")
-    rated = measured.dropDuplicates(["id"]).join(usable, "id").orderBy(F.xxhash64("id"), "id", "band").limit(MAX_RATINGS).toPandas()
+    usable = cut(usable.orderBy(F.xxhash64("id"), "id", "band").limit(MAX_RATINGS))
+    # The rated texts are told by their ids, at most MAX_RATINGS, before anything else of the texts is moved.
+    texts = measured.join(F.broadcast(usable.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"])
+    rated = texts.join(F.broadcast(usable), "id").orderBy(F.xxhash64("id"), "id", "band").toPandas()
     kind = measured.schema["id"].dataType.simpleString()
     if rated["band"].nunique() < 2:
         return measured.where("false").select(F.col("id").alias(id_col), F.lit(0).alias("band"), F.lit(0.0).alias("level"))
