@@ -2,6 +2,7 @@ import random
 import re
 from math import ceil
 
+import numpy as np
 import pytest
 
 from tidemark.llm import neardup as N
@@ -51,9 +52,35 @@ def test_empty(spark):
 
 @pytest.mark.parametrize("t", [0.6, 0.8])
 def test_cuts_suffice(t):
-    for b in range(8, 150):
+    for b in range(1, 150):
         for a in range(b, int(b / t) + 1):
             o = ceil(t / (1 + t) * (a + b) - 1e-9)
-            r = N.shared_words(b)
-            assert N.index_cut(b, t) >= min(b, b - o + r)
-            assert N.probe_cuts(a, t)[r] >= min(a, a - o + r)
+            assert N.index_cut(b, t) >= b - o + 1
+            assert N.probe_cut(a, t) >= min(a, a - o + 1)
+
+
+@pytest.mark.parametrize("cell", [1, 4, 30])
+def test_small_cells(spark, cell):
+    """Cells of pairs and triples, and cells dealt out in blocks, give the same pairs."""
+    rng = random.Random(cell)
+    vocab = [f"w{k}" for k in range(25)] + ["the", "of", "each"] * 4
+    rows = []
+    for k in range(70):
+        s = [rng.choice(vocab) for _ in range(rng.choice([2, 3, 4, 9, 12, 20]))]
+        rows += [(10 * k, " ".join(s)), (10 * k + 1, " ".join([*s[1:], "new"])), (10 * k + 2, " ".join([*s, f"x{k % 5}"]))]
+    df = spark.createDataFrame(rows, "struct_id bigint, text string")
+    got = [(r.id_a, r.id_b) for r in N.similar_texts(df, "struct_id", "text", 0.6, 1, cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.6, 1)
+
+
+def test_groups_hold_similar_sets_and_bounds_skip_most():
+    rng = np.random.default_rng(1)
+    base = [np.sort(rng.choice(4000, 20, replace=False)) for _ in range(60)]
+    sets = [np.sort(np.unique(np.concatenate([b[:-2], rng.choice(4000, 2)]))) for b in base for _ in range(N.GROUP_SIZE)]
+    rng.shuffle(sets := [np.concatenate([[0], s[s > 0]]) for s in sets])
+    lens = np.array([len(s) for s in sets])
+    m = N.Members(np.arange(len(sets)), lens, np.ones(len(sets), bool), np.concatenate(sets), np.concatenate([[0], np.cumsum(lens)]))
+    q, i, shared, groups, opened = N.search(m, m, 0.6)
+    assert groups == 60 and opened < 0.1 * groups * len(sets)
+    want = {(x, y) for x in range(len(sets)) for y in range(len(sets)) if (lens[y], y) < (lens[x], x) and len(np.intersect1d(sets[x], sets[y])) >= 0.6 * len(np.union1d(sets[x], sets[y])) - 1e-9}
+    assert set(zip(q.tolist(), i.tolist())) == want and len(want) > 1000
