@@ -34,7 +34,7 @@ from tidemark.plans.runtime import cut
 
 THRESHOLD = 0.6
 MIN_WORDS = 8
-GROUP_SIZE = 8
+GROUP_SIZE = 6
 #: Words in this share of all texts or more are ranked by frequency and sent to the workers;
 #: there are at most (words a text) / COMMON of them. The others precede them, by hash.
 COMMON = 0.001
@@ -314,11 +314,12 @@ def search(index: Members, queries: Members, t: float) -> tuple[np.ndarray, np.n
     queries = queries.take(by_size)
     at = np.minimum(np.searchsorted(words, queries.codes), v - 1)
     query_words = queries.matrix(np.where(words[at] == queries.codes, at, v), v)
+    long = np.diff(queries.begins)
     block = max(1, min(2048, (32 << 20) // max(v + 1, matrix.shape[1] * 64)))
     got: list[tuple] = []
     opened = 0
     for lo in range(0, len(queries.ids), block):
-        q = query_words[lo : lo + block]
+        q = query_words[lo : lo + block, : int(long[lo : lo + block].max())]
         sizes = queries.sizes[lo : lo + block]
         planes: list[np.ndarray] = []
         for j in range(q.shape[1]):
@@ -327,15 +328,18 @@ def search(index: Members, queries: Members, t: float) -> tuple[np.ndarray, np.n
                 planes[k], carry = planes[k] ^ carry, planes[k] & carry
             if (j + 1).bit_length() > len(planes):
                 planes.append(carry)
-        bound = np.zeros((len(q), matrix.shape[1] * 64), np.uint8 if len(planes) <= 8 else np.uint32)
+        bound = np.zeros((len(q), matrix.shape[1] * 64), np.uint8 if len(planes) < 8 else np.uint32)
+        top = np.iinfo(bound.dtype).max  # more than any bound
         for k, plane in enumerate(planes):
-            bound |= np.unpackbits(plane.view(np.uint8), axis=1).astype(bound.dtype) << bound.dtype.type(k)
+            bits = np.unpackbits(plane.view(np.uint8), axis=1).astype(bound.dtype, copy=False)
+            bound |= np.left_shift(bits, bound.dtype.type(k), out=bits)
         for a in np.unique(sizes).tolist():
             i, j = np.searchsorted(sizes, [a, a + 1])
-            asked = np.where((least <= a) & (most >= t * a - _EPS), need(a, np.maximum(least, ceil(t * a - _EPS)), t), np.iinfo(np.int32).max)
-            qi, gi = np.nonzero(bound[i:j, :groups] >= asked)
-            if not len(qi):
+            fits = (least <= a) & (most >= t * a - _EPS)
+            hit = np.flatnonzero(bound[i:j, :groups] >= np.where(fits, need(a, np.maximum(least, ceil(t * a - _EPS)), t), top).astype(bound.dtype))
+            if not len(hit):
                 continue
+            qi, gi = hit // groups, hit % groups
             opened += len(qi)
             m = (gi[:, None] * GROUP_SIZE + np.arange(GROUP_SIZE)[None, :]).reshape(-1)
             qs = np.repeat(qi + i, GROUP_SIZE)
@@ -348,9 +352,10 @@ def search(index: Members, queries: Members, t: float) -> tuple[np.ndarray, np.n
             present = np.zeros((j - i, v + 1), np.uint8)
             present[np.arange(j - i)[:, None], q[i:j]] = 1
             present[:, v] = 0
+            flat = present.reshape(-1)
             for s in range(0, len(qs), 1 << 16):
                 qq, mm = qs[s : s + (1 << 16)], m[s : s + (1 << 16)]
-                shared = present[(qq - i)[:, None], member_words[mm]].sum(1, dtype=np.int64)
+                shared = flat[((qq - i) * (v + 1))[:, None] + member_words[mm]].sum(1, dtype=np.int64)
                 ok = shared >= need(a, index.sizes[mm], t)
                 got.append((qq[ok] + lo, mm[ok], shared[ok]))
     if not got:
