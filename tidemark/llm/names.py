@@ -7,6 +7,10 @@ two must stand unharmed, shifted by a place at most. Pairs of segments are looke
 inverted index and verified by a banded edit distance. Rarer forms go to the most frequent
 one; missing middle initials and particles, and initials for given names, are resolved where just
 one person fits.
+
+What decides between two forms is always a ratio of their uses; the few fixed counts beside the ratios say from
+how many observations on a ratio is trusted. They hold per name or person, whose rows do not
+multiply when the collection grows by other persons.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from tidemark.plans.runtime import cut
 SEGMENTS = 4
 #: A pair of segments in more names than this is looked up together with the rest less one letter.
 HOT_KEY = 64
-#: Common English short forms of given names; a fixed, replaceable parameter.
+#: Common short forms of given names: the default of the parameter ``nicknames``.
 NICKNAMES = {
     "alex": "alexander", "sasha": "alexander", "andy": "andrew", "ben": "benjamin", "benny": "benjamin", "bill": "william",
     "will": "william", "billy": "william", "bob": "robert", "rob": "robert", "bobby": "robert", "charlie": "charles",
@@ -43,7 +47,7 @@ NICKNAMES = {
     "steve": "steven", "sue": "susan", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "uschi": "ursula",
     "vicky": "victoria", "tori": "victoria", "vince": "vincent", "vinny": "vincent", "vin": "vincent", "hanna": "hannah",
     "izzy": "isabella", "bella": "isabella", "gus": "august", "hank": "henry", "harry": "henry", "larry": "lawrence",
-    "oli": "olivia", "ollie": "olivia", "quin": "quentin", "jurek": "jurgen", "fran": "francois", "tess": "therese", "yusha": "yusuf",
+    "oli": "olivia", "ollie": "olivia", "quin": "quentin", "fran": "francois", "tess": "therese",
 }
 PARTICLES = frozenset("van von der den de del della di da dos du la le el al bin ibn ter ten zu zur y".split())
 _SUFFIX = re.compile(r"(?:\s*\((?:deceased|late|retired)\)|,?\s+(?:jr|sr|ii|iii|iv|ph\.?\s?d|m\.?d|esq)\.?)\s*$", re.I)
@@ -97,7 +101,7 @@ def org_key(first: str | None, last: str | None) -> str | None:
     return " ".join(re.findall(r"\w+", _ORG_NOISE.sub(" ", _ORG.sub(" ", s)))) or None
 
 
-def parse(first: str | None, last: str | None, swapped: bool = False) -> dict:
+def parse(first: str | None, last: str | None, swapped: bool = False, nicknames: dict[str, str] = NICKNAMES) -> dict:
     """One spelling's folded parts: kind ('org', 'full', 'initial' or 'none') and the rest."""
     out = {"kind": "none", "particle": "", "surname": "", "first": "", "parts": "", "mid": ""}
     if (org := org_key(first, last)) is not None:
@@ -121,7 +125,7 @@ def parse(first: str | None, last: str | None, swapped: bool = False) -> dict:
         lead += merged[k].split("-")
         k += 1
     name = "".join(lead)
-    return out | {"kind": "full", "first": NICKNAMES.get(name, name), "parts": "".join(x[0] for x in lead if x), "mid": "".join(w[0] for w in merged[k:] if w)}
+    return out | {"kind": "full", "first": nicknames.get(name, name), "parts": "".join(x[0] for x in lead if x), "mid": "".join(w[0] for w in merged[k:] if w)}
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -204,7 +208,7 @@ def segment_join(names: DataFrame) -> DataFrame:
 _PARSED = "first_name string, last_name string, n bigint, kind string, particle string, surname string, first string, parts string, mid string"
 
 
-def parse_spellings(spelled: DataFrame) -> DataFrame:
+def parse_spellings(spelled: DataFrame, nicknames: dict[str, str] = NICKNAMES) -> DataFrame:
     """Spellings ``(first_name, last_name, n)`` with their folded parts.
 
     A row with given name and surname exchanged is told by the collection: its last name
@@ -235,16 +239,18 @@ def parse_spellings(spelled: DataFrame) -> DataFrame:
         uses.where((F.length("w") > 2) & ~F.col("w").isin(sorted(PARTICLES))).groupBy("w").agg(F.sum("g").alias("g"), F.sum("s").alias("s"))
         .where((F.col("g") >= 3) & (F.col("g") > 4 * F.col("s"))).select("w")
     )
+    # Rows without two readable parts have no word to look up: they get keys of their own, many, that match nothing.
+    none = F.concat(F.lit("\0"), F.pmod(F.xxhash64("first_name", "last_name"), F.lit(1024)).cast("string"))
     marked = led
     for c in ("lead_last", "lead_first", "tail_first"):
-        marked = marked.join(given.select(F.col("w").alias(c), F.lit(True).alias(f"{c}_given")), c, "left")
+        marked = marked.withColumn("w", F.coalesce(c, none)).join(given.select("w", F.lit(True).alias(f"{c}_given")), "w", "left").drop("w")
     is_given = {c: F.coalesce(f"{c}_given", F.lit(False)) for c in ("lead_last", "lead_first", "tail_first")}
     swapped = is_given["lead_last"] & ~is_given["lead_first"] & ~is_given["tail_first"] & (F.length("tail_first") > 2) & ~F.col("tail_first").contains(".")
     marked = marked.select("first_name", "last_name", "n", F.coalesce(swapped, F.lit(False)).alias("swapped"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [parse(f, n, w) for f, n, w in zip(*(b.column(c).to_pylist() for c in ("first_name", "last_name", "swapped")))]
+            got = [parse(f, n, w, nicknames) for f, n, w in zip(*(b.column(c).to_pylist() for c in ("first_name", "last_name", "swapped")))]
             names = ["kind", "particle", "surname", "first", "parts", "mid"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in ("first_name", "last_name", "n")] + [pa.array([g[c] for g in got], pa.string()) for c in names],
@@ -266,7 +272,7 @@ def _canonical(full: DataFrame) -> DataFrame:
     names = cut(full.groupBy("first", "surname").agg(F.sum("n").alias("n")).withColumn("k", key))
     firsts = names.groupBy("first").agg(F.sum("n").alias("uses"), F.count("*").alias("spread"))
     known = firsts.where("uses >= 8 and spread >= 4").select("first", "uses")
-    slips = segment_join(names)
+    slips = cut(segment_join(names))
     both = slips.unionByName(slips.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = lambda p: names.select(F.col("k").alias(p), F.col("first").alias(f"first_{p}"), F.col("n").alias(f"n_{p}"), F.col("score").alias(f"score_{p}"))
     # How often a form is written, and how many forms are a slip away: a name stands amid its slips.
@@ -384,24 +390,28 @@ def resolve(parsed: DataFrame) -> DataFrame:
     return org.unionByName(full.select(*spelling, "entity")).unionByName(short)
 
 
-def variant_rows(authors: DataFrame, id_col: str = "author_row", first_col: str = "first_name", last_col: str = "last_name") -> DataFrame:
+def variant_rows(
+    authors: DataFrame, id_col: str = "author_row", first_col: str = "first_name", last_col: str = "last_name", nicknames: dict[str, str] = NICKNAMES
+) -> DataFrame:
     """``(id, entity, spelling)`` of the rows whose name could be read."""
     rows = authors.select(F.col(id_col).alias("id"), F.col(first_col).alias("first_name"), F.col(last_col).alias("last_name")).where("id is not null")
     spelled = rows.groupBy("first_name", "last_name").agg(F.count("*").alias("n"))
-    entities = cut(resolve(parse_spellings(spelled)))
+    entities = cut(resolve(parse_spellings(spelled, nicknames)))
     same = F.col("r.first_name").eqNullSafe(F.col("e.first_name")) & F.col("r.last_name").eqNullSafe(F.col("e.last_name"))
     joined = rows.alias("r").join(entities.alias("e"), same)
     return joined.select("r.id", "e.entity", F.xxhash64(F.struct("r.first_name", "r.last_name"), F.col("r.first_name").isNull()).alias("spelling"))
 
 
-def same_name_pairs(authors: DataFrame, id_col: str = "author_row", first_col: str = "first_name", last_col: str = "last_name") -> DataFrame:
+def same_name_pairs(
+    authors: DataFrame, id_col: str = "author_row", first_col: str = "first_name", last_col: str = "last_name", nicknames: dict[str, str] = NICKNAMES
+) -> DataFrame:
     """``(id_a, id_b)``, smaller first: rows of one person or collaboration spelled differently.
 
     Rows spelled the same (nulls compared as values) give no pair among themselves but each is
     paired with the differing ones. Rows with a null id, or without a readable surname and
     given name, give none; neither does an empty table.
     """
-    rows = cut(variant_rows(authors, id_col, first_col, last_col))
+    rows = cut(variant_rows(authors, id_col, first_col, last_col, nicknames))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.spelling") != F.col("b.spelling")))
     return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
