@@ -3,12 +3,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import kernels as K
 from tidemark.operators import align as A
 from tidemark.operators import blocks as B
 from tidemark.operators import edits as E
 from tidemark.operators import metadata as M
 from tidemark.operators import sequences as Q
 from tidemark.operators import similarity as S
+from tidemark.operators import versions as V
 from tidemark.sources import tables as T
 
 STRUCT = "struct_id bigint, arxivid string, v1 int, v2 int, idx int, identifiers array<string>, diff struct<code:int,sentence:string>, status string, aligned array<int>, extra int"
@@ -78,10 +80,23 @@ def test_similarity_meets_kept_sentences_and_other_blocks(spark, cells, monkeypa
     rows = rows_of(spark, [(0, LONG), (-1, LONG + " again"), (0, ""), (1, other + " indeed"), (0, ""), (-1, other), (-1, long), (1, long + " more"), (1, "## Title")])
     pairs = S.whole_pairs(rows)
     assert pairs.count() == 4 * 3 == pairs.select("text1", "text2").distinct().count()
-    want = {r.text: r for r in S.vectors(S.with_diff(S.with_jaccard(pairs.select(*A.PAIR, "text1", "text2"))), A.PAIR).collect()}
+    measured = {(r.text1, r.text2): r for r in S.whole_measures(rows).collect()}
+    for r in pairs.collect():
+        got, w1, w2 = measured[r.text1, r.text2], r.w1, r.w2
+        n, (g1, g2) = K.lcs_length(w1, w2), (list(zip(w, w[1:])) for w in (w1, w2))
+        k = K.lcs_length(g1, g2)
+        assert got.lcs_length == n
+        assert got["diff"] == pytest.approx(1 - ((len(w1) - n) / len(w1) + (len(w2) - n) / len(w2)) / 2)
+        assert got.diff_2_gram == pytest.approx(1 - ((len(g1) - k) / len(g1) + (len(g2) - k) / len(g2)) / 2)
+        assert got.jaccard == pytest.approx(len(set(w1) & set(w2)) / len(set(w1) | set(w2)))
+        assert got.jaccard_2_gram == pytest.approx(len(set(g1) & set(g2)) / len(set(g1) | set(g2)))
     got = {r.text: r for r in S.whole_vectors(rows).collect()}
-    assert set(got) == set(want) and got[LONG].n_similar == 7
-    assert all(got[t][c] == pytest.approx(want[t][c]) for t in want for c in want[t].asDict() if c not in (*A.PAIR, "text"))
+    for t, r in got.items():
+        both = [x for (a, b), x in measured.items() for y in (a, b) if y == t]
+        assert r.n_similar == len(both)
+        for m in S.MEASURES:
+            assert r[f"max_{m}"] == pytest.approx(max(x[m] for x in both)) and r[f"avg_{m}"] == pytest.approx(sum(x[m] for x in both) / len(both))
+    assert got[LONG].n_similar == 7
     similar = {(r.text1, r.text2) for r in S.whole_similar(pairs).where("similar").collect()}
     assert similar == {(LONG, LONG), (LONG + " again", LONG), (other, other + " indeed"), (long, long + " more")}
 
@@ -176,3 +191,86 @@ def test_registered_evaluation_uses_the_folds_of_train():
 
     assert "B.train(ex)" in inspect.getsource(C.block_classifier_eval)
     assert inspect.signature(B.train).parameters["folds"].default == 10
+
+
+def test_heatmap_modes(spark):
+    other = "completely different words stand in this sentence about nothing of note"
+    rows = rows_of(spark, [(0, LONG), (-1, LONG + " again"), (1, other), (0, ""), (-1, other + " indeed")])
+    cells = lambda e: {(r.id1, r.id2): round(r.value, 3) for r in S.heatmap(rows, e).collect()}
+    every = cells(None)
+    assert len(every) == 4 * 3 and every["x-v1-0-0", "x-v2-0-0"] == 1 and every["x-v1-0-3", "x-v2-0-3"] == 0
+    diff = cells(A.identical(rows))
+    assert diff["x-v1-0-3", "x-v2-0-3"] == 1 and diff["x-v1-0-1", "x-v2-0-0"] == -1 and diff["x-v1-0-4", "x-v2-0-2"] == every["x-v1-0-4", "x-v2-0-2"] > 0.9
+    easy = cells(A.align(rows))
+    assert easy["x-v1-0-4", "x-v2-0-2"] == 1 and easy["x-v1-0-1", "x-v2-0-2"] == -1
+    assert S.heatmap(rows.where("false")).count() == 0
+
+
+def test_line_diff_rows(spark):
+    text = lambda *ps: "\n\n".join(ps)
+    a, b = "It is so in Fig. 3 here. The rest\nfollows.", "A last one stands here."
+    files = [("x", 1, text(a, b)), ("x", 2, text(a.replace("so", "thus"), "New one.", b)), ("x", 3, None), ("y", 1, " \n\n "), ("y", 2, "One."), ("y", 2, "One. Two."), (None, 1, "z")]
+    lines = V.version_lines(spark.createDataFrame([(*f, 5) for f in files], "arxivid string, version_no int, body string, idx int"))
+    assert {(r.arxivid, r.version): r.lines for r in lines.collect()} == {
+        ("x", 1): ["It is so in Fig. 3 here.", "The rest follows.", "", b, ""],
+        ("x", 2): ["It is thus in Fig. 3 here.", "The rest follows.", "", "New one.", "", b, ""],
+        ("y", 1): [], ("y", 2): ["One.", "Two.", ""],
+    }
+    got = {}
+    for r in V.line_diff_rows(lines).orderBy("arxivid", "idx").collect():
+        got.setdefault(r.arxivid, []).append((r.code, r.text, r.id1, r.id2))
+    assert got["x"][:3] == [(-1, "It is so in Fig. 3 here.", "x-v1-0-0", None), (1, "It is thus in Fig. 3 here.", None, "x-v2-0-0"), (0, "The rest follows.", "x-v1-0-1", "x-v2-0-1")]
+    assert (0, b, "x-v1-1-0", "x-v2-2-0") in got["x"] and [t for c, t, *_ in got["x"] if c == 1][1:] == ["New one.", ""]
+    assert [c for c, *_ in got["y"]] == [1, 1, 1]
+    whole = [(r.code, r.sentences) for r in V.paragraph_diff_rows(lines).where("arxivid = 'x'").orderBy("idx").collect()]
+    assert (0, [b]) in whole and (1, ["New one."]) in whole and len(whole) == 4
+    assert V.line_diff_rows(lines.where("false")).count() == 0
+
+
+def test_machine_alignment_is_the_steps_in_order(spark):
+    """Against a plain computation: filters, diff, then similar sentences of a block, then of the document."""
+    one = "The quick brown fox jumps over the lazy dog near the river."
+    two = "Completely different words stand in this sentence about nothing of note."
+    three = "Another statement is made here about the shape of the signal."
+    texts = [("a", 1, f"{one} {two}\n\n{three}"), ("a", 2, f"{one} {two.replace('nothing', 'something')}\n\nShort one.\n\n{three.replace('made', 'given')}"), ("h", 1, one), ("h", 2, one)]
+    sources = [("a", 1, "\\input other"), ("h", 2, "x\n\\input harvmac\n"), ("a", 2, "% \\input harvmac"), ("a", 2, None)]
+    files = lambda rows: spark.createDataFrame(rows, "arxivid string, version_no int, body string")
+    rows, edges = V.machine_alignment(files(texts), files(sources))
+    diff = rows.orderBy("arxivid", "idx").collect()
+    assert {r.arxivid for r in diff} == {"a"}
+    words = lambda t: [w for w in t.replace(".", " ").split()]
+    alike = lambda x, y: K.similar(words(x), words(y), x.replace(".", " ."), y.replace(".", " ."))
+    want, block = {(r.id1, r.id2) for r in diff if r.code == 0}, 0
+    blocks = []
+    for r in diff:
+        blocks.append((block, r))
+        block += r.text == "" and r.code <= 0
+    old, new = ([x for x in blocks if x[1].code == c and len(words(x[1].text)) > 3] for c in (-1, 1))
+    near = {(a.id1, b.id2) for p, a in old for q, b in new if p == q and alike(a.text, b.text)}
+    left = [a for _, a in old if a.id1 not in {x for x, _ in near}], [b for _, b in new if b.id2 not in {y for _, y in near}]
+    want |= near | {(a.id1, b.id2) for a in left[0] for b in left[1] if alike(a.text, b.text)}
+    assert {(r.id1, r.id2) for r in edges.collect()} == want and len(near) >= 1
+
+
+def test_states_and_solved_blocks(spark):
+    rows = A.blocks(rows_of(spark, [(0, LONG), (-1, LONG + " again"), (1, LONG + " anew"), (0, ""), (-1, "tiny"), (-1, LONG + " lost")]))
+    edges = A.identical(rows).unionByName(rows.limit(1).select(*A.PAIR, F.lit("x-v1-0-1").alias("id1"), F.lit("x-v2-0-2").alias("id2"), F.lit("s").alias("method")))
+    st = A.statuses(rows, edges)
+    assert [r.state for r in st.orderBy("idx").collect()] == ["solved", "solved", "used", "solved", "boring", "unknown"]
+    assert {r.block: r.solved for r in A.solved_blocks(st).collect()} == {0: True, 1: False}
+
+
+def test_copy_edits(spark):
+    cases = [
+        ("It is so.", "It is s0.", None), ("It is so.", "It is sox.", "correction"), ("It is so", "It is, so!?", "correction"), ("It is so.", "It is the so.", "word usage"),
+        ("It is so.", "The it is so.", None), ("It is so.", "the It is the so.", None), ("It is so bright.", "It so is bright.", "word usage"), ("a\tb", "a b", "correction"),
+    ]
+    df = spark.createDataFrame([(a, b, k) for k, (a, b, _) in enumerate(cases)], "s1 string, s2 string, k int")
+    got = {r.k: r.label for r in E.copy_edits(df).collect()}
+    assert [got.get(k) for k in range(len(cases))] == [x for *_, x in cases]
+
+
+def test_curated_pairs(spark):
+    ids = spark.createDataFrame([("p", 4), ("q", 1)], "arxiv_id string, version_count int")
+    present = spark.createDataFrame([("p", 1), ("p", 2), ("p", 4), ("p", 2)], "arxiv_id string, number int")
+    assert [tuple(r) for r in M.curated_pairs(ids, present).collect()] == [("p", 1, 2)]

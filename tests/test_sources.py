@@ -2,6 +2,8 @@ import gzip
 import io
 import tarfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import tokenizer as K
@@ -87,3 +89,52 @@ def test_tokens(spark):
     assert [" We see [MATH], it's  so."[t.start : t.stop] for t in ts] == [t.text for t in ts]
     assert df.select(K.untokenize(K.tokens("t")).alias("x")).first().x == "We see [MATH], it's  so."
     assert df.select(F.size(K.span(K.tokens("t"), 1, 2)).alias("n")).first().n == 2
+
+
+def test_any_number_of_layers():
+    data = b"\\documentclass{a} x"
+    for _ in range(9):
+        data = gzip.compress(data)
+    assert A.unwrap(data) == ("tex", "\\documentclass{a} x", None)
+
+
+def test_models_are_kept_where_they_are_better(spark, tmp_path):
+    path = str(tmp_path / "models")
+    edges = lambda m: spark.createDataFrame([("x", 1, 2, "a", "b", m)], "arxivid string, v1 int, v2 int, id1 string, id2 string, method string")
+    left = lambda n: spark.createDataFrame([("x", 1, 2, n)], "arxivid string, v1 int, v2 int, n_unaligned int")
+    for name, n in (("first", 5), ("worse", 7), ("better", 3), ("same", 3)):
+        S.save_model(edges(name), left(n), path)
+    assert [(r.method, r.n_unaligned) for r in S.load_model(spark, path).collect()] == [("better", 3)]
+
+
+def test_examples_are_read_as_written(spark, tmp_path):
+    path = str(tmp_path / "examples")
+    rows = spark.createDataFrame([([1.0, 2.5], 1.0, "added", 1, 5), ([3.0, 4.0], 0.0, "removed", 2, 6)], "features array<double>, label double, grp string, window int, min_length int")
+    S.write_examples(rows, path)
+    got = {(r.grp, r.window, r.min_length, tuple(r.features), r.label) for r in T.example_files(spark, path).collect()}
+    assert got == {("added", 1, 5, (1.0, 2.5), 1.0), ("removed", 2, 6, (3.0, 4.0), 0.0)}
+    assert T.example_files(spark, path, "added").count() == 1
+
+
+def test_results_and_annotated_copies(spark, tmp_path):
+    results, copies = str(tmp_path / "results"), str(tmp_path / "copies")
+    S.write_results(spark.createDataFrame([(6, 1, 2, 5.0), (5, 1, 3, 7.5)], "min_length int, window int, missed long, missed_percent double"), results)
+    assert [tuple(r) for r in spark.read.csv(results, header=True).collect()] == [("5", "1", "3", "7.5"), ("6", "1", "2", "5.0")]
+    pairs = [("h/1", 1, 2, ["style", "a,b"], "why", "i", "j", "One.", 'Two "q".'), ("h/1", 1, 2, [], "", "k", "l", "x", "y")]
+    S.copy_annotated(spark.createDataFrame(pairs, "arxivid string, v1 int, v2 int, labels array<string>, explanation string, id1 string, id2 string, s1 string, s2 string"), copies)
+    got = T.annotation_lines(spark.read.text(copies)).collect()
+    assert [(r.labels, r.explanation, r.s2) for r in got] == [(["style", "a,b"], "why", 'Two "q".')]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from tidemark.plans import runtime as R
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    session = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda *a: None)})})
+    with pytest.raises(ValueError):
+        R.ensure_checkpoint_dir(session)

@@ -146,3 +146,39 @@ def test_detex_null_and_idempotent_marks():
 )
 def test_scan(source, text):
     assert D.scan_text(source) == text
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (r"\section{A {\em big} title}", "# A {\\em big} title"), (r"\subsection*[short]{Deep} x", "## Deep x"), (r"\subsubsection {A\nb}", "### A b"),
+        (r"\section{open", r"\section{open"), (r"a \sectional{x}", r"a \sectional{x}"), (r"\section{$a_{1}$ and {b {c}}}", "# $a_{1}$ and {b {c}}"),
+    ],
+)
+def test_headings_whatever_braces(source, text):
+    assert D.mark_headings(source.replace("\\n", "\n")) == text
+
+
+def test_long_sources_take_one_pass():
+    assert D.replace_math("$a.$ Next " * 30_000).count("[MATH].") == 30_000
+    assert len(D.scan_text("a $x$ % c\n" * 30_000)) > 30_000
+
+
+def test_ssplit(spark):
+    cases = [
+        ("It is so in Fig. 3 here. The rest follows! Is it? Yes.", ["It is so in Fig. 3 here.", "The rest follows!", "Is it?", "Yes."]),
+        ("As in [EQUATION] The next.", ["As in [EQUATION]", "The next."]), ("See [EQUATION] and more. (So it is.) End", ["See [EQUATION] and more.", "(So it is.)", "End"]), ("", []), ("  ", []),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    got = {r.k: r.s for r in df.select("k", X.ssplit("t").alias("s")).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+
+
+def test_maps_and_paths(spark):
+    df = spark.createDataFrame([({"a": 1, "b": 2}, {"b": None, "c": 4}, [[1, 2], [3, 4, 5]], "hep/01", 1, 2)], "m map<string,int>, n map<string,int>, r array<array<int>>, i string, v1 int, v2 int")
+    r = df.select(
+        X.merge_maps("m", "n").alias("m"), X.transpose("r").alias("t"), X.version_file("i", "v1", "latex", "/d/").alias("p"), X.pair_file("i", "v1", "v2", "annotation", "v2").alias("a"),
+        X.pair_file("i", "v2", "v1", "machine").alias("none"),
+    ).first()
+    assert r.m == {"a": 1, "b": None, "c": 4} and r.t == [[1, 3], [2, 4]]
+    assert r.p == "/d/hep-01/v1/extra/hep-01-v1-original.tex" and r.a == "hep-01-v1-v2-(2-unaligned-sents).csv" and r.none is None

@@ -17,6 +17,7 @@ from tidemark.operators import edits as E
 from tidemark.operators import metadata as M
 from tidemark.operators import sequences as Q
 from tidemark.operators import similarity as S
+from tidemark.operators import versions as V
 from tidemark.plans import sqltext as L
 from tidemark.plans.runtime import cut
 from tidemark.sources import tables as T
@@ -123,18 +124,16 @@ def doc_filter_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT file_id, NOT regexp_matches(body, '(?m)^[^%\\n]*\\\\input harvmac') AS kept FROM latex_files WHERE body IS NOT NULL")
 def harvmac_filter(spark: SparkSession, sf: str) -> DataFrame:
     files = T.table(spark, sf, "latex_files").where("body is not null")
-    return files.select("file_id", (~F.col("body").rlike(r"(?m)^[^%\n]*\\input harvmac")).alias("kept"))
+    return files.select("file_id", (~V.uses_harvmac("body")).alias("kept"))
 
 
 @query(
-    f"""WITH {L.DIFF}, c AS (SELECT *, len(list_filter({L.words('text')}, lambda w: w = '[MATH]')) >= 3 AS heavy FROM d)
+    f"""WITH {L.DIFF}, c AS (SELECT *, len(list_filter({L.words(L.preprocess('text'))}, lambda w: w = '[MATH]')) >= 3 AS heavy FROM d)
   SELECT arxivid, v1, v2, count(*) FILTER (heavy AND code <= 0) * count(*) FILTER (heavy AND code >= 0) AS product,
   count(*) FILTER (heavy AND code <= 0) * count(*) FILTER (heavy AND code >= 0) <= 5000 AS kept FROM c GROUP BY arxivid, v1, v2"""
 )
 def doc_pair_filter(spark: SparkSession, sf: str) -> DataFrame:
-    heavy = F.size(F.filter("words", lambda w: w == "[MATH]")) >= 3
-    c = _diff(spark, sf).groupBy(*PAIR).agg(F.count_if(heavy & (F.col("code") <= 0)).alias("a"), F.count_if(heavy & (F.col("code") >= 0)).alias("b"))
-    return c.select(*PAIR, (F.col("a") * F.col("b")).alias("product"), (F.col("a") * F.col("b") <= 5000).alias("kept"))
+    return V.rich_in_math(_diff(spark, sf))
 
 
 @query(f"WITH {L.DIFF} SELECT struct_id, len({L.words('text')}) AS n_words, array_to_string({L.words('text')}, ' ') AS words FROM d")
@@ -151,7 +150,12 @@ def token_texts(spark: SparkSession, sf: str) -> DataFrame:
     return ts.select("struct_id", F.array_join("ts", " ").alias("tokens"), F.size("ts").cast("bigint").alias("n_tokens"))
 
 
-@query()
+@query(
+    f"""WITH {L.DIFF}, r AS (SELECT struct_id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS lead, regexp_extract_all(text, '(?:{K.TOKEN.replace("'", "''")})\\s*') AS raw FROM d),
+  x AS (SELECT struct_id, lead, raw, unnest(raw) AS t, unnest(range(1, len(raw) + 1)) AS i FROM r),
+  y AS (SELECT *, lead + coalesce(list_sum(list_transform(list_slice(raw, 1, i - 1), lambda z: length(z))), 0) AS place, regexp_replace(t, '\\s+$', '') AS bare FROM x)
+  SELECT struct_id, CAST(i - 1 AS INTEGER) AS pos, bare AS text, substr(t, length(bare) + 1) AS ws, CAST(place AS INTEGER) AS start, CAST(place + length(bare) AS INTEGER) AS stop FROM y"""
+)
 def token_spans(spark: SparkSession, sf: str) -> DataFrame:
     ts = _diff(spark, sf).select("struct_id", F.posexplode(K.tokens("text")).alias("pos", "t"))
     return ts.select("struct_id", "pos", "t.text", "t.ws", "t.start", "t.stop")
@@ -186,7 +190,11 @@ def split_on_tag(spark: SparkSession, sf: str) -> DataFrame:
     return parts.select("file_id", F.size("parts").cast("bigint").alias("n_parts"), F.array_join("parts", "\u0001").alias("parts"))
 
 
-@query()
+@query(
+    f"""WITH {_PARAGRAPHS}, n AS (SELECT file_id, CAST(p AS INTEGER) AS p, CAST(s AS INTEGER) AS s, string_split(regexp_replace(text, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) AS naive FROM u),
+  j AS (SELECT *, {L.join_false_splits('naive')} AS joined FROM n)
+  SELECT file_id, p, s, CAST(len(naive) AS INTEGER) AS n_split, CAST(len(joined) AS INTEGER) AS n_joined, array_to_string(joined, chr(10)) AS sentences FROM j"""
+)
 def join_false_splits(spark: SparkSession, sf: str) -> DataFrame:
     ps = paragraph_lines(spark, sf)
     naive = F.split(F.regexp_replace("text", "([.!?]) +", "$1\u0001"), "\u0001")
@@ -195,6 +203,60 @@ def join_false_splits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {L.VERSION_LINES}, q AS (SELECT arxivid, version, unnest(paragraphs) AS ss, unnest(range(0, len(paragraphs))) AS p FROM vp)
+  SELECT arxivid, version, CAST(p AS INTEGER) AS p, CAST(unnest(range(0, len(ss))) AS INTEGER) AS s, unnest(ss) AS text FROM q"""
+)
+def file_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of detexed texts by the core's splitter."""
+    lines = V.version_lines(T.table(spark, sf, "text_files"))
+    return lines.select("arxivid", "version", F.posexplode("paragraphs").alias("p", "ss")).select("arxivid", "version", "p", F.posexplode("ss").alias("s", "text"))
+
+
+@query(
+    f"""WITH {L.VERSION_LINES} SELECT arxivid, v1, v2, array_to_string(l1, chr(10)) AS old, array_to_string(l2, chr(10)) AS new, CAST({L.lcs_length('l1', 'l2')} AS BIGINT) AS n_kept,
+  len(l1) + len(l2) - CAST({L.lcs_length('l1', 'l2')} AS BIGINT) AS n_rows, TRUE AS in_place FROM vm WHERE len(l1) + len(l2) > 0"""
+)
+def line_diff_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """What the line diff must give back: either version, line by line, with as many kept lines as can be, and rows whose
+    ids count paragraphs and sentences as the files do."""
+    rows = cut(line_diff_rows(spark, sf))
+    ids = lambda k: F.count_if(F.col(f"id{k}").isNotNull())
+    part = lambda test: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("idx", "code", "text"))), test), lambda r: r["text"]), "\n")
+    old, new = F.count_if(F.col("code") <= 0), F.count_if(F.col("code") >= 0)
+    distinct = (F.countDistinct("id1") == old) & (F.countDistinct("id2") == new) & (ids(1) == old) & (ids(2) == new)
+    return rows.groupBy(*PAIR).agg(
+        part(lambda r: r["code"] <= 0).alias("old"), part(lambda r: r["code"] >= 0).alias("new"), F.count_if(F.col("code") == 0).alias("n_kept"), F.count("*").alias("n_rows"),
+        distinct.alias("in_place"),
+    )
+
+
+@query()
+def line_diff_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return V.line_diff_rows(V.version_lines(T.table(spark, sf, "text_files")))
+
+
+@query(
+    f"""WITH {L.VERSION_LINES}, q AS (SELECT *, list_transform(ps1, lambda x: array_to_string(x, '<SENT>')) AS q1, list_transform(ps2, lambda x: array_to_string(x, '<SENT>')) AS q2 FROM vm)
+  SELECT arxivid, v1, v2, array_to_string(q1, chr(10)) AS old, array_to_string(q2, chr(10)) AS new, CAST({L.lcs_length('q1', 'q2')} AS BIGINT) AS n_kept FROM q WHERE len(q1) + len(q2) > 0"""
+)
+def paragraph_diff_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    rows = paragraph_diff_rows(spark, sf).withColumn("t", F.array_join("sentences", V.SENTENCE))
+    part = lambda test: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("idx", "code", "t"))), test), lambda r: r["t"]), "\n")
+    return rows.groupBy(*PAIR).agg(part(lambda r: r["code"] <= 0).alias("old"), part(lambda r: r["code"] >= 0).alias("new"), F.count_if(F.col("code") == 0).alias("n_kept"))
+
+
+@query()
+def paragraph_diff_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return V.paragraph_diff_rows(V.version_lines(T.table(spark, sf, "text_files")))
+
+
+@query()
+def machine_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """From texts to aligned sentences: filters, diff, identical, block and document steps."""
+    return V.machine_alignment(T.table(spark, sf, "text_files"), T.table(spark, sf, "latex_files"))[1]
+
+
 @query(f"WITH {L.DIFF} SELECT struct_id, {L.preprocess('text')} AS sentence FROM d")
 def preprocess_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return _diff(spark, sf).select("struct_id", X.preprocess_sent("text").alias("sentence"))
@@ -296,6 +358,47 @@ def version_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return M.version_pairs(M.version_times(T.table(spark, sf, "versions"))).select("arxiv_id", "v1", "v2")
 
 
+@query(
+    """WITH m AS (SELECT arxiv_id, max(number) AS n FROM versions GROUP BY arxiv_id HAVING max(number) > 1), x AS (SELECT arxiv_id, CAST(unnest(range(1, n)) AS INTEGER) AS v1 FROM m),
+  f AS (SELECT DISTINCT arxivid, version_no FROM text_files WHERE body IS NOT NULL)
+  SELECT arxiv_id, v1, v1 + 1 AS v2 FROM x WHERE (arxiv_id, v1) IN (SELECT (arxivid, version_no) FROM f) AND (arxiv_id, v1 + 1) IN (SELECT (arxivid, version_no) FROM f)"""
+)
+def curated_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    present = T.table(spark, sf, "text_files").where("body is not null").select(F.col("arxivid").alias("arxiv_id"), F.col("version_no").alias("number"))
+    return M.curated_pairs(multi_version_papers(spark, sf), present)
+
+
+@query(
+    f"""WITH {_TIMES}, i AS (SELECT DISTINCT arxiv_id, replace(arxiv_id, '/', '-') AS id, number AS v FROM t)
+  SELECT arxiv_id, v AS version, id || '/v' || v || '/extra/' || id || '-v' || v || '.gz' AS source, id || '/v' || v || '/extra/' || id || '-v' || v || '.txt' AS text,
+  id || '/v' || v || '/' || id || '-v' || v || '-sentences.txt' AS sentences, id || '-v' || v || '-v' || (v + 1) || '.csv' AS machine, CAST(NULL AS VARCHAR) AS backwards,
+  'code --diff ' || id || '/v' || v || '/' || id || '-v' || v || '-sentences.txt ' || id || '/v' || (v + 1) || '/' || id || '-v' || (v + 1) || '-sentences.txt' AS command FROM i"""
+)
+def file_paths(spark: SparkSession, sf: str) -> DataFrame:
+    v = M.version_times(T.table(spark, sf, "versions")).select("arxiv_id", F.col("number").alias("version"), (F.col("number") + 1).alias("v2"))
+    return v.select(
+        "arxiv_id", "version", *[X.version_file("arxiv_id", "version", k).alias(k) for k in ("source", "text", "sentences")], X.pair_file("arxiv_id", "version", "v2", "machine").alias("machine"),
+        X.pair_file("arxiv_id", "v2", "version", "machine").alias("backwards"), X.compare_command("arxiv_id", "version", "v2").alias("command"),
+    )
+
+
+@query(
+    f"""WITH {_TIMES}, a AS (SELECT arxivid AS arxiv_id, version_no AS number, max(file_id) AS x FROM latex_files GROUP BY ALL), b AS (SELECT arxivid AS arxiv_id, version_no AS number, max(file_id) AS x FROM text_files GROUP BY ALL),
+  k AS (SELECT arxiv_id, number, x FROM b UNION ALL SELECT * FROM a ANTI JOIN b USING (arxiv_id, number))
+  SELECT arxiv_id, string_agg(number || '=' || x, ' ' ORDER BY number) AS merged FROM k WHERE arxiv_id IN (SELECT arxiv_id FROM a) AND arxiv_id IN (SELECT arxiv_id FROM b) GROUP BY arxiv_id"""
+)
+def merged_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Maps from version to file of sources and texts, texts' entries over sources' ones."""
+
+    def files(name: str) -> DataFrame:
+        last = T.table(spark, sf, name).groupBy(F.col("arxivid").alias("arxiv_id"), "version_no").agg(F.max("file_id").alias("x"))
+        return last.groupBy("arxiv_id").agg(F.map_from_entries(F.collect_list(F.struct("version_no", "x"))).alias(name))
+
+    both = files("latex_files").join(files("text_files"), "arxiv_id").withColumn("m", X.merge_maps("latex_files", "text_files"))
+    entries = F.array_sort(F.map_entries("m"))
+    return both.select("arxiv_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"].cast("string"))), " ").alias("merged"))
+
+
 @query(f"WITH {_DELTAS} SELECT arxiv_id, v1, v2, days FROM dd")
 def version_day_deltas(spark: SparkSession, sf: str) -> DataFrame:
     return M.day_deltas(M.version_pairs(M.version_times(T.table(spark, sf, "versions"))))
@@ -424,7 +527,12 @@ def unaligned_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return A.unaligned(rows, _stored_edges(rows))
 
 
-_WORDS_OPEN = f"o AS (SELECT *, {L.words('text')} AS ws FROM b WHERE NOT boring AND code <> 0), n AS (SELECT *, array_to_string(ws, ' ') AS t, length(array_to_string(ws, '')) AS n FROM o)"
+_WORDS_OPEN = f"o AS (SELECT *, {L.preprocess('text')} AS t FROM b WHERE NOT boring AND code <> 0), n AS (SELECT *, {L.words('t')} AS ws, {L.characters(L.words('t'))} AS n FROM o)"
+_SIMILAR = L.similar("x.ws", "y.ws", "x.t", "y.t")
+_NEAR = f"""nr AS (SELECT x.arxivid, x.v1, x.v2, x.id1, y.id2 FROM n x JOIN n y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 AND x.block = y.block WHERE x.code = -1 AND y.code = 1 AND {_SIMILAR}),
+  fo AS (SELECT * FROM n WHERE code = -1 AND (arxivid, v1, v2, id1) NOT IN (SELECT (arxivid, v1, v2, id1) FROM nr)), fn AS (SELECT * FROM n WHERE code = 1 AND (arxivid, v1, v2, id2) NOT IN (SELECT (arxivid, v1, v2, id2) FROM nr)),
+  al AS (SELECT arxivid, v1, v2, id1, id2, 'identical' AS method FROM d WHERE code = 0 UNION ALL SELECT *, 'block' FROM nr
+    UNION ALL SELECT x.arxivid, x.v1, x.v2, x.id1, y.id2, 'document' FROM fo x JOIN fn y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 WHERE {_SIMILAR})"""
 
 
 @query(
@@ -436,12 +544,12 @@ def block_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return A.candidates(rows, [*PAIR, "block"]).select(*PAIR, "block", "id1", "id2")
 
 
-@query()
+@query(f"WITH {L.OPEN}, {_WORDS_OPEN}, {_NEAR} SELECT *, 'block' AS method FROM nr")
 def block_align(spark: SparkSession, sf: str) -> DataFrame:
     return A.similar_edges(A.open_rows(A.blocks(_diff(spark, sf))), [*PAIR, "block"], "block")
 
 
-@query()
+@query(f"WITH {L.OPEN}, {_WORDS_OPEN}, {_NEAR} SELECT * FROM al")
 def document_align(spark: SparkSession, sf: str) -> DataFrame:
     return A.align(cut(_diff(spark, sf)))
 
@@ -456,6 +564,25 @@ def pair_cross_export(spark: SparkSession, sf: str) -> DataFrame:
     return A.cross_export(rows, _stored_edges(rows)).groupBy(*PAIR, "aligning_method").agg(F.count("*").alias("n"))
 
 
+_STATES = f"""{L.OPEN}, {_EDGES}, st AS (SELECT b.arxivid, b.v1, b.v2, b.idx, b.block, b.code, CASE WHEN code = 0 OR (code = -1 AND (arxivid, v1, v2, id1) IN (SELECT (arxivid, v1, v2, id1) FROM e)) THEN 'solved'
+    WHEN code = 1 AND (arxivid, v1, v2, id2) IN (SELECT (arxivid, v1, v2, id2) FROM e) THEN 'used' WHEN boring THEN 'boring' ELSE 'unknown' END AS state FROM b)"""
+
+
+def _states(spark: SparkSession, sf: str) -> DataFrame:
+    rows = A.blocks(_diff(spark, sf))
+    return A.statuses(rows, _stored_edges(rows))
+
+
+@query(f"WITH {_STATES} SELECT arxivid, v1, v2, idx, state FROM st")
+def sentence_states(spark: SparkSession, sf: str) -> DataFrame:
+    return _states(spark, sf).select(*PAIR, "idx", "state")
+
+
+@query(f"WITH {_STATES} SELECT arxivid, v1, v2, block, count(*) FILTER (code = -1) AS n_removed, count(*) FILTER (code = -1 AND state = 'unknown') = 0 AS solved FROM st GROUP BY ALL")
+def solved_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return A.solved_blocks(_states(spark, sf))
+
+
 _FREE = f"""{L.DIFF}, {_EDGES}, s AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0),
   fr AS (SELECT *, CAST({L.sentence_part('id', 3)} AS INTEGER) AS p, CAST({L.sentence_part('id', 4)} AS INTEGER) AS q FROM s WHERE NOT {L.is_boring('text')}
     AND NOT EXISTS (SELECT 1 FROM e WHERE e.arxivid = s.arxivid AND e.v1 = s.v1 AND e.v2 = s.v2 AND ((s.side = 1 AND e.id1 = s.id) OR (s.side = 2 AND e.id2 = s.id)))),
@@ -467,6 +594,16 @@ def unaligned_renumber(spark: SparkSession, sf: str) -> DataFrame:
     return A.renumber(unaligned_sentences(spark, sf)).select(*PAIR, "side", "id", "new_p", "new_s")
 
 
+@query(
+    f"""WITH {_FREE}, nn AS (SELECT *, row_number() OVER (PARTITION BY arxivid, v1, v2, side, new_p ORDER BY p, q) - 1 AS new_s FROM np)
+  SELECT x.arxivid, x.v1, x.v2, 'ID-' || x.arxivid || '-' || x.v1 || '-' || x.new_p || '-' || x.new_s || '-' || x.v2 || '-' || y.new_p || '-' || y.new_s AS pair_ID, 'UID' AS pair_UID,
+  x.arxivid || '-v' || x.v1 || '-' || x.new_p || '-' || x.new_s AS sent_0_idx, x.text AS sent_0, y.arxivid || '-v' || y.v2 || '-' || y.new_p || '-' || y.new_s AS sent_1_idx, y.text AS sent_1, 3 AS aligning_method
+  FROM nn x JOIN nn y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 AND x.side = 1 AND y.side = 2"""
+)
+def unaligned_export(spark: SparkSession, sf: str) -> DataFrame:
+    return A.unaligned_export(A.renumber(unaligned_sentences(spark, sf)))
+
+
 @query(
     """WITH i AS (SELECT unnest(identifiers) AS id, diff.sentence AS text FROM sentence_structs)
   SELECT id, count(DISTINCT text) AS n_texts FROM i GROUP BY id HAVING count(DISTINCT text) > 1"""
@@ -500,25 +637,27 @@ def manual_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- similarity ------------------------------------------------------------------------------
 
-_PAIRS = f"""{L.OPEN}, o AS (SELECT * FROM b WHERE NOT boring AND code <> 0),
-  tp AS (SELECT DISTINCT x.arxivid, x.v1, x.v2, x.text AS text1, y.text AS text2 FROM o x JOIN o y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 AND x.block = y.block
-    WHERE x.code = -1 AND y.code = 1),
-  pw AS (SELECT *, {L.words(L.preprocess('text1'))} AS w1, {L.words(L.preprocess('text2'))} AS w2 FROM tp),
+_PAIRS = f"""{L.DIFF}, gd AS (SELECT * FROM d WHERE NOT {L.is_boring('text')}), so AS (SELECT DISTINCT arxivid, v1, v2, text FROM gd WHERE code <= 0), sn AS (SELECT DISTINCT arxivid, v1, v2, text FROM gd WHERE code >= 0),
+  po AS (SELECT *, {L.preprocess('text')} AS t, {L.words(L.preprocess('text'))} AS ws FROM so), pn AS (SELECT *, {L.preprocess('text')} AS t, {L.words(L.preprocess('text'))} AS ws FROM sn),
+  pw AS (SELECT po.arxivid, po.v1, po.v2, po.text AS text1, pn.text AS text2, po.t AS t1, pn.t AS t2, po.ws AS w1, pn.ws AS w2 FROM po JOIN pn ON po.arxivid = pn.arxivid AND po.v1 = pn.v1 AND po.v2 = pn.v2),
   pg AS (SELECT *, {L.bigrams('w1')} AS g1, {L.bigrams('w2')} AS g2 FROM pw)"""
 
 
-def _text_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.text_pairs(A.blocks(_diff(spark, sf)), [*PAIR, "block"]).drop("block").distinct()
+def _measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text of v1 worth comparing with every one of v2, kept ones too."""
+    return S.whole_measures(_diff(spark, sf))
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round(CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END, 6) AS jaccard FROM pg")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.with_jaccard(_text_pairs(spark, sf)).select(*PAIR, "text1", "text2", F.round("jaccard", 6).alias("jaccard"))
+    p = S.whole_pairs(_diff(spark, sf))
+    same = F.col("text1") == F.col("text2")
+    return p.select(*PAIR, "text1", "text2", F.round(F.when(same, 1.0).otherwise(X.jaccard("w1", "w2")), 6).alias("jaccard"))
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round(CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('g1', 'g2')} END, 6) AS jaccard_2_gram FROM pg")
 def jaccard_bigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return S.with_jaccard(_text_pairs(spark, sf)).select(*PAIR, "text1", "text2", F.round("jaccard_2_gram", 6).alias("jaccard_2_gram"))
+    return _measures(spark, sf).select(*PAIR, "text1", "text2", F.round("jaccard_2_gram", 6).alias("jaccard_2_gram"))
 
 
 @query(
@@ -527,25 +666,23 @@ def jaccard_bigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
   SELECT arxivid, v1, v2, text, count(*) AS n_similar, round(max(jaccard), 6) AS max_jaccard, round(avg(jaccard), 6) AS avg_jaccard FROM r GROUP BY ALL"""
 )
 def similarity_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    v = S.vectors(S.with_jaccard(_text_pairs(spark, sf)), PAIR, ("jaccard",))
+    v = S.whole_vectors(_diff(spark, sf))
     return v.select(*PAIR, "text", "n_similar", F.round("max_jaccard", 6).alias("max_jaccard"), F.round("avg_jaccard", 6).alias("avg_jaccard"))
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, CAST({L.lcs_length('w1', 'w2')} AS INTEGER) AS lcs_length FROM pg")
 def lcs_length(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.with_jaccard(_text_pairs(spark, sf))
-    return p.select(*PAIR, "text1", "text2", udfs.lcs_length("w1", "w2").alias("lcs_length"))
+    return _measures(spark, sf).select(*PAIR, "text1", "text2", "lcs_length")
 
 
 @query(
     f"""WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round({L.diff_sim('w1', 'w2', 'text1 = text2')}, 6) AS diff, round({L.diff_sim('g1', 'g2', 'text1 = text2')}, 6) AS diff_2_gram FROM pg"""
 )
 def diff_sim(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.with_diff(S.with_jaccard(_text_pairs(spark, sf)))
-    return p.select(*PAIR, "text1", "text2", F.round("diff", 6).alias("diff"), F.round("diff_2_gram", 6).alias("diff_2_gram"))
+    return _measures(spark, sf).select(*PAIR, "text1", "text2", F.round("diff", 6).alias("diff"), F.round("diff_2_gram", 6).alias("diff_2_gram"))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, {L.similar('w1', 'w2', 't1', 't2')} AS similar FROM pw")
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return S.whole_similar(S.whole_pairs(_diff(spark, sf))).select(*PAIR, "text1", "text2", "similar")
 
@@ -558,16 +695,15 @@ def fast_diff_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def show_difference(spark: SparkSession, sf: str) -> DataFrame:
-    bare = lambda c: X.tokens(F.rtrim(F.regexp_replace(c, "\\.+$", "")))
+    bare = lambda c: X.tokens(X.preprocess_sent(F.regexp_replace(c, "\\.+$", "")))
     return edit_pairs(spark, sf).select(*PAIR, "id1", "id2", udfs.mark_changes(bare("s1"), bare("s2")).alias("m")).select(*PAIR, "id1", "id2", "m.old", "m.new")
 
 
-def _features(spark: SparkSession, sf: str, whole: bool = True) -> DataFrame:
-    """Features over all texts of both versions, as the classifier takes them, or over :func:`_text_pairs`, as the SQL states them."""
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features over all texts of both versions."""
     rows = _diff(spark, sf)
-    vecs = S.whole_vectors(rows) if whole else S.vectors(S.with_diff(S.with_jaccard(_text_pairs(spark, sf))), PAIR)
     texts = rows.where(~X.is_boring("text")).select(*PAIR, "text").distinct()
-    return S.feature_rows(texts, vecs, PAIR)
+    return S.feature_rows(texts, S.whole_vectors(rows), PAIR)
 
 
 @query(
@@ -581,7 +717,7 @@ def _features(spark: SparkSession, sf: str, whole: bool = True) -> DataFrame:
   round(CASE WHEN n_tokens > 0 THEN n_special_tokens / n_tokens ELSE 0.0 END, 6) AS percent_special_tokens FROM tf LEFT JOIN vc ON tf.arxivid = vc.arxivid AND tf.v1 = vc.v1 AND tf.v2 = vc.v2 AND tf.text = vc.text"""
 )
 def feature_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    df = _features(spark, sf, whole=False)
+    df = _features(spark, sf)
     return df.select(*PAIR, "text", *[F.round(c, 6).alias(c) if "n_" != c[:2] else F.col(c) for c in S.FEATURES])
 
 
@@ -595,28 +731,55 @@ def token_features(spark: SparkSession, sf: str) -> DataFrame:
     return S.token_features(texts).select(*PAIR, "text", *big("n_tokens", "n_special_tokens"))
 
 
-@query(
-    f"""WITH {L.OPEN}, {_EDGES}, {_PAIRS[len(L.OPEN) + 2:]}, j AS (SELECT arxivid, v1, v2, text1, text2, CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END AS jaccard FROM pg),
-  x AS (SELECT o1.arxivid, o1.v1, o1.v2, o1.id1, o2.id2, o1.text AS text1, o2.text AS text2 FROM b o1 JOIN b o2 ON o1.arxivid = o2.arxivid AND o1.v1 = o2.v1 AND o1.v2 = o2.v2
-    WHERE o1.code <= 0 AND o2.code >= 0 AND NOT o1.boring AND NOT o2.boring),
-  de AS (SELECT DISTINCT arxivid, v1, v2, id1, id2 FROM e), d1 AS (SELECT DISTINCT arxivid, v1, v2, id1 FROM e), d2 AS (SELECT DISTINCT arxivid, v1, v2, id2 FROM e),
-  val AS (SELECT x.*, CASE WHEN de.id1 IS NOT NULL THEN 1.0 WHEN d1.id1 IS NOT NULL OR d2.id2 IS NOT NULL THEN -1.0 ELSE coalesce(j.jaccard, 0.0) END AS value FROM x
+_CELLS = f"""x AS (SELECT o1.arxivid, o1.v1, o1.v2, o1.id1, o2.id2, o1.t AS t1, o2.t AS t2, o1.ws AS w1, o2.ws AS w2 FROM hw o1 JOIN hw o2 ON o1.arxivid = o2.arxivid AND o1.v1 = o2.v1 AND o1.v2 = o2.v2 AND o1.code <= 0 AND o2.code >= 0)"""
+_HW = f"hw AS (SELECT *, {L.preprocess('text')} AS t, {L.words(L.preprocess('text'))} AS ws FROM d)"
+_VALUES = f"""SELECT arxivid, v1, v2, count(*) AS n_cells, count(*) FILTER (value = 1) AS n_aligned, count(*) FILTER (value = -1) AS n_taken,
+  round(sum(value) FILTER (value >= 0), 4) AS heat FROM val GROUP BY arxivid, v1, v2"""
+_BLANK_OR_DIFF = f"CASE WHEN t1 = '' OR t2 = '' THEN 0.0 ELSE {L.diff_sim('w1', 'w2', 't1 = t2')} END"
+
+
+def _aligned_values(edges: str) -> str:
+    return f"""de AS (SELECT DISTINCT arxivid, v1, v2, id1, id2 FROM {edges}), d1 AS (SELECT DISTINCT arxivid, v1, v2, id1 FROM de), d2 AS (SELECT DISTINCT arxivid, v1, v2, id2 FROM de),
+  val AS (SELECT x.arxivid, x.v1, x.v2, CASE WHEN de.id1 IS NOT NULL THEN 1.0 WHEN d1.id1 IS NOT NULL OR d2.id2 IS NOT NULL THEN -1.0 ELSE {_BLANK_OR_DIFF} END AS value FROM x
     LEFT JOIN de ON x.arxivid = de.arxivid AND x.v1 = de.v1 AND x.v2 = de.v2 AND x.id1 = de.id1 AND x.id2 = de.id2
     LEFT JOIN d1 ON x.arxivid = d1.arxivid AND x.v1 = d1.v1 AND x.v2 = d1.v2 AND x.id1 = d1.id1
-    LEFT JOIN d2 ON x.arxivid = d2.arxivid AND x.v1 = d2.v1 AND x.v2 = d2.v2 AND x.id2 = d2.id2
-    LEFT JOIN j ON x.arxivid = j.arxivid AND x.v1 = j.v1 AND x.v2 = j.v2 AND x.text1 = j.text1 AND x.text2 = j.text2)
-  SELECT arxivid, v1, v2, count(*) AS n_cells, count(*) FILTER (value = 1) AS n_aligned, count(*) FILTER (value = -1) AS n_taken,
-  round(sum(value) FILTER (value >= 0), 4) AS heat FROM val GROUP BY arxivid, v1, v2"""
-)
-def heatmap_cells(spark: SparkSession, sf: str) -> DataFrame:
-    rows = A.blocks(_diff(spark, sf))
-    cells = S.heatmap(rows, _stored_edges(rows), S.with_jaccard(_text_pairs(spark, sf)))
+    LEFT JOIN d2 ON x.arxivid = d2.arxivid AND x.v1 = d2.v1 AND x.v2 = d2.v2 AND x.id2 = d2.id2)"""
+
+
+def _heat(cells: DataFrame) -> DataFrame:
     v = F.col("value")
     return cells.groupBy(*PAIR).agg(
         F.count("*").alias("n_cells"), F.count_if(v == 1).alias("n_aligned"), F.count_if(v == -1).alias("n_taken"), F.round(F.sum(F.when(v >= 0, v)), 4).alias("heat")
     )
 
 
+@query(f"WITH {L.DIFF}, {_EDGES}, {_HW}, {_CELLS}, {_aligned_values('e')} {_VALUES}")
+def heatmap_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """By the alignment that the table holds."""
+    rows = cut(_diff(spark, sf))
+    return _heat(S.heatmap(rows, _stored_edges(rows)))
+
+
+@query(f"WITH {L.DIFF}, {_HW}, {_CELLS}, ie AS (SELECT arxivid, v1, v2, id1, id2 FROM d WHERE code = 0), {_aligned_values('ie')} {_VALUES}")
+def heatmap_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """By identical sentences."""
+    rows = cut(_diff(spark, sf))
+    return _heat(S.heatmap(rows, A.identical(rows)))
+
+
+@query(f"WITH {L.OPEN}, {_WORDS_OPEN}, {_NEAR}, {_HW}, {_CELLS}, {_aligned_values('al')} {_VALUES}")
+def heatmap_easy(spark: SparkSession, sf: str) -> DataFrame:
+    """By the machine alignment."""
+    rows = cut(_diff(spark, sf))
+    return _heat(S.heatmap(rows, A.align(rows)))
+
+
+@query(f"WITH {L.DIFF}, {_HW}, {_CELLS}, val AS (SELECT arxivid, v1, v2, {_BLANK_OR_DIFF} AS value FROM x) {_VALUES}")
+def heatmap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarities alone."""
+    return _heat(S.heatmap(cut(_diff(spark, sf))))
+
+
 # --- sequences -------------------------------------------------------------------------------
 
 _SENTS = f"""{L.DIFF}, {_EDGES}, sd AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0),
@@ -702,6 +865,19 @@ def edit_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return E.edit_pairs(rows, _stored_edges(rows)).select(*PAIR, "id1", "id2", "s1", "s2", "partners")
 
 
+@query(
+    f"""WITH {_EDITS}, q AS (SELECT *, {L.tokens('s1')} AS q1, {L.tokens('s2')} AS q2 FROM ed)
+  SELECT arxivid, v1, v2, id1, id2, array_to_string(q1, ' ') AS old, array_to_string(q2, ' ') AS new, CAST({L.lcs_length('q1', 'q2')} AS BIGINT) AS n_kept FROM q"""
+)
+def fast_diff_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """What the diff of two sentences must give back: either one, with as many kept tokens as can be."""
+    edits = edit_pairs(spark, sf).select(*PAIR, "id1", "id2", udfs.fast_diff(X.tokens("s1"), X.tokens("s2")).alias("d"))
+    part = lambda test: F.array_join(F.transform(F.filter("d", test), lambda r: r["text"]), " ")
+    return edits.select(
+        *PAIR, "id1", "id2", part(lambda r: r["code"] <= 0).alias("old"), part(lambda r: r["code"] >= 0).alias("new"), F.size(F.filter("d", lambda r: r["code"] == 0)).cast("bigint").alias("n_kept")
+    )
+
+
 @query()
 def copy_edit_rules(spark: SparkSession, sf: str) -> DataFrame:
     return E.copy_edits(edit_pairs(spark, sf)).select(*PAIR, "id1", "id2", "label")
@@ -762,7 +938,20 @@ def priority_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merged.select(*keys, F.array_join("labels", "|").alias("labels"), "explanation")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_ANNOTATED}, ge AS (SELECT DISTINCT arxivid, v1, v2, id1, id2 FROM e), nb AS (SELECT DISTINCT x.arxivid, x.v1, x.v2, x.id1 AS a, y.id1 AS b FROM ge x JOIN ge y ON x.arxivid = y.arxivid AND x.v1 = y.v1 AND x.v2 = y.v2 AND x.id2 = y.id2),
+  re AS (SELECT * FROM nb UNION SELECT re.arxivid, re.v1, re.v2, re.a, nb.b FROM re JOIN nb ON nb.arxivid = re.arxivid AND nb.v1 = re.v1 AND nb.v2 = re.v2 AND nb.a = re.b),
+  gp AS (SELECT arxivid, v1, v2, a AS id1, min(b) AS grp FROM re GROUP BY ALL), gg AS (SELECT ge.*, grp FROM ge JOIN gp USING (arxivid, v1, v2, id1)),
+  pt AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0),
+  gs AS (SELECT DISTINCT arxivid, v1, v2, grp, 1 AS side, id1 AS id FROM gg UNION ALL SELECT DISTINCT arxivid, v1, v2, grp, 2, id2 FROM gg),
+  gt AS (SELECT gs.*, pt.text, CAST({L.sentence_part('gs.id', 3)} AS INTEGER) AS p, CAST({L.sentence_part('gs.id', 4)} AS INTEGER) AS s FROM gs JOIN pt USING (arxivid, v1, v2, side, id)),
+  ga AS (SELECT arxivid, v1, v2, grp, string_agg(id, ',' ORDER BY p, s, id) FILTER (side = 1) AS ids1, string_agg(id, ',' ORDER BY p, s, id) FILTER (side = 2) AS ids2,
+    string_agg(text, ' ' ORDER BY p, s, id) FILTER (side = 1) AS s1, string_agg(text, ' ' ORDER BY p, s, id) FILTER (side = 2) AS s2 FROM gt GROUP BY ALL),
+  gl AS (SELECT gg.arxivid, gg.v1, gg.v2, gg.grp, array_to_string(list_sort(list_distinct(flatten(list(an.labels)))), '|') AS labels,
+    coalesce(string_agg(an.explanation, ' ' ORDER BY an.id1, an.id2) FILTER (an.explanation <> ''), '') AS explanation, count(*) AS n_edges
+    FROM gg JOIN an ON an.arxivid = gg.arxivid AND an.v1 = gg.v1 AND an.v2 = gg.v2 AND an.id1 = gg.id1 AND an.id2 = gg.id2 GROUP BY ALL)
+  SELECT arxivid, v1, v2, ids1, ids2, s1, s2, labels, explanation, n_edges FROM ga JOIN gl USING (arxivid, v1, v2, grp)"""
+)
 def merge_n_to_m(spark: SparkSession, sf: str) -> DataFrame:
     an = cut(_annotated(spark, sf))
     rows = cut(_diff(spark, sf))
@@ -823,7 +1012,10 @@ def prediction_colors(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(*PAIR, "side", "id", B.prediction_color("free", "long", "short").alias("color"))
 
 
-@query()
+@query(
+    f"""WITH {_SENTS}, {_CHUNKS}, pos AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 5)
+  SELECT ss.arxivid, ss.v1, ss.v2, ss.side, ss.id, 33 AS n_features, CAST(CASE WHEN pos.id IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS label FROM ss LEFT JOIN pos USING (arxivid, v1, v2, side, id) WHERE NOT boring"""
+)
 def training_examples(spark: SparkSession, sf: str) -> DataFrame:
     ex = B.examples(_sents(spark, sf), _features(spark, sf), 5, 1)
     return ex.select(*PAIR, "side", "id", F.size("features").alias("n_features"), "label")

@@ -28,7 +28,10 @@ DROPPED = (
 MARKED = {"cite": "[CITATION]", "citet": "[CITATION]", "eqref": "[REF]", "ref": "[REF]", "autoref": "[REF]", "fref": "[REF]", "lref": "[REF]", "refs": "[REF]"}
 _NAME = re.compile(r"\\([A-Za-z]+)\*?")
 _DEFINE = re.compile(r"\\(?:newcommand|DeclareRobustCommand)\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*(?:\[(\d)\])?\s*(?:\[([^\]]*)\])?\s*(?=\{)|\\g?def\s*\\([A-Za-z]+)((?:\s*#\d)*)\s*(?=\{)")
-_ACKNOWLEDGED = re.compile(r"#* ?Acknowledge?ments?\.?")
+#: The last section of thanks, where the text that matters ends.
+_ACKNOWLEDGED = re.compile(r"(?:#{1,6}[ \t]*)?\bAcknowledg(?:e?ment)s?\b\.?")
+_HEADING = re.compile(r"\\((?:sub)*)section\*?\s*(?:\[[^\]]*\])?\s*(?=\{)")
+_SENTENCE_AFTER = re.compile(r"\s+[A-Z]|\s*\Z")
 
 
 def remove_comments(s: str) -> str:
@@ -120,7 +123,7 @@ def replace_math(s: str) -> str:
     """Displayed and inline math as marks; a full stop at their end stays where a sentence ends."""
 
     def mark(tag: str):
-        return lambda m: tag + ("." if m[1].rstrip().endswith(".") and re.match(r"\s+[A-Z]|\s*$", s[m.end() :]) else "")
+        return lambda m: tag + ("." if m[1].rstrip().endswith(".") and _SENTENCE_AFTER.match(m.string, m.end()) else "")
 
     for tag, pattern in (("[EQUATION]", r"\$\$(.*?)\$\$|\\\[(.*?)\\\]"), ("[MATH]", r"(?<!\\)\$([^$]*?)(?<!\\)\$|\\\((.*?)\\\)")):
         s = re.sub(pattern, lambda m, f=mark(tag): f(m) if m[1] is not None else tag, s, flags=re.S)
@@ -133,6 +136,20 @@ def collapse(s: str) -> str:
     return re.sub(r"\n\s*\n\s*(\[EQUATION\])", r"\n\1", re.sub(r"(\[EQUATION\])\s*\n\s*\n", r"\1\n", s))
 
 
+def mark_headings(s: str) -> str:
+    """Section commands as lines of as many ``#`` as they are deep, whatever braces stand in them."""
+    out, at = [], 0
+    while (m := _HEADING.search(s, at)) is not None:
+        end, depth = braced(s, m.end()), len(m[1]) // 3 + 1
+        if end < 0 or depth > 6:
+            out.append(s[at : m.end()])
+            at = m.end()
+            continue
+        out += [s[at : m.start()], "#" * depth + " " + " ".join(s[m.end() + 1 : end - 1].split())]
+        at = end
+    return "".join(out) + s[at:]
+
+
 def clean(s: str) -> str:
     """Steps up to plain marks: comments, macros, environments, body, commands, math, headings."""
     s = replace_environments(expand_macros(remove_comments(s)))
@@ -141,9 +158,7 @@ def clean(s: str) -> str:
     s = s.split("\\end{document}", 1)[0].split("\\thebibliography", 1)[0]
     s = s.replace("\\begin{abstract}", "# Abstract\n").replace("\\end{abstract}", "")
     s = collapse(replace_math(replace_commands(s)))
-    for depth in range(6, 0, -1):
-        s = re.sub(r"\\" + "sub" * (depth - 1) + r"section\*?\s*(?:\[[^\]]*\])?\s*\{([^{}]*)\}", "#" * depth + r" \1", s)
-    return re.sub(r"[ \t]+", " ", s)
+    return re.sub(r"[ \t]+", " ", mark_headings(s))
 
 
 def detex(s: str | None) -> str | None:
@@ -202,9 +217,11 @@ def scan_text(s: str | None) -> str | None:
         elif m[3] is not None:
             out.append(m[3] if m[3] in "%&#_{}$" else " ")
         elif m[4] is not None:
-            at = max(at, s.find(m[4], at) + len(m[4])) if m[4] in s[at:] else at
+            end = s.find(m[4], at)
+            at = end + len(m[4]) if end >= 0 else at
         elif m[6] is not None:
-            at = s.find("\n", at) if "\n" in s[at:] else len(s)
+            end = s.find("\n", at)
+            at = end if end >= 0 else len(s)
     out.append(s[at:])
     lines = [re.sub(r"[ \t~]+", " ", x).strip() for x in "".join(out).split("\n")]
     for k in range(len(lines) - 1, int(len(lines) * 0.8) - 1, -1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from itertools import groupby
 
@@ -20,9 +21,29 @@ def lcs_table(a: Sequence, b: Sequence) -> np.ndarray:
     return table
 
 
+#: Cells of a table that is held at once; longer sequences are parted in halves first.
+MOST_CELLS = 1 << 26
+
+
 def lcs(a: Sequence, b: Sequence) -> list:
-    """One longest common subsequence. Equal heads are always taken together; else the step goes
-    up unless left is strictly longer."""
+    """One longest common subsequence. Equal ends are taken off first; within, equal heads are always
+    taken together, else the step goes up unless left is strictly longer."""
+    lo, n, m = 0, len(a), len(b)
+    while lo < n and lo < m and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and hi < m - lo and a[n - 1 - hi] == b[m - 1 - hi]:
+        hi += 1
+    return [*b[:lo], *_inner_lcs(a[lo : n - hi], b[lo : m - hi]), *b[m - hi :]]
+
+
+def _inner_lcs(a: Sequence, b: Sequence) -> list:
+    if not a or not b:
+        return []
+    if (len(a) + 1) * (len(b) + 1) > MOST_CELLS and len(a) > 1:
+        half = len(a) // 2
+        at = int(np.argmax(_last_row(a[:half], b) + _last_row(a[half:][::-1], b[::-1])[::-1]))
+        return _inner_lcs(a[:half], b[:at]) + _inner_lcs(a[half:], b[at:])
     table = lcs_table(a, b)
     out, i, j = [], len(a), len(b)
     while i and j:
@@ -36,6 +57,17 @@ def lcs(a: Sequence, b: Sequence) -> list:
     return out[::-1]
 
 
+def _last_row(a: Sequence, b: Sequence) -> np.ndarray:
+    """Lengths for all of ``a`` with each prefix of ``b``, one row in memory."""
+    codes: dict = {}
+    y = np.array([codes.setdefault(v, len(codes)) for v in b], np.int64)
+    row = np.zeros(len(y) + 1, np.int64)
+    for v in a:
+        if (c := codes.get(v)) is not None:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == c, row[:-1] + 1, 0)))
+    return row
+
+
 def lcs_length(a: Sequence, b: Sequence) -> int:
     """Its length, with the equal ends of both taken off first."""
     lo, n, m = 0, len(a), len(b)
@@ -45,7 +77,7 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     while hi < n - lo and hi < m - lo and a[n - 1 - hi] == b[m - 1 - hi]:
         hi += 1
     a, b = a[lo : n - hi], b[lo : m - hi]
-    return lo + hi + (int(lcs_table(a, b)[-1, -1]) if a and b else 0)
+    return lo + hi + (int(_last_row(a, b)[-1]) if a and b else 0)
 
 
 class Compared:
@@ -113,15 +145,45 @@ def fast_diff(a: Sequence, b: Sequence) -> list[tuple[int, object]]:
     return out
 
 
+#: Weight of one common word against its characters, in a longest common subsequence of most characters.
+_WORD = 1_000_000
+
+
+def common_characters(a: Sequence[str], b: Sequence[str]) -> int:
+    """Characters of the words in a longest common subsequence; of several longest ones, the most.
+
+    One row of the table at a time: each is one vector step over the other side.
+    """
+    lo, n, m, kept = 0, len(a), len(b), 0
+    while lo < n and lo < m and a[lo] == b[lo]:
+        kept += len(a[lo])
+        lo += 1
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        kept += len(a[n - 1])
+        n, m = n - 1, m - 1
+    if lo == n or lo == m:
+        return kept
+    codes: dict = {}
+    y = np.array([codes.setdefault(v, len(codes)) for v in b[lo:m]], np.int64)
+    row = np.zeros(len(y) + 1, np.int64)
+    for w in a[lo:n]:
+        if (c := codes.get(w)) is not None:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == c, row[:-1] + _WORD + len(w), 0)))
+    return kept + int(row[-1]) % _WORD
+
+
 def change_sizes(a: Sequence[str], b: Sequence[str]) -> tuple[int, int]:
     """Characters of the removed and of the added words."""
-    diff = fast_diff(a, b)
-    return sum(len(w) for c, w in diff if c == -1), sum(len(w) for c, w in diff if c == 1)
+    kept = common_characters(a, b)
+    return sum(map(len, a)) - kept, sum(map(len, b)) - kept
 
 
-def similar(a: Sequence[str], b: Sequence[str]) -> bool:
-    """Removed at most 0.2 and added at most 0.4 of the original's characters, or one contains the other."""
-    one, two = " ".join(a), " ".join(b)
+def similar(a: Sequence[str], b: Sequence[str], one: str | None = None, two: str | None = None) -> bool:
+    """Removed at most 0.2 and added at most 0.4 of the original's characters, or one text contains the other.
+
+    ``a`` and ``b`` are the words of the preprocessed texts ``one`` and ``two``.
+    """
+    one, two = " ".join(a) if one is None else one, " ".join(b) if two is None else two
     if one in two or two in one:
         return True
     n, m = sum(map(len, a)), sum(map(len, b))
@@ -145,21 +207,40 @@ def mark_changes(a: Sequence[str], b: Sequence[str], quote: str = "**") -> tuple
     return side(-1), side(1)
 
 
-def copy_edit(a: str, b: str) -> str | None:
-    """'correction' or 'word usage' where a rewrite is a mere copy edit, else None. The first rule that fits holds."""
+def copy_edit(a: str, b: str, tokens1: Sequence[str], tokens2: Sequence[str]) -> str | None:
+    """'correction' or 'word usage' where a rewrite is a mere copy edit, else None. The first rule that fits holds.
+
+    The tokens are those of the preprocessed sentences without full stops at their end.
+    """
     chars = [(c, x) for c, x in fast_diff(a, b) if c]
     added, removed = [x for c, x in chars if c == 1], [x for c, x in chars if c == -1]
-    plain = lambda x: x == " " or (x.isascii() and (x.isalpha() or (x.isprintable() and not x.isalnum())))
-    if len(added) <= 1 and len(removed) <= 1 and all(map(plain, added + removed)):
+    mark = lambda x: x in string.punctuation or x in string.whitespace
+    if len(added) <= 1 and len(removed) <= 1 and all(mark(x) or x in string.ascii_letters for x in added + removed):
         return "correction"
-    if all(x.isspace() or (x.isascii() and x.isprintable() and not x.isalnum()) for _, x in chars):
+    if all(mark(x) for _, x in chars):
         return "correction"
-    words = [(c, w) for c, w in fast_diff(a.rstrip(".").split(), b.rstrip(".").split()) if c]
+    words = [(c, w) for c, w in fast_diff(tokens1, tokens2) if c]
     more, fewer = [w for c, w in words if c == 1], [w for c, w in words if c == -1]
     if not words:
         return "correction"
     if len(more) == 1 and more == fewer:
         return "word usage"
-    if all(w.lower() == "the" for _, w in words):
+    if more in ([], ["the"]) and fewer in ([], ["the"]):
         return "word usage"
     return None
+
+
+def diff_rows(old: Sequence[str], new: Sequence[str]) -> list[tuple[int, str, int, int, int, int]]:
+    """``(code, line, p1, s1, p2, s2)``: the diff of two versions' lines with their places in either, -1 where a line is
+    not in a version. Places count from 0; a blank line is the last of its paragraph."""
+    out = []
+    at = {-1: [0, 0], 1: [0, 0]}
+    for code, line in fast_diff(old, new):
+        place = [-1, -1, -1, -1]
+        for k, side in enumerate((-1, 1)):
+            if code in (side, 0):
+                here = at[side]
+                place[2 * k : 2 * k + 2] = here
+                here[:] = [here[0] + 1, 0] if line == "" else [here[0], here[1] + 1]
+        out.append((code, line, *place))
+    return out

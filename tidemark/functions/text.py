@@ -136,6 +136,16 @@ def join_false_splits(sentences: Column | str) -> Column:
     return F.slice(folded, 2, F.greatest(F.size(folded) - 1, F.lit(0)))
 
 
+_SPLIT_AT = "([.!?][)\\]\"'”’]*)[ \\t\\n\\r]+([(\\[\"'“‘]*\\p{Lu})"
+_SPLIT_TAG = "(\\[EQUATION\\])[ \\t\\n\\r]*([A-Z])"
+
+
+def ssplit(paragraph: Column | str) -> Column:
+    """Sentences of a paragraph: split after a terminator or a displayed formula where a capital follows, false splits undone."""
+    marked = F.regexp_replace(F.regexp_replace(_c(paragraph), _SPLIT_AT, "$1\u0001$2"), _SPLIT_TAG, "$1\u0001$2")
+    return join_false_splits(F.split(marked, "\u0001"))
+
+
 def preprocess_sent(x: Column | str) -> Column:
     """Tokens joined by single spaces, marks kept whole, punctuation parted from words."""
     x = F.regexp_replace(_c(x), "([^\\p{L}\\p{N}\\s])", " $1 ")
@@ -179,6 +189,52 @@ def id_to_path(arxiv_id: Column | str) -> Column:
     return F.replace(_c(arxiv_id), F.lit("/"), F.lit("-"))
 
 
+#: Where the files of a version, and of a version pair, are kept below the data folder.
+VERSION_FILES = {
+    "source": "extra/{id}-v{v}.gz", "text": "extra/{id}-v{v}.txt", "latex": "extra/{id}-v{v}-original.tex", "sentences": "{id}-v{v}-sentences.txt", "pdf": "{id}-v{v}.pdf",
+}
+PAIR_FILES = {"alignment": "{id}-v{v1}-v{v2}.csv", "machine": "{id}-v{v1}-v{v2}.csv", "annotation": "{id}-v{v1}-v{v2}-({n}-unaligned-sents).csv"}
+
+
+def version_file(arxiv_id: Column | str, version: Column | str, kind: str, root: str = "") -> Column:
+    """Path of one of a version's files."""
+    own = id_to_path(arxiv_id)
+    path = F.replace(F.replace(F.lit(f"{{id}}/v{{v}}/{VERSION_FILES[kind]}"), F.lit("{id}"), own), F.lit("{v}"), _c(version).cast("string"))
+    return F.concat(F.lit(root), path)
+
+
+def pair_file(arxiv_id: Column | str, v1: Column | str, v2: Column | str, kind: str, n: Column | str | None = None) -> Column:
+    """File name of a version pair; null where the versions are not in order."""
+    name = F.replace(F.lit(PAIR_FILES[kind]), F.lit("{id}"), id_to_path(arxiv_id))
+    for mark, value in (("{v1}", v1), ("{v2}", v2), *((("{n}", n),) if n is not None else ())):
+        name = F.replace(name, F.lit(mark), _c(value).cast("string"))
+    return F.when(_c(v1) < _c(v2), name)
+
+
+def compare_command(arxiv_id: Column | str, v1: Column | str, v2: Column | str, tool: str = "code --diff") -> Column:
+    """The command that shows the sentence files of two versions side by side."""
+    return F.concat_ws(" ", F.lit(tool), version_file(arxiv_id, v1, "sentences"), version_file(arxiv_id, v2, "sentences"))
+
+
+def merge_maps(first: Column | str, *more: Column | str) -> Column:
+    """Maps merged; a key's value is that of the last map that has the key."""
+
+    def both(out: Column, m: Column) -> Column:
+        return F.map_concat(F.map_filter(out, lambda k, _: ~F.map_contains_key(m, k)), m)
+
+    out = _c(first)
+    for m in more:
+        out = both(out, _c(m))
+    return out
+
+
+def transpose(rows: Column | str) -> Column:
+    """Rows and columns of an array of arrays exchanged, cut to the shortest row."""
+    rows = _c(rows)
+    width = F.array_min(F.transform(rows, F.size))
+    return F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.transform(rows, lambda r: F.get(r, k)))).otherwise(F.slice(rows, 1, 0))
+
+
 def sentence_id(text: Column | str) -> Column:
     """``{id}-v{version}-{p}-{s}`` as a struct; nulls where the text is not one."""
     pattern = "^(.*)-v?(\\d+)-(\\d+)-(\\d+)$"

@@ -18,9 +18,11 @@ def _both(f, none=None):
 
 lcs_length = F.pandas_udf(lambda a, b: _both(kernels.lcs_length)(a, b).astype("Int32"), T.IntegerType())
 fast_diff = F.pandas_udf(_both(lambda x, y: [{"code": c, "text": t} for c, t in kernels.fast_diff(x, y)]), DIFF)
-similar = F.pandas_udf(lambda a, b: _both(kernels.similar, False)(a, b).astype(bool), T.BooleanType())
+similar = F.pandas_udf(
+    lambda a, b, one, two: pd.Series([x is not None and y is not None and kernels.similar(list(x), list(y), p, q) for x, y, p, q in zip(a, b, one, two)], dtype=bool), T.BooleanType()
+)
 copy_edit = F.pandas_udf(
-    lambda a, b: pd.Series([None if x is None or y is None else kernels.copy_edit(x, y) for x, y in zip(a, b)], dtype=object), T.StringType()
+    lambda a, b, ts, us: pd.Series([None if x is None or y is None else kernels.copy_edit(x, y, list(t), list(u)) for x, y, t, u in zip(a, b, ts, us)], dtype=object), T.StringType()
 )
 
 
@@ -37,3 +39,8 @@ MARKED = T.StructType([T.StructField("old", T.StringType()), T.StructField("new"
 def mark_changes(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     got = [(None, None) if x is None or y is None else kernels.mark_changes(list(x), list(y)) for x, y in zip(a, b)]
     return pd.DataFrame(got, columns=["old", "new"])
+
+
+LINE_DIFF = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n == "text" else T.IntegerType()) for n in ("code", "text", "p1", "s1", "p2", "s2")]))
+#: The diff of two arrays of lines, in order, with the places of each line.
+line_diff = F.pandas_udf(_both(lambda x, y: [dict(zip(("code", "text", "p1", "s1", "p2", "s2"), r)) for r in kernels.diff_rows(x, y)]), LINE_DIFF)

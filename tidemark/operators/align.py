@@ -38,22 +38,27 @@ def may_be_similar(n: Column, m: Column, a: Column, b: Column) -> Column:
 
 
 def candidates(rows: DataFrame, on: list[str]) -> DataFrame:
-    """Removed and added rows that meet on the keys and pass the length bound."""
-    side = lambda code, k: rows.where(F.col("code") == code).select(
-        *on, F.col(f"id{k}"), F.col("words").alias(f"w{k}"), F.array_join("words", " ").alias(f"t{k}"),
-        F.aggregate("words", F.lit(0), lambda n, w: n + F.length(w)).alias(f"n{k}"),
-    )
+    """Removed and added rows that meet on the keys and pass the length bound, with the words ``w`` and characters ``n`` of
+    their preprocessed texts ``t``."""
+
+    def side(code: int, k: int) -> DataFrame:
+        own = rows.where(F.col("code") == code).select(*on, F.col(f"id{k}"), X.preprocess_sent("text").alias(f"t{k}")).withColumn(f"w{k}", X.words(f"t{k}"))
+        return own.withColumn(f"n{k}", characters(F.col(f"w{k}")))
+
     met = side(-1, 1).join(side(1, 2), on)
     return met.where(may_be_similar(F.col("n1"), F.col("n2"), F.col("t1"), F.col("t2")))
 
 
+def characters(ws: Column) -> Column:
+    return F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w))
+
+
 def similar_edges(rows: DataFrame, on: list[str], method: str) -> DataFrame:
     """Edges of similar pairs. A word that the other side lacks is removed, or added, in any diff: pairs with
     too many characters of such words are refused before the diff is made."""
-    size = lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w))
-    near = (size(F.array_except("w1", "w2")) <= 0.2 * F.col("n1")) & (size(F.array_except("w2", "w1")) <= 0.4 * F.col("n1"))
+    near = (characters(F.array_except("w1", "w2")) <= 0.2 * F.col("n1")) & (characters(F.array_except("w2", "w1")) <= 0.4 * F.col("n1"))
     near = near | F.col("t1").contains(F.col("t2")) | F.col("t2").contains(F.col("t1"))
-    return candidates(rows, on).where(near).where(udfs.similar("w1", "w2")).select(*PAIR, "id1", "id2", F.lit(method).alias("method"))
+    return candidates(rows, on).where(near).where(udfs.similar("w1", "w2", "t1", "t2")).select(*PAIR, "id1", "id2", F.lit(method).alias("method"))
 
 
 def align(rows: DataFrame) -> DataFrame:
@@ -66,6 +71,20 @@ def align(rows: DataFrame) -> DataFrame:
     return identical(rows).unionByName(near).unionByName(similar_edges(left, PAIR, "document"))
 
 
+def statuses(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with ``state``: 'solved' for kept and for aligned removed ones, 'used' for aligned added ones, 'boring', else 'unknown'."""
+    has = lambda k: edges.select(*PAIR, f"id{k}").distinct().withColumn(f"has{k}", F.lit(True))
+    df = rows.join(has(1), [*PAIR, "id1"], "left").join(has(2), [*PAIR, "id2"], "left")
+    state = F.when((F.col("code") == 0) | ((F.col("code") == -1) & F.col("has1")), "solved").when((F.col("code") == 1) & F.col("has2"), "used")
+    return df.withColumn("state", F.coalesce(state, F.when(X.is_boring("text"), "boring").otherwise("unknown"))).drop("has1", "has2")
+
+
+def solved_blocks(states: DataFrame) -> DataFrame:
+    """``(pair, block, n_removed, solved)``: whether no removed row of the block is left unknown."""
+    removed = F.col("code") == -1
+    return states.groupBy(*PAIR, "block").agg(F.count_if(removed).alias("n_removed"), (F.count_if(removed & (F.col("state") == "unknown")) == 0).alias("solved"))
+
+
 def unaligned(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``(pair, side, id, text)`` of sentences worth aligning that no edge reaches."""
     out = None
@@ -101,6 +120,18 @@ def renumber(free: DataFrame, literal: bool = False) -> DataFrame:
     return free.withColumn("new_s", F.row_number().over(W.partitionBy(*PAIR, "side", "new_p").orderBy("p", "s")) - 1)
 
 
+def unaligned_export(places: DataFrame) -> DataFrame:
+    """Cells of an annotation file: all free sentences of v1, under their new places, with all of v2; none aligned yet."""
+
+    def side(k: int) -> DataFrame:
+        place = F.concat(F.col(f"v{k}"), F.lit("-"), F.col("new_p"), F.lit("-"), F.col("new_s"))
+        new = F.concat(F.col("arxivid"), F.lit("-v"), place)
+        return places.where(F.col("side") == k).select(*PAIR, place.alias(f"place{k}"), new.alias(f"sent_{k - 1}_idx"), F.col("text").alias(f"sent_{k - 1}"))
+
+    pair_id = F.concat(F.lit("ID-"), F.col("arxivid"), F.lit("-"), F.col("place1"), F.lit("-"), F.col("place2"))
+    return side(1).join(side(2), PAIR).select(*PAIR, pair_id.alias("pair_ID"), F.lit("UID").alias("pair_UID"), "sent_0_idx", "sent_0", "sent_1_idx", "sent_1", F.lit(3).alias("aligning_method"))
+
+
 def merge_manual(edges: DataFrame, manual: DataFrame, places: DataFrame) -> DataFrame:
     """Edges with those that people marked on renumbered sentences, read back through their places.
 

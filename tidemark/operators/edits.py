@@ -26,7 +26,8 @@ def edit_pairs(rows: DataFrame, edges: DataFrame) -> DataFrame:
 
 def copy_edits(pairs: DataFrame) -> DataFrame:
     """Edits that merely copy-edit, with their label."""
-    return pairs.withColumn("label", udfs.copy_edit("s1", "s2")).where("label is not null")
+    bare = [X.tokens(X.preprocess_sent(F.regexp_replace(c, "\\.+$", ""))) for c in ("s1", "s2")]
+    return pairs.withColumn("label", udfs.copy_edit("s1", "s2", *bare)).where("label is not null")
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

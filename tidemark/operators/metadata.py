@@ -30,6 +30,13 @@ def announced_pairs(counted: DataFrame) -> DataFrame:
     return many.select("arxiv_id", F.explode(F.sequence(F.lit(1), F.col("version_count") - 1)).alias("v1")).withColumn("v2", F.col("v1") + 1)
 
 
+def curated_pairs(ids: DataFrame, present: DataFrame) -> DataFrame:
+    """``(arxiv_id, v1, v2)`` of chosen papers ``(arxiv_id, version_count)`` where both versions are among ``present (arxiv_id, number)``."""
+    have = present.select("arxiv_id", "number").distinct()
+    side = lambda k: have.withColumnRenamed("number", f"v{k}")
+    return announced_pairs(ids).join(side(1), ["arxiv_id", "v1"], "left_semi").join(side(2), ["arxiv_id", "v2"], "left_semi").select("arxiv_id", "v1", "v2")
+
+
 def version_pairs(times: DataFrame) -> DataFrame:
     """Successive versions that are both present, with their times."""
     later = times.select("arxiv_id", (F.col("number") - 1).alias("number"), F.col("version_time").alias("t2"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,12 +34,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared folder the session names.
 
     A folder of this process is made only where neither the session nor the context
-    names one, as in local tests.
+    names one and all tasks run in this process's machine, as in local tests.
     """
     sc = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
 
 
@@ -55,8 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     out again; an input with a task for each core is left where it lies, without shuffle. An
     input that has a shuffle or a Python step of its own is left as well: its tasks are not known before it runs.
     """
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "Arrow" in plan or "Pandas" in plan:
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, steps = [plan], []
+    while nodes:
+        node = nodes.pop()
+        steps.append(node.getClass().getSimpleName())
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    if any("Exchange" in s or "AdaptiveSparkPlan" in s or "Arrow" in s or "Pandas" in s or "InPython" in s for s in steps):
         return df
     want = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.functions.text import PUNCTUATION, TAGS
+from tidemark.functions.text import FALSE_MARKS, FALSE_SUFFIXES, PUNCTUATION, TAGS
 
 _P = PUNCTUATION.replace("'", "''")
 
@@ -88,3 +88,48 @@ def lcs_length(a: str, b: str) -> str:
 def diff_sim(a: str, b: str, same: str) -> str:
     n = lcs_length(a, b)
     return f"(CASE WHEN {same} THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 1 - ((len({a}) - {n}) / len({a}) + (len({b}) - {n}) / len({b})) / 2 END)"
+
+
+def characters(ws: str) -> str:
+    return f"length(array_to_string({ws}, ''))"
+
+
+def kept_characters(a: str, b: str) -> str:
+    """Characters of the common words in a longest common subsequence, of several the most: a million a word and one a character."""
+    row = f"list_reduce(range(1, len({b}) + 1), lambda r, j: list_append(r, CASE WHEN {a}[i] = {b}[j] THEN greatest(prev[j] + 1000000 + length({a}[i]), prev[j + 1], r[j]) ELSE greatest(prev[j + 1], r[j]) END), [CAST(0 AS BIGINT)])"
+    return f"(list_reduce(range(1, len({a}) + 1), lambda prev, i: {row}, list_transform(range(0, len({b}) + 1), lambda k: CAST(0 AS BIGINT)))[len({b}) + 1] % 1000000)"
+
+
+def similar(a: str, b: str, one: str, two: str) -> str:
+    """``a``, ``b``: words of the preprocessed texts ``one``, ``two``."""
+    n, m = characters(a), characters(b)
+    k = kept_characters(a, b)
+    return (
+        f"(CASE WHEN contains({one}, {two}) OR contains({two}, {one}) THEN TRUE WHEN {n} = 0 OR {m} = 0 OR {n} - {m} > 0.2 * {n} OR {m} - {n} > 0.4 * {n} THEN FALSE "
+        f"ELSE {n} - {k} <= 0.2 * {n} AND {m} - {k} <= 0.4 * {n} END)"
+    )
+
+
+def join_false_splits(parts: str) -> str:
+    suffixes = "(?:" + "|".join(x.replace(".", "\\.") for x in FALSE_SUFFIXES) + ")"
+    doubled = " OR ".join(f"(ends_with(acc[-1], '{x}') AND starts_with(z, '{x}'))" for x in FALSE_MARKS)
+    step = (
+        f"CASE WHEN z = '.' OR z = '' THEN acc WHEN ({doubled}) AND regexp_matches(acc[-1], '{suffixes}[.(\\[]$') THEN list_append(list_slice(acc, 1, len(acc) - 1), acc[-1] || substr(z, 2)) "
+        f"WHEN regexp_matches(acc[-1], '{suffixes}$') THEN list_append(list_slice(acc, 1, len(acc) - 1), acc[-1] || ' ' || z) ELSE list_append(acc, z) END"
+    )
+    bare = f"list_transform({parts}, lambda y: trim(regexp_replace(y, '[ \\t\\n\\r]+', ' ', 'g')))"
+    return f"list_slice(list_reduce({bare}, lambda acc, z: {step}, [chr(2)]), 2, 1000000)"
+
+
+def ssplit(x: str) -> str:
+    marked = f"""regexp_replace({x}, '([.!?][)\\]"''”’]*)[ \\t\\n\\r]+([(\\["''“‘]*\\p{{Lu}})', '\\1' || chr(1) || '\\2', 'g')"""
+    marked = f"regexp_replace({marked}, '(\\[EQUATION\\])[ \\t\\n\\r]*([A-Z])', '\\1' || chr(1) || '\\2', 'g')"
+    return join_false_splits(f"string_split({marked}, chr(1))")
+
+
+#: Sentences of each version with a text, in paragraphs; and in lines, a blank one after each paragraph.
+VERSION_LINES = f"""vt AS (SELECT arxivid, version_no AS version, arg_max(body, (length(body), body)) AS b FROM text_files WHERE arxivid IS NOT NULL AND version_no IS NOT NULL AND body IS NOT NULL GROUP BY ALL),
+  vp AS (SELECT arxivid, version, list_filter(list_transform(list_filter(list_transform(string_split(regexp_replace(replace(b, chr(13), ''), '[ \\t]+\\n', chr(10), 'g'), chr(10) || chr(10)),
+    lambda q: trim(replace(q, chr(10), ' '), ' ' || chr(9))), lambda q: q <> ''), lambda q: {ssplit('q')}), lambda ss: len(ss) > 0) AS paragraphs FROM vt),
+  vl AS (SELECT *, flatten(list_transform(paragraphs, lambda ss: list_append(ss, ''))) AS lines FROM vp),
+  vm AS (SELECT o.arxivid, o.version AS v1, n.version AS v2, o.lines AS l1, n.lines AS l2, o.paragraphs AS ps1, n.paragraphs AS ps2 FROM vl o JOIN vl n ON n.arxivid = o.arxivid AND n.version = o.version + 1)"""

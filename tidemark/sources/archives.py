@@ -13,8 +13,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Layers of compression that are opened at most.
-MAX_LAYERS = 5
 _INCLUDE = re.compile(r"^[^%\n]*\\(?:include|includeonly|input|@input)\b\s*\{?\s*([^}\s%]+)")
 _BEGINS = re.compile(r"(?m)^\s*\\(?:documentclass|documentstyle|begin\{document\})")
 _AUXILIARY = (".dtx", ".sty", ".bbl")
@@ -73,10 +71,11 @@ def unwrap(data: bytes | None) -> tuple[str, str | None, str | None]:
         return "missing", None, None
     kind = sniff(data)
     try:
-        for _ in range(MAX_LAYERS):
-            if kind != "gzip":
-                break
-            data = gzip.decompress(data)
+        while kind == "gzip":  # however many layers there are
+            inner = gzip.decompress(data)
+            if inner == data:
+                return kind, None, "a layer that holds itself"
+            data = inner
             kind = sniff(data)
         if kind == "tar":
             with tarfile.open(fileobj=io.BytesIO(data)) as t:

@@ -61,6 +61,27 @@ def paragraph_sentences(files: DataFrame, keys: list[str], body: str = "body") -
     )
 
 
+def sentence_arrays(body: Column | str) -> Column:
+    """Paragraphs of a detexed text as arrays of sentences: paragraphs part at blank lines, their line ends are spaces."""
+    body = F.col(body) if isinstance(body, str) else body
+    bare = F.regexp_replace(F.regexp_replace(body, "\r", ""), "[ \t]+\n", "\n")
+    ps = F.filter(F.transform(F.split(bare, "\n\n"), lambda p: F.btrim(F.replace(p, F.lit("\n"), F.lit(" ")), F.lit(" \t"))), lambda p: p != "")
+    return F.filter(F.transform(ps, X.ssplit), lambda ss: F.size(ss) > 0)
+
+
+def file_sentences(files: DataFrame, keys: list[str], body: str = "body") -> DataFrame:
+    """Keys, p, s, text: the sentences of detexed texts; null and blank ones give none."""
+    return files.select(*keys, F.posexplode(sentence_arrays(body)).alias("p", "ss")).select(*keys, "p", F.posexplode("ss").alias("s", "text"))
+
+
+def example_files(spark: SparkSession, path: str, group: str = "both") -> DataFrame:
+    """``(grp, window, min_length, features, label)`` of written training rows; of both groups or one."""
+    rows = spark.read.text(path)
+    xs = F.transform(F.split("value", ","), lambda x: x.cast("double"))
+    rows = rows.select("grp", "window", "min_length", F.slice(xs, 1, F.size(xs) - 1).alias("features"), F.element_at(xs, -1).alias("label"))
+    return rows if group == "both" else rows.where(F.col("grp") == group)
+
+
 def diff_rows(structs: DataFrame) -> DataFrame:
     """The rows of each version pair's diff, each once: of repeated rows the one with the smallest id.
 
