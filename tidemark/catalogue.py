@@ -20,6 +20,7 @@ from tidemark.operators import similarity as S
 from tidemark.operators import versions as V
 from tidemark.plans import sqltext as L
 from tidemark.plans.runtime import cut
+from tidemark.sources import sinks
 from tidemark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,6 +258,49 @@ def machine_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return V.machine_alignment(T.table(spark, sf, "text_files"), T.table(spark, sf, "latex_files"))[1]
 
 
+@query(f"WITH {_LINES} SELECT file_id, count(*) FILTER (line = '' OR {L.is_title('line')}) AS n FROM l GROUP BY file_id")
+def titles_or_newlines(spark: SparkSession, sf: str) -> DataFrame:
+    files = T.table(spark, sf, "text_files").where("body is not null")
+    lines = files.select("file_id", F.explode(F.transform(F.split("body", "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))).alias("line"))
+    return lines.groupBy("file_id").agg(F.count_if(X.is_title_or_newline("line")).alias("n"))
+
+
+@query("SELECT file_id, length(replace(body, chr(0), '')) AS n, replace(body, chr(0), '') AS body FROM latex_files WHERE body IS NOT NULL")
+def null_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    clean = X.remove_nullbytes("body")
+    return T.table(spark, sf, "latex_files").where("body is not null").select("file_id", F.length(clean).cast("bigint").alias("n"), clean.alias("body"))
+
+
+@query(
+    f"""WITH {L.DIFF} SELECT struct_id, array_to_string(list_transform({L.tokens("replace(replace(text, '(', ' -LRB- '), ')', ' -RRB- ')")},
+  lambda t: CASE t WHEN '-LRB-' THEN '(' WHEN '-RRB-' THEN ')' ELSE t END), ' ') AS tokens FROM d"""
+)
+def bracket_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Treebank bracket tokens as brackets again."""
+    treebank = F.replace(F.replace("text", F.lit("("), F.lit(" -LRB- ")), F.lit(")"), F.lit(" -RRB- "))
+    return _diff(spark, sf).select("struct_id", F.array_join(F.transform(X.tokens(treebank), X.unescape_brackets), " ").alias("tokens"))
+
+
+@query("SELECT struct_id, array_to_string(list_transform(identifiers, lambda i: trim(i)), ' | ') AS ids, len(identifiers) AS n FROM sentence_structs WHERE identifiers IS NOT NULL")
+def parsed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids written as one field, as of merged sentences, and read again."""
+    field = T.table(spark, sf, "sentence_structs").where("identifiers is not null").select("struct_id", F.array_join("identifiers", ",").alias("f"))
+    return field.select("struct_id", F.array_join(E.parse_ids("f"), " | ").alias("ids"), F.size(E.parse_ids("f")).cast("bigint").alias("n"))
+
+
+@query(f"WITH {L.VERSION_LINES} SELECT arxivid, version, len(flatten(paragraphs)) AS n_sentences, array_to_string(flatten(paragraphs), chr(10)) AS text, array_to_string(lines, chr(10)) AS lines FROM vl")
+def flattened_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    v = V.version_lines(T.table(spark, sf, "text_files"))
+    flat = X.flatten_once("paragraphs")
+    return v.select("arxivid", "version", F.size(flat).cast("bigint").alias("n_sentences"), F.array_join(flat, "\n").alias("text"), F.array_join(X.paragraphs_to_lines("paragraphs"), "\n").alias("lines"))
+
+
+@query(f"WITH {L.VERSION_LINES} SELECT arxivid, version, array_to_string(list_transform(paragraphs, lambda ss: array_to_string(ss, chr(10))), chr(10) || chr(10)) AS body FROM vl WHERE len(paragraphs) > 0")
+def sentence_file_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """What is written to the sentence file of each version."""
+    return sinks.sentence_bodies(file_sentences(spark, sf), ["arxivid", "version"])
+
+
 @query(f"WITH {L.DIFF} SELECT struct_id, {L.preprocess('text')} AS sentence FROM d")
 def preprocess_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return _diff(spark, sf).select("struct_id", X.preprocess_sent("text").alias("sentence"))
@@ -583,6 +627,17 @@ def solved_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return A.solved_blocks(_states(spark, sf))
 
 
+@query(
+    f"""WITH {L.DIFF}, {_EDGES} SELECT 'ID-' || replace(o.arxivid, '/', '-') || '-' || o.v1 || '-' || o.v2 || '-' || regexp_extract(o.id1, 'v?(\\d+-\\d+-\\d+)$', 1) || '-' || regexp_extract(n.id2, 'v?(\\d+-\\d+-\\d+)$', 1) AS pair_ID,
+  'UID' AS pair_UID, o.id1 AS sent_0_idx, o.text AS sent_0, n.id2 AS sent_1_idx, n.text AS sent_1, CASE WHEN (o.arxivid, o.v1, o.v2, o.id1, n.id2) IN (SELECT (arxivid, v1, v2, id1, id2) FROM e) THEN 1 ELSE 3 END AS aligning_method
+  FROM d o JOIN d n ON o.arxivid = n.arxivid AND o.v1 = n.v1 AND o.v2 = n.v2 WHERE o.code <= 0 AND n.code >= 0"""
+)
+def alignment_export(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the alignment files."""
+    rows = _diff(spark, sf)
+    return sinks.alignment_rows(A.cross_export(rows, _stored_edges(rows)))
+
+
 _FREE = f"""{L.DIFF}, {_EDGES}, s AS (SELECT arxivid, v1, v2, 1 AS side, id1 AS id, text FROM d WHERE code <= 0 UNION ALL SELECT arxivid, v1, v2, 2, id2, text FROM d WHERE code >= 0),
   fr AS (SELECT *, CAST({L.sentence_part('id', 3)} AS INTEGER) AS p, CAST({L.sentence_part('id', 4)} AS INTEGER) AS q FROM s WHERE NOT {L.is_boring('text')}
     AND NOT EXISTS (SELECT 1 FROM e WHERE e.arxivid = s.arxivid AND e.v1 = s.v1 AND e.v2 = s.v2 AND ((s.side = 1 AND e.id1 = s.id) OR (s.side = 2 AND e.id2 = s.id)))),
@@ -814,6 +869,19 @@ def neighbour_window(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(*PAIR, "side", "id", *[F.get("window", F.lit(k)).alias(n) for k, n in enumerate(("before2", "before1", "own", "after1", "after2"))])
 
 
+@query(
+    f"""WITH {_SENTS}, w AS (SELECT arxivid, v1, v2, side, id, lag(length(text)) OVER w AS a, length(text) AS b, lag(p) OVER w AS c, p AS e FROM ss WINDOW w AS (PARTITION BY arxivid, v1, v2, side ORDER BY p, s))
+  SELECT arxivid, v1, v2, side, id, coalesce(a, -1) || ' ' || coalesce(c, -1) || ' | ' || b || ' ' || e AS pairs FROM w"""
+)
+def transposed_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two windows over the sentences, lengths and paragraphs, as rows of both values."""
+    sents = _sents(spark, sf).withColumn("n", F.length("text"))
+    w = Q.neighbours(sents, [*PAIR, "side"], ["p", "s"], "n", 1, F.lit(-1)).withColumnRenamed("window", "lengths")
+    w = Q.neighbours(w, [*PAIR, "side"], ["p", "s"], "p", 1, F.lit(-1))
+    both = X.transpose(F.array(F.slice("lengths", 1, 2), F.slice("window", 1, 2)))
+    return w.select(*PAIR, "side", "id", F.array_join(F.transform(both, lambda x: F.array_join(F.transform(x, lambda y: y.cast("string")), " ")), " | ").alias("pairs"))
+
+
 @query(
     f"""WITH {L.DIFF}, k AS (SELECT *, sum(CASE WHEN code = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY arxivid, v1, v2 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM d),
   r AS (SELECT arxivid, v1, v2, CAST(run AS INTEGER) AS run, count(*) FILTER (code = -1) AS n_removed FROM k WHERE code <> 0 GROUP BY ALL) SELECT * FROM r WHERE n_removed > 0 OR run = 0"""
@@ -922,6 +990,20 @@ def other_examples(spark: SparkSession, sf: str) -> DataFrame:
     return E.examples_of(_annotated(spark, sf), "Other").select(*PAIR, "id1", "id2", "explanation")
 
 
+@query(f"WITH {_ANNOTATED} SELECT id1, id2, array_to_string(labels, '|') AS labels, len(labels) AS n_labels, explanation, trim(s1) AS s1, trim(s2) AS s2 FROM an")
+def annotation_lines_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotation lines as they are written, read from the right again."""
+    got = T.annotation_lines(sinks.annotation_rows(_annotated(spark, sf)))
+    return got.select("id1", "id2", F.array_join("labels", "|").alias("labels"), F.size("labels").cast("bigint").alias("n_labels"), "explanation", "s1", "s2")
+
+
+@query(f"WITH {_ANNOTATED} SELECT count(*) FILTER (length(s1) % 3 <> 0) AS n_unlabelled, count(*) AS n_pairs FROM an")
+def unlabelled_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    an = cut(_annotated(spark, sf))
+    keys = [*PAIR, "id1", "id2"]
+    return E.unlabelled(E.merge_by_priority(an.select(*keys), [an.where(F.length("s1") % 3 == 0)], keys))
+
+
 @query(
     f"""WITH {_ANNOTATED}, p1 AS (SELECT * FROM an WHERE length(s1) % 3 = 0), p2 AS (SELECT * REPLACE (['style'] AS labels) FROM an WHERE length(s1) % 2 = 0)
   SELECT an.arxivid, an.v1, an.v2, an.id1, an.id2, array_to_string(coalesce(p1.labels, p2.labels), '|') AS labels,
@@ -998,6 +1080,30 @@ def corpus_block_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return B.roll_up(block_metrics(spark, sf))
 
 
+@query(
+    f"""WITH {_METRICS}, m AS (SELECT arxivid, v1, v2, comparisons, saved, n_gold, missed, coalesce((n_gold - missed) / nullif(n_gold, 0), 0) AS kept, coalesce(saved / nullif(comparisons, 0), 0) AS share FROM bm)
+  SELECT arxivid, v1, v2, round(CASE WHEN kept + share = 0 THEN 0.0 ELSE 5 * kept * share / (4 * kept + share) END, 6) AS f2,
+  CASE WHEN share = 1 THEN '#ff0000' WHEN share = -1 THEN '#ffffff' ELSE 'rgb(' || CAST(floor(share * 255) AS BIGINT) || ',0,0)' END AS color FROM m"""
+)
+def block_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The weighted mean of the share of edges kept and of comparisons saved, and the latter's shade."""
+    m = block_metrics(spark, sf)
+    share = lambda a, b: F.coalesce(a / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    m = m.withColumns({"kept": share(F.col("n_gold") - F.col("missed"), "n_gold"), "share": share(F.col("saved"), "comparisons")})
+    return m.select(*PAIR, F.round(X.f_mean("kept", "share", 2.0), 6).alias("f2"), X.color_code("share").alias("color"))
+
+
+@query(
+    f"""WITH {_SENTS}, {_CHUNKS}, lg AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 5), cl AS (SELECT ss.*, CASE WHEN lg.id IS NOT NULL THEN 'green' ELSE 'grey' END AS color FROM ss LEFT JOIN lg USING (arxivid, v1, v2, side, id))
+  SELECT arxivid, v1, v2, side, '<table><tr>' || string_agg('<td class="' || color || '"></td>', '' ORDER BY p, s, color) || '</tr></table>' AS html FROM cl GROUP BY ALL"""
+)
+def prediction_strips(spark: SparkSession, sf: str) -> DataFrame:
+    """Strips of coloured cells, one a version, as they are written to pages."""
+    sents = cut(_sents(spark, sf))
+    df = sents.join(B.chunks(sents, 5).select(*PAIR, "side", "id", F.lit("green").alias("c")).distinct(), [*PAIR, "side", "id"], "left")
+    return sinks.strip_rows(df.withColumn("color", F.coalesce("c", F.lit("grey"))))
+
+
 @query(
     f"""WITH {_SENTS}, {_CHUNKS}, lg AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 5), sh AS (SELECT DISTINCT arxivid, v1, v2, side, id FROM cn WHERE island_size >= 2)
   SELECT ss.arxivid, ss.v1, ss.v2, ss.side, ss.id, CASE WHEN NOT aligned AND lg.id IS NOT NULL THEN 'green' WHEN aligned AND lg.id IS NOT NULL THEN 'blue'
