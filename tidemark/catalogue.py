@@ -20,7 +20,7 @@ from tidemark.operators import similarity as S
 from tidemark.operators import versions as V
 from tidemark.plans import sqltext as L
 from tidemark.plans.runtime import cut
-from tidemark.sources import sinks
+from tidemark.sources import archives, harvest, sinks
 from tidemark.sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,6 +547,45 @@ def corpus_overview(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_XML = """x AS (SELECT arxiv_id, number, date_trunc('second', min(version_time)) AS version_time FROM versions WHERE arxiv_id IS NOT NULL AND number IS NOT NULL GROUP BY ALL)"""
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Harvested records made of the tables, an XML text each, and read again."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tagged = lambda name, c: F.concat(F.lit(f"<{name}>"), esc(c), F.lit(f"</{name}>"))
+    date = F.coalesce(tagged("date", F.date_format("version_time", "EEE, d MMM yyyy HH:mm:ss 'GMT'")), F.lit(""))
+    v = M.version_times(T.table(spark, sf, "versions")).withColumn("x", F.concat(F.lit('<version version="v'), F.col("number").cast("string"), F.lit('">'), date, F.lit("</version>")))
+    a = T.table(spark, sf, "authors").where("first_name is not null and trim(first_name) <> '' and trim(last_name) <> ''")
+    a = a.withColumn("x", F.concat(tagged("keyname", F.trim("last_name")), tagged("forenames", F.trim("first_name"))))
+    c = T.table(spark, sf, "categories").withColumn("x", tagged("setSpec", F.col("spec")))
+    parts = [df.select("arxiv_id", "x") for df in (v, a, c)]
+    text = F.concat(F.lit("<record>"), tagged("id", F.col("arxiv_id")), F.array_join(F.array_sort(F.collect_list("x")), ""), F.lit("</record>"))
+    return harvest.parse_records(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("arxiv_id").agg(text.alias("value")))
+
+
+@query(f"WITH {_XML} SELECT arxiv_id, number, version_time FROM x")
+def harvested_versions(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.versions_of(_records(spark, sf)).withColumn("version_time", F.col("version_time").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT arxiv_id, spec FROM categories")
+def harvested_categories(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.categories_of(_records(spark, sf))
+
+
+@query("SELECT DISTINCT arxiv_id, trim(first_name) AS first_name, trim(last_name) AS last_name FROM authors WHERE first_name IS NOT NULL AND trim(first_name) <> '' AND trim(last_name) <> ''")
+def harvested_authors(spark: SparkSession, sf: str) -> DataFrame:
+    return harvest.authors_of(_records(spark, sf))
+
+
+@query("SELECT file_id, body AS text, CAST(NULL AS VARCHAR) AS error FROM latex_files WHERE length(body) > 0")
+def archives_unwrapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources packed into gzip layers, as many as the id tells, and opened again."""
+    files = T.table(spark, sf, "latex_files").where("length(body) > 0").select("file_id", "body")
+    return archives.unwrap_rows(archives.packed_rows(files, "file_id", "body"), "file_id").drop("kind")
+
+
 # --- alignment -------------------------------------------------------------------------------
 
 

@@ -91,10 +91,34 @@ def unwrap(data: bytes | None) -> tuple[str, str | None, str | None]:
 def read_archives(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(path, kind, text, error)`` of every file below a folder, a row each, read where the task runs."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
+    return unwrap_rows(files, "path")
+
+
+def unwrap_rows(files: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``(key, kind, text, error)`` of the downloads in a column of bytes."""
+    files = files.select(key, content)
+    kind_of_key = files.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [unwrap(x) for x in b["content"]]
-            yield pd.DataFrame({"path": b["path"], "kind": [g[0] for g in got], "text": [g[1] for g in got], "error": [g[2] for g in got]})
+            got = [unwrap(x) for x in b[content]]
+            yield pd.DataFrame({key: b[key], "kind": [g[0] for g in got], "text": [g[1] for g in got], "error": [g[2] for g in got]})
+
+    return files.mapInPandas(run, f"{key} {kind_of_key}, kind string, text string, error string")
+
 
-    return files.mapInPandas(run, "path string, kind string, text string, error string")
+def packed_rows(files: DataFrame, key: str, body: str) -> DataFrame:
+    """``(key, content)``: texts as compressed downloads, in one layer more where the key is larger, up to seven."""
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            packed = []
+            for k, t in zip(b[key], b[body]):
+                data = t.encode()
+                for _ in range(1 + int(k) % 7):
+                    data = gzip.compress(data, 1)
+                packed.append(data)
+            yield pd.DataFrame({key: b[key], "content": packed})
+
+    return files.mapInPandas(run, f"{key} {kind}, content binary")

@@ -15,6 +15,11 @@ def read_records(spark: SparkSession, path: str, row_tag: str = "record") -> Dat
     return spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE").schema(RECORD).load(path)
 
 
+def parse_records(texts: DataFrame, col: str = "value") -> DataFrame:
+    """The like for records that stand in a column, one each; what cannot be read gives nulls."""
+    return texts.select(F.from_xml(F.col(col), RECORD, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
 def versions_of(records: DataFrame) -> DataFrame:
     """``(arxiv_id, number, version_time)``: one leading ``v`` is dropped, dates of the mail format are read."""
     v = records.select(F.col("id").alias("arxiv_id"), F.explode("version").alias("v"))
