@@ -737,21 +737,19 @@ _PAIRS = f"""{L.DIFF}, gd AS (SELECT * FROM d WHERE NOT {L.is_boring('text')}),
   pg AS (SELECT *, {L.bigrams('w1')} AS g1, {L.bigrams('w2')} AS g2 FROM pw)"""
 
 
-def _measures(spark: SparkSession, sf: str) -> DataFrame:
+def _measures(spark: SparkSession, sf: str, *measures: str) -> DataFrame:
     """Every text of v1 worth comparing with every one of v2, kept ones too."""
-    return S.whole_measures(_diff(spark, sf))
+    return S.whole_measures(_diff(spark, sf), measures)
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round(CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('w1', 'w2')} END, 6) AS jaccard FROM pg")
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.whole_pairs(_diff(spark, sf))
-    same = F.col("text1") == F.col("text2")
-    return p.select(*PAIR, "text1", "text2", F.round(F.when(same, 1.0).otherwise(X.jaccard("w1", "w2")), 6).alias("jaccard"))
+    return _measures(spark, sf, "jaccard").select(*PAIR, "text1", "text2", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round(CASE WHEN text1 = text2 THEN 1.0 ELSE {L.jaccard('g1', 'g2')} END, 6) AS jaccard_2_gram FROM pg")
 def jaccard_bigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _measures(spark, sf).select(*PAIR, "text1", "text2", F.round("jaccard_2_gram", 6).alias("jaccard_2_gram"))
+    return _measures(spark, sf, "jaccard_2_gram").select(*PAIR, "text1", "text2", F.round("jaccard_2_gram", 6).alias("jaccard_2_gram"))
 
 
 @query(
@@ -760,20 +758,20 @@ def jaccard_bigram_pairs(spark: SparkSession, sf: str) -> DataFrame:
   SELECT arxivid, v1, v2, text, count(*) AS n_similar, round(max(jaccard), 6) AS max_jaccard, round(avg(jaccard), 6) AS avg_jaccard FROM r GROUP BY ALL"""
 )
 def similarity_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    v = S.whole_vectors(_diff(spark, sf))
+    v = S.whole_vectors(_diff(spark, sf), ("jaccard",))
     return v.select(*PAIR, "text", "n_similar", F.round("max_jaccard", 6).alias("max_jaccard"), F.round("avg_jaccard", 6).alias("avg_jaccard"))
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, CAST({L.lcs_length('w1', 'w2')} AS INTEGER) AS lcs_length FROM pg")
 def lcs_length(spark: SparkSession, sf: str) -> DataFrame:
-    return _measures(spark, sf).select(*PAIR, "text1", "text2", "lcs_length")
+    return _measures(spark, sf, "diff").select(*PAIR, "text1", "text2", "lcs_length")
 
 
 @query(
     f"""WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, round({L.diff_sim('w1', 'w2', 'text1 = text2')}, 6) AS diff, round({L.diff_sim('g1', 'g2', 'text1 = text2')}, 6) AS diff_2_gram FROM pg"""
 )
 def diff_sim(spark: SparkSession, sf: str) -> DataFrame:
-    return _measures(spark, sf).select(*PAIR, "text1", "text2", F.round("diff", 6).alias("diff"), F.round("diff_2_gram", 6).alias("diff_2_gram"))
+    return _measures(spark, sf, "diff", "diff_2_gram").select(*PAIR, "text1", "text2", F.round("diff", 6).alias("diff"), F.round("diff_2_gram", 6).alias("diff_2_gram"))
 
 
 @query(f"WITH {_PAIRS} SELECT arxivid, v1, v2, text1, text2, {L.similar('w1', 'w2', 't1', 't2')} AS similar FROM pw")
