@@ -30,8 +30,8 @@ def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    scored = distinctive.score_terms(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"))
-    return distinctive.shared_rare_terms(scored).select("struct_id", "term")
+    scored = distinctive.score_terms(_t(spark, sf, "sentence_structs"), "struct_id", F.col("diff.sentence"), 3, 20)
+    return scored.select("struct_id", "term")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
