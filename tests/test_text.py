@@ -182,3 +182,32 @@ def test_maps_and_paths(spark):
     ).first()
     assert r.m == {"a": 1, "b": None, "c": 4} and r.t == [[1, 3], [2, 4]]
     assert r.p == "/d/hep-01/v1/extra/hep-01-v1-original.tex" and r.a == "hep-01-v1-v2-(2-unaligned-sents).csv" and r.none is None
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (r"{\setlength\arraycolsep{1pt} [EQUATION]}", "{ [EQUATION]}"), (r"{setlength\arraycolsep{1pt} x}", r"{setlength\arraycolsep{1pt} x}"), (r"\addtolength{\mylength}{length}z", "z"),
+        (r"\newtheorem{theorem}{Theorem}z", "z"), (r"\newtheorem{tw}[theorem]{Theorem}z", "z"), (r"\newtheorem{tw}{Theorem}[theorem]z", "z"),
+        ("\\lstdefinelanguage[bzr]{c++}\n {basicstyle=x,\n  words={a, b},\n}\n\nmore", "\n\nmore"), ("\\lstdefinelanguage{idl}\n {\n words={in}\n }\n\nmore", "\n\nmore"),
+        (r"see \cite[p. 3]{a,b} and \ref{x}", "see [CITATION] and [REF]"), (r"a\footnote{b {c}} d", "a d"), (r"\label{open", r"\label{open"), (r"\cite", "[CITATION]"),
+    ],
+)
+def test_commands(source, text):
+    assert D.replace_commands(source) == text
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("when $r<R.$      We try.", "when [MATH].      We try."), ("Given $math$ in: $$equation.$$ We aim.", "Given [MATH] in: [EQUATION]. We aim."),
+        ("costs \\$5 and \\$6", "costs \\$5 and \\$6"), ("so \\(x\\) and \\[y\\] go", "so [MATH] and [EQUATION] go"),
+    ],
+)
+def test_math(source, text):
+    assert D.replace_math(source) == text and D.replace_math(text) == text
+
+
+@pytest.mark.parametrize("source", ["[MATH] [MATH] [MATH]", "[MATH]    [MATH]  [MATH]", "[MATH] [MATH]\n[MATH]"])
+def test_consecutive_marks(source):
+    assert D.collapse(source) == "[MATH]" == D.collapse("[MATH]")

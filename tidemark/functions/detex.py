@@ -100,22 +100,36 @@ def replace_environments(s: str) -> str:
     return "".join(out) + s[at:]
 
 
+#: How many groups a dropped command takes where it is not one; a name without braces counts as one.
+_GROUPS = {"newtheorem": 2, "setlength": 2, "addtolength": 2, "setcounter": 2, "lstdefinelanguage": 2}
+_BARE_NAME = re.compile(r"\s*\\[A-Za-z]+")
+_GAP = re.compile(r"\s*(?=\{)")
+
+
 def replace_commands(s: str) -> str:
-    """Commands that are dropped with their arguments, and citations and references as marks."""
+    """Commands that are dropped with their arguments, and citations and references as marks. An argument may stand on
+    the next line where a command takes several; options may stand before, between and after the arguments."""
     out, at = [], 0
     for m in _NAME.finditer(s):
         if m.start() < at or (m[1] not in DROPPED and m[1] not in MARKED):
             continue
-        k = m.end()
-        while (end := braced(s, k, "[]")) > 0:
+        k, count, want = m.end(), 0, _GROUPS.get(m[1], 1)
+        while count < want:
+            while (end := braced(s, k, "[]")) > 0:
+                k = end
+            if want > 1 and (bare := _BARE_NAME.match(s, k)) is not None:
+                end = bare.end()
+            else:
+                end = braced(s, _GAP.match(s, k).end() if want > 1 and _GAP.match(s, k) else k)
+            if end < 0:
+                break
+            k, count = end, count + 1
+        if want > 1 and count and (end := braced(s, k, "[]")) > 0:
             k = end
-        ends = [k]
-        while (end := braced(s, ends[-1])) > 0 and len(ends) <= (3 if m[1] in ("newtheorem", "setlength", "addtolength", "setcounter") else 1):
-            ends.append(end)
-        if len(ends) == 1 and s[k : k + 1] == "{":
-            continue
+        if not count and s[k : k + 1] == "{":
+            continue  # stays open: the text is left as it is
         out += [s[at : m.start()], MARKED.get(m[1], "")]
-        at = ends[-1]
+        at = k
     return "".join(out) + s[at:]
 
 
