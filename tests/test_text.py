@@ -211,3 +211,16 @@ def test_math(source, text):
 @pytest.mark.parametrize("source", ["[MATH] [MATH] [MATH]", "[MATH]    [MATH]  [MATH]", "[MATH] [MATH]\n[MATH]"])
 def test_consecutive_marks(source):
     assert D.collapse(source) == "[MATH]" == D.collapse("[MATH]")
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("a \\w b", "a \\w b"), ("\\newcommand{\\w}{The book of \\LaTeX}\\item \\w\n\\wx{y}", "\\item The book of \\LaTeX\n\\wx{y}"), ("\\newcommand{\\w}{x}y", "y"),
+        ("\\newcommand{\\w}[1] {\nBy #1 alone}\\w{two {of} us}", "By two {of} us alone"), ("\\newcommand{\\w}[2][old]{#1 #2}\\w{a} \\w[new]{a}", "old a new a"),
+        ("\\newcommand\\w{x}\\w{}y", "xy"), ("\\global\\long\\def\\w#1#2{#2^#1}\\w{a}{b}", "b^a"), ("\\gdef \\w{\\emph{s}}\\w.", "\\emph{s}."), ("\\def\\w{open", "\\def\\w{open"),
+        ("\\newcommand{\\a}{one}\\newcommand{\\ab}{two}\\a \\ab{}", "one two"),
+    ],
+)
+def test_macros(source, text):
+    assert D.expand_macros(source) == text

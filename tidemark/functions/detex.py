@@ -27,7 +27,7 @@ DROPPED = (
 )
 MARKED = {"cite": "[CITATION]", "citet": "[CITATION]", "eqref": "[REF]", "ref": "[REF]", "autoref": "[REF]", "fref": "[REF]", "lref": "[REF]", "refs": "[REF]"}
 _NAME = re.compile(r"\\([A-Za-z]+)\*?")
-_DEFINE = re.compile(r"\\(?:newcommand|DeclareRobustCommand)\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*(?:\[(\d)\])?\s*(?:\[([^\]]*)\])?\s*(?=\{)|\\g?def\s*\\([A-Za-z]+)((?:\s*#\d)*)\s*(?=\{)")
+_DEFINE = re.compile(r"\\(?:newcommand|DeclareRobustCommand)\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*(?:\[(\d)\])?\s*(?:\[([^\]]*)\])?\s*(?=\{)|(?:\\(?:global|long)\s*)*\\g?def\s*\\([A-Za-z]+)((?:\s*#\d)*)\s*(?=\{)")
 #: The last section of thanks, where the text that matters ends.
 _ACKNOWLEDGED = re.compile(r"(?:#{1,6}[ \t]*)?\bAcknowledg(?:e?ment)s?\b\.?")
 _HEADING = re.compile(r"\\((?:sub)*)section\*?\s*(?:\[[^\]]*\])?\s*(?=\{)")
@@ -62,7 +62,7 @@ def expand_macros(s: str) -> str:
             at = m.end()
             continue
         count = int(m[2] or 0) if m[1] else m[5].count("#")
-        found.append((m[1] or m[4], count, m[3], s[m.end() + 1 : end - 1]))
+        found.append((m[1] or m[4], count, m[3], s[m.end() + 1 : end - 1].strip()))
         at = end
     s = "".join(out) + s[at:]
     for name, count, default, body in found:
