@@ -1,4 +1,5 @@
 import os
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,45 @@ def test_similarity_meets_kept_sentences_and_other_blocks(spark, cells, monkeypa
     assert similar == {(LONG, LONG), (LONG + " again", LONG), (other, other + " indeed"), (long, long + " more")}
 
 
+def words_of(k, n):
+    """``n`` words that no other ``k`` has."""
+    return [f"{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}word" for j in range(n)]
+
+
+@pytest.mark.parametrize("cells", [S.CELLS, 2])
+def test_averages_are_of_exact_sums(spark, cells, monkeypatch):
+    monkeypatch.setattr(S, "CELLS", cells)
+    texts = [" ".join(words_of(k % 3, 5 + k)[k % 4 :]) for k in range(24)]
+    rows = rows_of(spark, [((0, -1, 1)[k % 3 if k > 5 else 0], t) for k, t in enumerate(texts)])
+    values = {}
+    for r in S.whole_measures(rows).collect():
+        for t in (r.text1, r.text2):
+            values.setdefault(t, []).append(r)
+    got = {r.text: r for r in S.whole_vectors(rows).collect()}
+    assert set(got) == set(values)
+    for m in S.MEASURES:
+        assert {t: got[t][f"avg_{m}"] for t in got} == {t: float(sum(Fraction(x[m]) for x in v)) / len(v) for t, v in values.items()}
+
+
+def test_feature_vectors_round_ties_as_sql_does(spark, tmp_path):
+    """Two kept texts share one of 40 word pairs, among 16: their average is 0.0640625, and a double just below that."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark import catalogue as C
+
+    one, two = words_of(0, 21), words_of(1, 22)
+    two[4:6] = one[7:9]
+    texts = [" ".join(ws) for ws in [one, two, *(words_of(k, 9) for k in range(2, 16))]]
+    rows = [(k, "x", 1, 2, k, [f"x-v1-0-{k}", f"x-v2-0-{k}"], (0, t), None, [], 7) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, STRUCT).write.parquet(str(tmp_path / "sentence_structs.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view sentence_structs as select * from '{tmp_path}/sentence_structs.parquet/*.parquet'")
+    mine, theirs = C.feature_vectors(spark, str(tmp_path)), con.execute(C.oracle_sql()["feature_vectors"])
+    assert mine.columns == [d[0] for d in theirs.description]
+    got = sorted(tuple(r) for r in mine.collect())
+    assert got == sorted(theirs.fetchall())
+    assert {r[3]: r[mine.columns.index("avg_jaccard_2_gram")] for r in got}[texts[0]] == 0.064062
+
+
 def test_edge_groups_are_components(spark):
     pairs = [("a1", "b1"), ("a2", "b1"), ("a2", "b2"), ("a3", "b2"), ("a9", "b9")]
     df = spark.createDataFrame([("x", 1, 2, a, b) for a, b in pairs], "arxivid string, v1 int, v2 int, id1 string, id2 string")
