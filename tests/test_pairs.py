@@ -1,9 +1,9 @@
 """Queries over all sentence pairs: what they give, and that they shuffle no pair."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from tidemark.functions.kernels import Postings
 from tidemark.sources import tables as T
 
 STRUCT = "struct_id bigint, arxivid string, v1 int, v2 int, idx int, identifiers array<string>, diff struct<code:int,sentence:string>, status string, aligned array<int>"
@@ -62,3 +62,18 @@ def test_alignment_export_shuffles_no_cells(spark, folder, parted):
     df, n = against_sql(spark, folder, "alignment_export")
     assert df.where("aligning_method = 1").count() > 30
     assert n > 3600 > exchanged(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["jaccard_pairs", "jaccard_bigram_pairs", "similar_pairs"])
+def test_values_of_text_pairs_shuffle_only_rows(spark, folder, parted, monkeypatch, name):
+    monkeypatch.setattr("tidemark.operators.similarity.BLOCK", 7)
+    monkeypatch.setattr("tidemark.operators.similarity.cut", None)  # nothing is written aside
+    df, n = against_sql(spark, folder, name)
+    assert n > 1500 > exchanged(df._jdf.queryExecution().executedPlan())
+
+
+def test_words_in_common():
+    many = [["a", "bb", "a"], [], ["bb", "ccc", "d"]]
+    count, weight = Postings(many).shared([["bb", "x", "ccc"], [], ["a", "a"]], len)
+    assert count.tolist() == [[1, 0, 2], [0, 0, 0], [1, 0, 0]] and weight.tolist() == [[2, 0, 5], [0, 0, 0], [1, 0, 0]]
+    assert Postings([]).shared([["a"]])[0].shape == (1, 0)
